@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+from trailweave.llm.bpe import byte_bpe
 from trailweave.llm.common import table
 from trailweave.llm.exact_dedup import exact_dedup
+from trailweave.llm.packing import pack
+from trailweave.llm.quality import quality_rules
 from trailweave.llm.sharding import shard_rows
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; imported late, so that other queries do without."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_sharding)}
+def op10_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_quality_rules, op6_packing, op7_sharding, op10_byte_bpe)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
