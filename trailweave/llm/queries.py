@@ -9,6 +9,7 @@ from trailweave.llm.packing import pack
 from trailweave.llm.quality import quality_rules
 from trailweave.llm.sharding import shard_rows
 from trailweave.llm.simhash import simhash_dedup
+from trailweave.llm.url_filter import url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +27,10 @@ def op3_simhash(spark, sf_dir):
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op5_quality_rules, op6_packing, op7_sharding, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op10_byte_bpe)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
