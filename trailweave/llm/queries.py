@@ -9,6 +9,7 @@ from trailweave.llm.packing import pack
 from trailweave.llm.quality import quality_rules
 from trailweave.llm.sharding import shard_rows
 from trailweave.llm.simhash import simhash_dedup
+from trailweave.llm.toxicity import toxicity
 from trailweave.llm.url_filter import url_filter
 
 
@@ -43,13 +44,17 @@ def op7_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op10_byte_bpe)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
