@@ -5,6 +5,8 @@ from __future__ import annotations
 from trailweave.llm.bpe import byte_bpe
 from trailweave.llm.common import table
 from trailweave.llm.exact_dedup import exact_dedup
+from trailweave.llm.license_scan import license_scan
+from trailweave.llm.line_dedup import line_dedup
 from trailweave.llm.packing import pack
 from trailweave.llm.quality import quality_rules
 from trailweave.llm.sharding import shard_rows
@@ -24,6 +26,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,13 +54,17 @@ def op8_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op9_line_dedup, op10_byte_bpe)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
