@@ -95,8 +95,9 @@ class Kernel:
             return self._drop(event, at, zone, gender, "kind")
         if zone not in self.zones:
             return self._drop(event, at, zone, gender, "zone")
+        mine = [t for t in self.live if t.gender == gender] if gender is not None else []
         if kind == "entry":
-            score, t = self._best(self.live, at, zone, age) if gender is not None else (0.0, None)
+            score, t = self._best(mine, at, zone, age)
             floor = self.c.entrance_floor if zone in ENTRANCES else self.c.interior_floor
             if t is not None and score >= floor and len(t.visits) >= self.c.most_visits:
                 self.count("capped")
@@ -113,8 +114,7 @@ class Kernel:
             t.age, t.seen, t.zone, t.moving = age, at, zone, False
             t.visits.append([zone, at, None, 0, label, False])
             return
-        here = [t for t in self.live if t.zone == zone] if gender is not None else []
-        _, t = self._best(here, at, zone, age)
+        _, t = self._best([t for t in mine if t.zone == zone], at, zone, age)
         if t is None:
             return self._drop(event, at, zone, gender, kind)
         self.count(f"matched_{kind}")
