@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from trailweave.functions import scalar as sc
 from trailweave.functions import text as tx
 from trailweave.operators import audit as au
 from trailweave.operators import graph, heal, metrics, stitch, sweep
+from trailweave.operators.common import shared_folder
 from trailweave.operators.temporal import forward, islands
 from trailweave.plans import journey
 from trailweave.schema import DEMO_ZONES, StitchConfig
 from trailweave.sources import readers as rd
+from trailweave.streaming.stitch import run_files
 
 QUERIES, ORACLES = {}, {}
 CONFIG = StitchConfig()
@@ -671,3 +675,9 @@ def heal_fixpoint(spark, d):
 @query()
 def stitch_full(spark, d):
     return journey.run(spark, rd.detections(spark, d), DEMO_ZONES)["journeys"]
+
+
+@query()
+def stream_stitch(spark, d):
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return run_files(spark, f"{d}/events.parquet*", out, DEMO_ZONES).drop("visits")

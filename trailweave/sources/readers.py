@@ -92,9 +92,13 @@ def _zone() -> Column:
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream as visits: users are persons, event types zones, values seconds of stay."""
+    """The event table as visits: users are persons, event types zones, values seconds of stay."""
+    return visits_of(table(spark, sf_dir, "events"))
+
+
+def visits_of(events: DataFrame) -> DataFrame:
     at = micros(F.col("ts"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").alias("person_id"),
         _zone().alias("zone_id"),
@@ -109,8 +113,11 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream as anonymous detections of the three kinds."""
-    v = visits(spark, sf_dir)
+    """The event table as anonymous detections of the three kinds."""
+    return detections_of(visits(spark, sf_dir))
+
+
+def detections_of(v: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(F.lit("entry"), F.lit("linger"), F.lit("exit")), (F.col("event_id") % 3 + 1).cast("int"))
     labels = F.array(*[F.lit(x) for x in AGE_CODES])
     return v.select(

@@ -11,11 +11,13 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trailweave.operators.stitch import DETECTION, OUT, Kernel
 from trailweave.schema import SECOND, TRAJECTORY, StitchConfig, Zones
+from trailweave.sources.readers import detections_of, visits_of
 
 
 def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig(), delay_s: int = 600) -> DataFrame:
@@ -41,11 +43,21 @@ def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchC
         kernel.dropped = []
         if waiting or kernel.live:
             state.update((pickle.dumps((kernel, waiting)),))
-            last = max([t.seen for t in kernel.live] + [x[0] for x in waiting])
-            state.setTimeoutTimestamp(max(last // 1_000_000 + c.still_gap * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            due = [x[0] for x in waiting[:1]] + [t.seen + c.still_gap * SECOND for t in kernel.live]
+            state.setTimeoutTimestamp(max(min(due) // 1_000_000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=TRAJECTORY.names)
 
     known = detections.where("gender is not null").withWatermark("ts", f"{delay_s} seconds")
     return known.groupBy("gender").applyInPandasWithState(run, OUT, "kernel binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_files(spark: SparkSession, source: str, out: str, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """Streams event files that are there now through pass 1 into parquet under ``out`` and returns what is
+    final by the last watermark. Restarting with the same ``out`` goes on where it stopped."""
+    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(source)
+    found = detections_of(visits_of(events)).withColumn("ts", F.timestamp_micros("entry_us"))
+    job = stitch_stream(found, zones, c).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    job.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{out}/rows")
