@@ -43,6 +43,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until they clash with no column."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the byte-wise path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import fold_ascii, settle, text_or_empty
+from trailweave.llm.common import fold_ascii, fresh, settle, text_or_empty
 
 PREFIX_CHARS = 64
 #: Rows of a table of keys (two longs, or a digest and two longs) that may be broadcast: some 10 MB.
@@ -80,11 +80,12 @@ def kept_rows(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; no text is shuffled unless an id repeats
     within a group of equal texts."""
     groups = duplicate_groups(docs, prefix_chars)
-    mark = ["_digest", "_keep_id", "_group_size", "_keep_rows"]
-    rows = docs.withColumn("_digest", digest(text_or_empty("text")))
-    rows = _joined(rows, groups.toDF(*mark), ["_digest"], "left")
-    stays = rows.where(F.col("_group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep_id")))
+    mark = fresh(docs.columns, "digest", "keep_id", "group_size", "keep_rows")
+    of, keep, size, rows_of = mark
+    rows = docs.withColumn(of, digest(text_or_empty("text")))
+    rows = _joined(rows, groups.toDF(*mark), [of], "left")
+    stays = rows.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
     if not groups.where("keep_rows > 1").isEmpty():
-        several = F.coalesce(F.col("_keep_rows"), F.lit(1)) > 1
-        stays = stays.where(~several).unionByName(stays.where(several).dropDuplicates(["_digest", "doc_id"]))
+        several = F.coalesce(F.col(rows_of), F.lit(1)) > 1
+        stays = stays.where(~several).unionByName(stays.where(several).dropDuplicates([of, "doc_id"]))
     return stays.select(*docs.columns)

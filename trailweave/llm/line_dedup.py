@@ -3,9 +3,10 @@
 A document's lines are cut into chunks where a rolling hash over the last WINDOW line hashes is divisible by
 DIVISOR. The cuts depend on the lines around them alone, so inside a repeated passage they fall on the same
 lines wherever the passage stands. A line of LONG_WORDS words or more is a chunk of its own: as a passage it
-needs no neighbours. Chunks of several lines, and those long ones, are counted over the whole corpus by a
-128-bit hash; where one repeats, the bytes are compared with those of its first place, and all equal ones
-but the first are removed.
+needs no neighbours. Chunks are counted over the whole corpus by a 128-bit hash; where one repeats, the bytes
+are compared with those of its first place, and all equal ones but the first are repeats. Of these, runs of
+neighbouring chunks with several lines or many words in all are removed; a short line that repeats on its own
+is no passage and stays.
 
 Texts stay where they are: hashes are shuffled for all chunks, bytes only for those whose hash repeats.
 """
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import settle
+from trailweave.llm.common import fresh, settle
 
 WINDOW = 2
 DIVISOR = 2
@@ -55,10 +56,10 @@ def chunks(lines: list[str]) -> Iterator[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(first line, lines, words, text) of the chunks that may go: several lines or many words, not blank."""
+    """(first line, lines, words, text) of the chunks that are not blank."""
     lines = text.split("\n")
     for start, end, words in chunks(lines):
-        if words and (end - start > 1 or words >= LONG_WORDS):
+        if words:
             yield start, end - start, words, "\n".join(lines[start:end])
 
 
@@ -121,7 +122,19 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     first = suspects.groupBy(*keys).agg(F.min(F.struct(place.alias("place"), "body")).alias("first"))
     both = suspects.join(first, keys)
     later = both.where((F.col("body") == F.col("first.body")) & (F.col("first.place") < place))
-    return later.select("doc_id", "row", "start", "lines", "words")
+    return passages(later.select("doc_id", "row", "start", "lines", "words").distinct())
+
+
+def passages(repeats: DataFrame) -> DataFrame:
+    """The repeats that stand in runs of several lines or of LONG_WORDS words. Windows are over one document,
+    whose chunks are bounded by its length."""
+    doc = Window.partitionBy("doc_id", "row").orderBy("start")
+    end = F.col("start") + F.col("lines")
+    starts = (F.coalesce(F.lag(end).over(doc), F.lit(-1)) != F.col("start")).cast("int")
+    runs = repeats.withColumn("starts", starts).withColumn("run", F.sum("starts").over(doc))
+    whole = Window.partitionBy("doc_id", "row", "run")
+    runs = runs.withColumn("all_lines", F.sum("lines").over(whole)).withColumn("all_words", F.sum("words").over(whole))
+    return runs.where((F.col("all_lines") > 1) | (F.col("all_words") >= LONG_WORDS)).select(*repeats.columns)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -131,7 +144,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     null ids come first in the order of places. Blank chunks are never removed; texts of any length are cut
     line by line; an empty table gives an empty result; other columns are ignored.
     """
-    gone = settle(repeated_chunks(docs).distinct())
+    gone = settle(repeated_chunks(docs))
     last = F.col("start") + F.col("lines") - 1
     span = F.when(F.col("lines") == 1, F.col("start").cast("string")).otherwise(F.concat_ws("-", "start", last.cast("string")))
     by_doc = gone.groupBy("doc_id", "row").agg(
@@ -166,22 +179,25 @@ def docs_rows(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed chunks cut out of their texts, all columns kept. Documents that lose
     nothing pass by without a shuffle if those that do fit a broadcast; else texts are shuffled by id."""
-    gone = settle(repeated_chunks(docs).distinct())
-    by_doc = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "lines")).alias("_gone"))
+    same, row, gone, of = fresh(docs.columns, "same_id", "row", "gone", "of")
+    by_doc = settle(repeated_chunks(docs)).groupBy(F.col("doc_id").alias(same), F.col("row").alias(row))
+    by_doc = by_doc.agg(F.collect_list(F.struct("start", "lines")).alias(gone))
 
     @F.pandas_udf("string")
-    def cut(texts, gone):
+    def cut(texts, found):
         out = []
-        for text, spans in zip(texts, gone):
+        for text, spans in zip(texts, found):
             lines, drop = text.split("\n"), set()
             for span in spans:
                 drop.update(range(span["start"], span["start"] + span["lines"]))
             out.append("\n".join(x for i, x in enumerate(lines) if i not in drop))
         return type(texts)(out, dtype=object)
 
-    marked = docs.withColumn("_of", _row_hash(F.coalesce("text", F.lit(""))))
-    joined = marked.join(by_doc, marked["doc_id"].eqNullSafe(by_doc["_id"]) & (marked["_of"] == by_doc["_row"]), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce("_gone", F.array().cast("array<struct<start:bigint,lines:bigint>>"))))
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumn(of, _row_hash(text))
+    joined = marked.join(by_doc, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(of) == F.col(row)), "left")
+    none = F.array().cast("array<struct<start:bigint,lines:bigint>>")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut(text, F.coalesce(F.col(gone), none)))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import settle
+from trailweave.llm.common import fresh, settle
 from trailweave.llm.components import components
 
 SEED = 42
@@ -144,10 +144,11 @@ def kept_rows(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each component, with all its columns: the one whose doc_id is the component's id. Where
     an id repeats, its rows with equal texts count as one and those with different texts all stay."""
     found = simhash_dedup(docs, width)
-    rows_of = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    rows_of = settle(rows_of)
-    stays = docs.join(rows_of.select(F.col("doc_id").alias("_id"), "_rows"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    if not rows_of.where("_rows > 1").isEmpty():
-        several = stays.where("_rows > 1")
-        stays = stays.where("_rows = 1").unionByName(several.dropDuplicates(["doc_id", "text"]))
+    same, rows = fresh(docs.columns, "same_id", "rows")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = settle(keep.groupBy(F.col("doc_id").alias(same)).agg(F.count("*").alias(rows)))
+    stays = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(same)))
+    if not keep.where(F.col(rows) > 1).isEmpty():
+        several = stays.where(F.col(rows) > 1)
+        stays = stays.where(F.col(rows) == 1).unionByName(several.dropDuplicates(["doc_id", "text"]))
     return stays.select(*docs.columns)
