@@ -8,6 +8,8 @@ estimate falls below zero the model overfits, and the step goes back up instead.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from dataclasses import dataclass
 
@@ -29,8 +31,8 @@ class PuSettings:
     """``most_toxic`` and ``most_unlabelled`` bound the training sample: texts are taken in the order of a
     hash of their id. Everything else covers all rows."""
 
-    most_toxic: int = 4000
-    most_unlabelled: int = 8000
+    most_toxic: int = 3000
+    most_unlabelled: int = 6000
     least_texts: int = 3
     least_z: float = 4.0
     steps: int = 400
@@ -59,10 +61,14 @@ def telling(at: np.ndarray, owner: np.ndarray, places: np.ndarray, n: int, m: in
     """Which places hold features whose shares of toxic and of unlabelled texts differ beyond chance."""
     marked = np.zeros(1 << BITS, bool)
     for kind in range(places.shape[1]):  # kinds are hashed apart, so pairs of text and place repeat within one only
-        pairs = np.unique(owner.astype(np.int64) << BITS | places[at, kind])
-        place, text = pairs & (1 << BITS) - 1, pairs >> BITS
-        toxic = np.bincount(place[text < n], minlength=1 << BITS)
-        rest = np.bincount(place[text >= n], minlength=1 << BITS)
+        pairs = owner.astype(np.uint32 if m < 1 << (32 - BITS) else np.uint64)
+        pairs <<= BITS
+        pairs |= places[at, kind].astype(pairs.dtype)
+        pairs.sort()
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+        cut = np.searchsorted(pairs, n << BITS)  # toxic texts come first
+        pairs &= (1 << BITS) - 1
+        toxic, rest = np.bincount(pairs[:cut], minlength=1 << BITS), np.bincount(pairs[cut:], minlength=1 << BITS)
         both = toxic + rest
         share = (both + 1) / (m + 2)
         z = (toxic / n - rest / (m - n)) / np.sqrt(share * (1 - share) * (1 / n + 1 / (m - n)))
@@ -70,20 +76,24 @@ def telling(at: np.ndarray, owner: np.ndarray, places: np.ndarray, n: int, m: in
     return marked
 
 
-def train(toxic: list[list[str]], unlabelled: list[list[str]], prior: float, settings: PuSettings = PuSettings()) -> tuple[np.ndarray, float]:
-    """Weights and bias from the distinct words of each text: Adam on the non-negative risk."""
-    if not toxic or not unlabelled:
+def train(toxic: pa.ChunkedArray, unlabelled: pa.ChunkedArray, prior: float, settings: PuSettings = PuSettings()) -> tuple[np.ndarray, float]:
+    """Weights and bias from the distinct words of each text (lists of strings): Adam on the non-negative
+    risk. Words are numbered once and kept as Arrow data, so a sample of the largest size takes some 300 MB."""
+    if not len(toxic) or not len(unlabelled):
         return np.zeros(1 << BITS), -20.0
-    number: dict[str, int] = {}
-    texts = toxic + unlabelled
-    at = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int32)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    places = np.array([features(w) for w in number], np.int32).reshape(-1, 1 + len(STARTS))
-    n, m, is_toxic = len(toxic), len(texts), np.arange(len(texts)) < len(toxic)
+    n = len(toxic)
+    sizes = np.concatenate([c.value_lengths().to_numpy() for part in (toxic, unlabelled) for c in part.chunks])
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    coded = pa.concat_arrays([c.flatten() for part in (toxic, unlabelled) for c in part.chunks]).dictionary_encode()
+    at, number = coded.indices.to_numpy(), coded.dictionary
+    del coded, toxic, unlabelled
+    places = np.fromiter((x for w in number for x in features(w.as_py())), np.int32, len(number) * (1 + len(STARTS))).reshape(-1, 1 + len(STARTS))
+    m = len(sizes)
+    is_toxic = np.arange(m) < n
     column = np.cumsum(marked := telling(at, owner, places, n, m, settings)) * marked  # 0: not in use
     places = column[places]
     used = places.any(1)[at]
-    at, owner = at[used], owner[used]
+    at, owner, number = at[used], owner[used], None
     size = int(column.max()) + 1
     weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     mean, square, mean_b, square_b = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -144,14 +154,24 @@ def fit(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings())
 
     def distinct_words(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t or "")) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
+            words = pa.array([sorted(words_of(t or "")) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words], ["doc_id", "words"])
 
-    def sample(ids: DataFrame) -> list[list[str]]:
+    def sample(ids: DataFrame) -> pa.ChunkedArray:
         texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-        table = texts.select("text").mapInArrow(distinct_words, "words array<string>").toArrow()
-        return sorted(table.column(0).to_pylist())
+        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>"
+        return texts.mapInArrow(distinct_words, schema).toArrow().sort_by("doc_id").column("words")
 
-    return docs.sparkSession.sparkContext.broadcast(train(sample(confirmed), sample(rest), prior, settings))
+    model = train(sample(confirmed), sample(rest), prior, settings)
+    give_back()
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def give_back() -> None:
+    """Returns what training has freed to the system, since a driver lives on for long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 _READY: dict[tuple, Scorer] = {}
