@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear numpy classifier over hashed word features is trained from confirmed toxic texts and from texts
-whose labels are not looked at. With the share pi of toxic texts, the risk on clean text is estimated as
+A linear numpy classifier over hashed word features is trained from confirmed toxic texts and from others,
+drawn without a look at their labels from the rows for which the share of toxic ones is known. With the share pi of toxic texts, the risk on clean text is estimated as
 the risk of calling unlabelled text toxic minus pi times that of calling toxic text toxic; where that
 estimate falls below zero the model overfits, and the step goes back up instead.
 """
@@ -149,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings())
     toxic, known = seen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     prior = min(max(toxic / known if known else 0.5, 0.001), 0.9)
     confirmed = seen.where("toxic = 1").orderBy(shuffled, "doc_id").limit(settings.most_toxic)
-    rest = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
-    rest = rest.orderBy(shuffled, "doc_id").limit(settings.most_unlabelled).distinct()
+    # the rows with labels, their labels unread: of these the share of toxic ones is known
+    rest = seen.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(settings.most_unlabelled)
 
     def distinct_words(batches):
         for batch in batches:
