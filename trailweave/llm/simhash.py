@@ -25,8 +25,6 @@ from trailweave.llm.components import components
 SEED = 42
 CODED = 63
 AT_ONCE = 65_536
-#: Masks of the bits whose place (from 1) has binary digit k: their parities spell the syndrome.
-PARITY = [sum(1 << (i - 1) for i in range(1, CODED + 1) if i >> k & 1) for k in range(6)]
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -58,19 +56,25 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def anchors(fp: Column) -> Column:
-    """All anchors within 2 bits of a fingerprint."""
+def parity_masks(coded: int) -> list[int]:
+    """Masks of the bits whose place (from 1) has binary digit k: their parities spell the syndrome."""
+    return [sum(1 << (i - 1) for i in range(1, coded + 1) if i >> k & 1) for k in range(coded.bit_length())]
+
+
+def anchors(fp: Column, coded: int = CODED) -> Column:
+    """All anchors within 2 bits of a fingerprint, for differences in its lowest ``coded`` + 1 bits (2 ** m - 1
+    coded ones and a free one); any higher bits are the same in all that are compared."""
     one = F.lit(1).cast("long")
 
     def bit(place: Column) -> Column:
         return F.call_function("shiftleft", one, (place - 1).cast("int"))
 
     syndrome = F.lit(0)
-    for k, mask in enumerate(PARITY):
+    for k, mask in enumerate(parity_masks(coded)):
         syndrome = syndrome + F.bit_count(fp.bitwiseAND(F.lit(mask))) % 2 * (1 << k)
-    top = F.lit(-(1 << 63))
+    top = F.lit(-(1 << 63) if coded == 63 else 1 << coded)
     home = F.when(syndrome == 0, fp).otherwise(fp.bitwiseXOR(bit(F.greatest(syndrome, F.lit(1)))))
-    low = F.filter(F.sequence(F.lit(1), F.lit(CODED)), lambda i: i < i.bitwiseXOR(syndrome))
+    low = F.filter(F.sequence(F.lit(1), F.lit(coded)), lambda i: i < i.bitwiseXOR(syndrome))
     far = F.transform(low, lambda i: fp.bitwiseXOR(bit(i)).bitwiseXOR(bit(i.bitwiseXOR(syndrome))))
     return F.concat(F.array(home, home.bitwiseXOR(top)), far)
 
@@ -93,9 +97,9 @@ def chained(anchor: int, members: list[int]) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(points: DataFrame) -> DataFrame:
+def near_links(points: DataFrame, coded: int = CODED) -> DataFrame:
     """``points``: distinct fp. Links (a, b) that join all fingerprints within 2 bits of each other."""
-    near = points.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+    near = points.select("fp", F.explode(anchors(F.col("fp"), coded)).alias("anchor"))
     near = near.repartition("anchor").sortWithinPartitions("anchor")
 
     def links(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -140,10 +144,9 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     return marked.join(linked.unionByName(lone), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_rows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: the one whose doc_id is the component's id. Where
-    an id repeats, its rows with equal texts count as one and those with different texts all stay."""
-    found = simhash_dedup(docs, width)
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component's id. Where an id repeats, its rows with equal
+    texts count as one and those with different texts all stay."""
     same, rows = fresh(docs.columns, "same_id", "rows")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = settle(keep.groupBy(F.col("doc_id").alias(same)).agg(F.count("*").alias(rows)))
@@ -152,3 +155,8 @@ def kept_rows(docs: DataFrame, width: int = 3) -> DataFrame:
         several = stays.where(F.col(rows) > 1)
         stays = stays.where(F.col(rows) == 1).unionByName(several.dropDuplicates(["doc_id", "text"]))
     return stays.select(*docs.columns)
+
+
+def kept_rows(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each component of ``simhash_dedup``, with all its columns."""
+    return _one_of_each(docs, simhash_dedup(docs, width))
