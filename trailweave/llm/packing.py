@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,55 +27,91 @@ OPEN = 128
 #: Partitions whose open windows are merged by one task: up to OPEN * MERGED windows of light records.
 MERGED = 64
 END_ID = 1
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_200_000
+#: Texts whose words are looked up together, in characters (and the one that goes beyond).
+GROUP_CHARS = 1_000_000
+#: Words in one text for the tokenizer, and what its vocabulary marks a word's last token with.
+JOINED = 128
+WORD_END = "</w>"
 LONGEST_KEPT = 64
 MARKS = b".,!?;:"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words, as bytes, by the word in lower case (A-Z only); filled on demand.
 
     The tokenizer drops white space, ignores case and merges inside runs of letters or of marks only, so the
     ids of a text are those of its words in turn, and those of a word with marks behind a letter are those
-    of the two. Each distinct word is tokenised once while it is remembered.
+    of the two. Each distinct word is tokenised once while it is remembered, many at a time.
     """
 
     def __init__(self, definition: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.known: dict[bytes, bytes] = {}
 
     def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return ((w, array("I", e.ids).tobytes()) for w, e in zip(words, found))
-
-    def __missing__(self, word: bytes) -> bytes:
-        return next(self._encoded([word]))[1]
+        """Runs of letters go to the tokenizer many in one text, which halves its work. Each word gives one
+        word end at least, so if there are as many ends as words, the ends tell whose ids are whose."""
+        alone, runs = [], []
+        for w in words:
+            text = w.decode()
+            (runs if text.isalpha() else alone).append((w, text))
+        groups = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)]
+        found = self.tokenizer.encode_batch_fast([" ".join([t for _, t in g]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(group):
+                alone += group
+                continue
+            data = ids.tobytes()
+            for (w, _), start, end in zip(group, [0, *cuts], cuts):
+                yield w, data[start:end]
+        for (w, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)):
+            yield w, array("I", e.ids).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, whole, parts = self.known, set(), []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core and (core[-1:].isalpha() or core.decode()[-1].isalpha()):
+                parts.append((w, core, w[len(core) :]))
+                whole.update((core, w[len(core) :]))
+            else:
+                whole.add(w)
+        known.update(self._encoded(list(whole.difference(known))))
+        for w, core, marks in parts:
+            known[w] = known[core] + known[marks]
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; ASCII white space ends a word."""
-        for text in texts:
-            words = text.encode().lower().split()
-            new = [w for w in set(words) if w not in self and len(w) <= LONGEST_KEPT]
-            if new:
-                if len(self) + 2 * len(new) > MOST_WORDS:
-                    self.clear()
-                    new = [w for w in set(words) if len(w) <= LONGEST_KEPT]
-                whole, parts = [], []
-                for w in new:
-                    core = w.rstrip(MARKS)
-                    if len(core) < len(w) and core and (core[-1:].isalpha() or core.decode()[-1].isalpha()):
-                        parts.append((w, core, w[len(core) :]))
-                    else:
-                        whole.append(w)
-                lone = {x for _, *both in parts for x in both if x not in self}
-                self.update(self._encoded(list(lone.union(whole))))
-                for w, core, marks in parts:
-                    self[w] = self[core] + self[marks]
-            yield b"".join(map(self.__getitem__, words))
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                group.append(texts[at].encode().lower().split())
+                size += len(texts[at])
+                at += 1
+            new = set().union(*group).difference(self.known)
+            if new and len(self.known) + 2 * len(new) > MOST_WORDS:
+                self.known.clear()
+                new = set().union(*group)
+            long = {w for w in new if len(w) > LONGEST_KEPT}
+            self._learn(new - long)
+            rare = dict(self._encoded(list(long))) if long else {}
+            known = self.known
+            for words in group:
+                if rare and not rare.keys().isdisjoint(words):
+                    yield b"".join([rare[w] if w in rare else known[w] for w in words])
+                else:
+                    yield b"".join(map(known.__getitem__, words))
 
 
 _READY: dict[str, WordIds] = {}
