@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from trailweave.llm.common import resident
+
 #: Entries that a worker remembers for words and for pairs of tokens; then it forgets them all.
 MOST_WORDS = 1_000_000
 MOST_PAIRS = 1_000_000
@@ -171,16 +173,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
-_READY: dict[str, ByteBpe] = {}
-
-
 def encoder(vocabulary: bytes, pattern: str) -> ByteBpe:
-    """One for each vocabulary and worker process."""
     key = hashlib.sha256(vocabulary + pattern.encode()).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = ByteBpe(read_ranks(vocabulary), pattern)
-    return _READY[key]
+    return resident(("byte bpe", key), lambda: ByteBpe(read_ranks(vocabulary), pattern))
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

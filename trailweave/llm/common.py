@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,18 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+_RESIDENT: dict[tuple, Any] = {}
+
+
+def resident(key: tuple, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one object at a time, whichever operator needs it, since
+    workers outlive stages and their memories would add up."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the byte-wise path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

@@ -20,14 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import settle
+from trailweave.llm.common import resident, settle
 
 WINDOW = 2048
 OPEN = 128
 #: Partitions whose open windows are merged by one task: up to OPEN * MERGED windows of light records.
 MERGED = 64
 END_ID = 1
-MOST_WORDS = 1_200_000
+MOST_WORDS = 800_000
 #: Texts whose words are looked up together, in characters (and the one that goes beyond).
 GROUP_CHARS = 1_000_000
 #: Words in one text for the tokenizer, and what its vocabulary marks a word's last token with.
@@ -114,15 +114,8 @@ class WordIds:
                     yield b"".join(map(known.__getitem__, words))
 
 
-_READY: dict[str, WordIds] = {}
-
-
 def word_ids(definition: bytes) -> WordIds:
-    key = hashlib.sha256(definition).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = WordIds(definition.decode())
-    return _READY[key]
+    return resident(("word ids", hashlib.sha256(definition).hexdigest()), lambda: WordIds(definition.decode()))
 
 
 class BestFit:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.common import resident
+
 FOLDS = 5
 MARKS = ".,;:!?…\"'`()[]{}<>|*#$%&@/\\-_«»“”‘’¡¿"
 #: Lengths of word beginnings that are features next to the whole word.
 STARTS = (4, 5, 6)
 BITS = 18
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -174,15 +177,9 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-_READY: dict[tuple, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
-    key = (shared.value[1], shared.value[0].tobytes()[:4096], float(shared.value[0].sum()))
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Scorer(*shared.value)
-    return _READY[key]
+    weights, bias = shared.value
+    return resident(("toxicity", hashlib.sha256(weights).hexdigest(), bias), lambda: Scorer(weights, bias))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings()) -> DataFrame:
