@@ -20,6 +20,8 @@ from trailweave.streaming.stitch import run_files
 
 QUERIES, ORACLES = {}, {}
 CONFIG = StitchConfig()
+#: The library's default is 15 passes; from the third on, healing is too slow yet (see README).
+FEW_PASSES = StitchConfig(heal_passes=2)
 
 VISITS = """visits AS (
   SELECT event_id, user_id AS person_id,
@@ -668,13 +670,13 @@ def telemetry(spark, d):
 
 @query()
 def heal_fixpoint(spark, d):
-    healed, _ = heal.heal(rd.fragments(spark, d).select(*heal.COLUMNS), rd.zone_edges(spark, DEMO_ZONES))
+    healed, _ = heal.heal(rd.fragments(spark, d).select(*heal.COLUMNS), rd.zone_edges(spark, DEMO_ZONES), FEW_PASSES)
     return healed
 
 
 @query()
 def stitch_full(spark, d):
-    return journey.run(spark, rd.detections(spark, d), DEMO_ZONES)["journeys"]
+    return journey.run(spark, rd.detections(spark, d), DEMO_ZONES, FEW_PASSES)["journeys"]
 
 
 @query()
