@@ -98,6 +98,19 @@ def test_fixpoint_merges_a_chain(spark):
     assert len(row) == 1 and row[0].frag_id == 0 and row[0].n_visits == 5 and sum(merged.values()) == 4
 
 
+def test_registered_healing_has_no_limit_of_its_own(spark, monkeypatch):
+    from trailweave.plans import journey, registry
+
+    asked = []
+    monkeypatch.setattr(registry.heal, "heal", lambda f, e, c=StitchConfig(): (asked.append(c), (f, {}))[1])
+    monkeypatch.setattr(journey, "run", lambda s, d, z, c=StitchConfig(): (asked.append(c), {"journeys": None})[1])
+    for name in ("fragments", "detections"):
+        monkeypatch.setattr(registry.rd, name, lambda *a: frags(spark, (1, 0, 1, "Z_N1", "Z_N1", 1, "F", 3)))
+    registry.QUERIES["heal_fixpoint"](spark, "")
+    registry.QUERIES["stitch_full"](spark, "")
+    assert asked == [StitchConfig()] * 2
+
+
 def test_teleport_needs_the_same_bin(spark):
     f = frags(spark, (1, 580, 590, "Z_N1", "Z_N1", 1, "F", 3))
     d = spark.createDataFrame([(1, 595 * 10**6, "Z_S1", "M"), (2, 610 * 10**6, "Z_S1", "M")], "event_id long, entry_us long, zone_id string, gender string")
