@@ -80,3 +80,16 @@ def test_copies_like_the_original_but_not_each_other(make):
     expected = brute_groups(rows)
     assert set(expected.values()) == {0}
     assert {r.doc_id: r.component_id for r in similar.similar_dedup(make(rows)).collect()} == expected
+
+
+def test_copies_by_cutting_and_repeating(make):
+    """Texts against their first part (overlap 0.8 to 0.9) and against themselves with one line many times."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        body = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(i, " ".join(body)), (1000 + i, " ".join(body[: 242 + i % 30]))]
+        rows.append((2000 + i, " ".join(body + body[10:20] * 100)))
+    expected = brute_groups(rows)
+    assert all(expected[k + i] == i for i in range(60) for k in (1000, 2000))
+    assert {r.doc_id: r.component_id for r in similar.similar_dedup(make(rows)).collect()} == expected
