@@ -1,7 +1,9 @@
 import random
+import zlib
 from array import array
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as public
 import tiktoken
 from tokenizers import Tokenizer
@@ -37,8 +39,11 @@ def test_bpe_query_form(make, odd):
 def test_word_ids_are_the_library():
     path = public.path("word_bpe_49k.json")
     mine, theirs = packing.WordIds(open(path).read()), Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
     sample = texts(3000, 8) + ["Word, word. WORD! don't we'll x" + "y" * 200 + "."]
+    sample += ["GELDİ. İ! ज़क़, फ़. \u0958. \u095f!", "hello <|endoftext|> world", "<|STARTOFTEXT|> <|startoftext|>x", "é. e\u0301. ﬁ, ǰ! Ǆ; ΣΑΣ. ß?"]
+    rng = random.Random(12)
+    letters = ["İ", "Σ", "ज़", "फ़", "\u0958", "ß", "é", "e\u0301", "a", "Z", "ﬁ", "가", "ᄀ", "ᅡ", "ǰ", ".", "!", ",", "?", ";", ":", "'s", " ", "<|endoftext|>", "\u0307", "़"]
+    sample += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(6000)]
     for t, ids, e in zip(sample, mine.batch(sample), theirs.encode_batch(sample, add_special_tokens=False)):
         assert array("I", ids).tolist() == e.ids, t
 
@@ -66,7 +71,15 @@ def test_packing_keeps_every_id_once(make, odd):
     want = defaultdict(int)
     for i, t in rows:
         want[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    rows += [(900, "GELDİ. ज़क़, <|endoftext|> फ़."), (901, "word " * 5000)]
+    for i, t in rows[-2:]:
+        want[i] += len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
     got = packing.pack(make(rows, 9), path, most_open=8).collect()
+    of = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows if i is not None and i != 4}
+    for r in got:  # each piece is the library's ids from its start
+        if r.doc_id in of:
+            piece = of[r.doc_id][r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes()) and r.doc_tokens == len(of[r.doc_id])
     assert check_packing(got, want, packing.WINDOW) > 0.9
     assert all(r.start % packing.WINDOW == 0 and 0 < r.length <= packing.WINDOW for r in got)
     assert packing.pack(make([]), path).count() == 0

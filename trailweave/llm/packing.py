@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -42,7 +43,8 @@ class WordIds:
 
     The tokenizer drops white space, ignores case and merges inside runs of letters or of marks only, so the
     ids of a text are those of its words in turn, and those of a word with marks behind a letter are those
-    of the two. Each distinct word is tokenised once while it is remembered, many at a time.
+    of the two, if that letter stays one letter in the tokenizer's normal form. Each distinct word is tokenised
+    once while it is remembered, many at a time. A text with a special token's name goes to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
@@ -50,7 +52,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -81,7 +83,7 @@ class WordIds:
         known, whole, parts = self.known, set(), []
         for w in new:
             core = w.rstrip(MARKS)
-            if len(core) < len(w) and core and (core[-1:].isalpha() or core.decode()[-1].isalpha()):
+            if len(core) < len(w) and core and (core[-1:].isalpha() or stays_a_letter(core.decode()[-1])):
                 parts.append((w, core, w[len(core) :]))
                 whole.update((core, w[len(core) :]))
             else:
@@ -92,6 +94,14 @@ class WordIds:
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; ASCII white space ends a word."""
+        named = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        if not named:
+            return (yield from self._batch(texts))
+        plain = self._batch(["" if i in named else t for i, t in enumerate(texts)])
+        for i, (t, ids) in enumerate(zip(texts, plain)):
+            yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if i in named else ids
+
+    def _batch(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
             group, size = [], 0
@@ -114,6 +124,13 @@ class WordIds:
                     yield b"".join(map(known.__getitem__, words))
 
 
+def stays_a_letter(c: str) -> bool:
+    """Whether the tokenizer's normal form of a character is one letter. Some letters become a letter and a
+    mark, which would join the marks behind it."""
+    normal = unicodedata.normalize("NFC", c.lower())
+    return len(normal) == 1 and c.isalpha() and normal.isalpha()
+
+
 def word_ids(definition: bytes) -> WordIds:
     return resident(("word ids", hashlib.sha256(definition).hexdigest()), lambda: WordIds(definition.decode()))
 
