@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from trailweave.llm import exact_dedup, line_dedup, simhash
+from trailweave.llm import bits, exact_dedup, line_dedup, simhash
 from trailweave.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,10 +42,30 @@ def test_exact_kept_rows(make, odd):
     assert exact_dedup.kept_rows(make([])).count() == exact_dedup.exact_dedup(make([])).count() == 0
 
 
-def test_exact_beyond_the_broadcast(make, odd, monkeypatch):
-    want = sorted(map(str, exact_dedup.exact_dedup(make(odd)).collect()))
-    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", -1)
-    assert sorted(map(str, exact_dedup.exact_dedup(make(odd)).collect())) == want
+def test_exact_with_full_filters(make, odd, monkeypatch):
+    """Filters so small that nearly all rows pass: the joins behind must give the same."""
+    rows = odd + [(500 + i, f"text {i % 7}") for i in range(40)] + [(600 + i, f"own {i}") for i in range(40)]
+    want = sorted(map(str, exact_dedup.exact_dedup(make(rows)).collect())), sorted(map(str, exact_dedup.kept_rows(make(rows)).collect()))
+    monkeypatch.setattr(bits, "LEAST_LOG", 5)
+    monkeypatch.setattr(bits, "MOST_LOG", 5)
+    got = sorted(map(str, exact_dedup.exact_dedup(make(rows)).collect())), sorted(map(str, exact_dedup.kept_rows(make(rows)).collect()))
+    assert got == want
+
+
+def shuffled_columns(df):
+    """Output columns of every shuffle in a plan."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+
+
+def test_exact_shuffles_no_texts(spark, odd):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = spark.createDataFrame([r for r in odd if r[0] not in (None, 4)], "doc_id long, text string")
+        asked = shuffled_columns(exact_dedup.exact_dedup(docs))
+        assert asked and not any(re.search(r"\btext#", x) for x in asked)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def slow_fingerprint(text):

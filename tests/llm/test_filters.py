@@ -47,6 +47,8 @@ def test_quality_kept_rows(make, odd):
     docs = make(odd)
     got = quality.kept_rows(docs)
     assert got.columns == docs.columns and sorted(r.doc_id or 0 for r in got.collect()) == sorted((r.doc_id or 0) for r in quality.quality_rules(docs).collect() if r.kept)
+    text = "This is the first good line of text.\n\nRead more\nThis is the second one, as good as the first.\n"
+    assert quality.kept_rows(make([(1, text)])).first().text == text.replace("Read more\n", "")
     assert quality.kept_rows(make([])).count() == quality.quality_rules(make([])).count() == 0
 
 

@@ -1,5 +1,6 @@
 import random
-from collections import defaultdict
+
+import numpy as np
 
 from trailweave.llm import simhash_similar as similar
 
@@ -13,38 +14,60 @@ def test_groups_match_brute_force(make, odd):
         for _ in range(1 + i % 12):  # from close copies to ones below the threshold
             copy[rng.randrange(len(copy))] = rng.choice(words)
         rows.append((200 + i, " ".join(copy)))
+    expected = brute_groups(rows)
+    assert len(set(expected.values())) > 50 and sum(expected[200 + i] == 100 + i for i in range(40)) > 10
     rows += [r for r in odd if r[0] not in (None, 4)] + [odd[3]]
-    sets = {i: set(similar.shingles((t or "").encode().lower().split())) for i, t in rows}
-    overlap = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     got = {r.doc_id: r.component_id for r in similar.similar_dedup(make(rows)).collect()}
-    assert set(got) == {i for i, _ in rows}
-    near = [i for i in range(40) if overlap(100 + i, 200 + i) >= 0.8]
-    far = [i for i in range(40) if overlap(100 + i, 200 + i) < 0.8]
-    assert far and sum(got[200 + i] == 100 + i for i in near) >= 0.95 * len(near) > 10
-    assert all(got[200 + i] == 200 + i for i in far) and all(got[100 + i] == 100 + i for i in range(40))
-    assert got[5] == got[4] == 4 and got[2] == got[1] == 1
+    assert {i: got[i] for i in expected} == expected and set(got) == {i for i, _ in rows}
+    assert got[5] == got[4] == 4 and got[2] == got[1] == 1 and got[3] == 3
     kept = similar.kept_rows(make(rows)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
 
 
-def test_a_large_group_gives_few_links(make, spark):
-    """Hundreds of near copies of one text: links stay in proportion to the texts, and one row stays."""
+def test_a_large_group_gives_few_pairs(make, monkeypatch):
+    """2,000 near copies of one text: compared pairs stay in proportion to the texts, and one row stays."""
     rng = random.Random(8)
-    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
     rows = []
-    for i in range(300):
+    for i in range(2000):
         copy = list(base)
-        for _ in range(2):
-            copy[rng.randrange(400)] = f"x{i}"
+        for _ in range(i % 3):
+            copy[rng.randrange(150)] = f"x{i}"
         rows.append((i, " ".join(copy)))
-    docs = make(rows)
-    marked = similar._sketches(docs)
-    links = similar.candidate_links(marked.select("t", "s0", "s1", "s2", "s3").distinct()).collect()
-    assert len(links) < 40 * len(rows)
-    by = defaultdict(int)
-    for r in similar.similar_dedup(docs).collect():
-        by[r.component_id] += 1
-    assert by[0] == 300
+    compared, overlapping = [], similar.overlapping
+    monkeypatch.setattr(similar, "overlapping", lambda docs, pairs, least: (compared.append(pairs.count()), overlapping(docs, pairs, least))[1])
+    got = {r.component_id for r in similar.similar_dedup(make(rows)).collect()}
+    assert got == {0} and sum(compared) < 4 * len(rows)
+
+
+def test_dense_buckets_are_compared_whole(make, monkeypatch):
+    """Near copies whose buckets stay mixed, with bitmaps from the first round on and few members at a time."""
+    monkeypatch.setattr(similar, "DENSE", 1)
+    monkeypatch.setattr(similar, "MOST_FIRSTS", 16)
+    monkeypatch.setattr(similar, "BUCKET_PART", 20)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for k, at in enumerate(rng.sample(range(0, 200, 6), rng.randrange(7))):
+            copy[at] = f"x{i % 40 if k % 2 else i}y{k}"
+        rows.append((i, " ".join(copy)))
+    expected = brute_groups(rows)
+    assert len(set(expected.values())) > 1
+    assert {r.doc_id: r.component_id for r in similar.similar_dedup(make(rows)).collect()} == expected
+
+
+def test_bitmaps_bound_the_overlap(make, spark):
+    rng = random.Random(10)
+    sets = [np.unique(np.array([rng.getrandbits(63) for _ in range(n)])) for n in (1, 5, 60, 100, 119)]
+    sets += [np.unique(np.r_[s, np.array([rng.getrandbits(63) for _ in range(3)])]) for s in sets]
+    rows = [(k, len(s), similar.bitmap(s).tolist()) for k, s in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "t long, n long, bm array<long>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    near = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    got = {tuple(r) for r in similar.possible(spark.createDataFrame(pairs, "a long, b long"), texts, 0.8).collect()}
+    assert near <= got and len(near) == 3 and len(got) < 8
 
 
 def test_odd_rows(make, odd):

@@ -38,11 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage through the shared folder."""
+    """Computes ``df`` once and cuts its lineage through the shared folder.
+
+    A checkpoint keeps the plan's size estimate, which joins multiply, so that over the steps of a loop it
+    becomes a number of millions of digits; a new DataFrame over the rows starts without it.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out, spark = df.checkpoint(eager=True)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(out.javaRDD(), out.schema()), spark)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -1,7 +1,8 @@
 """Exact duplicates by progressive refinement: length, then a hash of the prefix, then of the whole text.
 
-Only counts of light keys are shuffled, never texts, and a group of copies, however large, shrinks to one
-record in each map task.
+Texts stay in their map tasks: counts of light keys are shuffled, then digests of rows whose length and
+prefix repeat, and a group of copies, however large, shrinks to one record for each id in each map task. What
+is broadcast are bit filters of bounded size; what they can't tell is sorted out by joins of light records.
 """
 
 from __future__ import annotations
@@ -9,24 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.llm.bits import filter_of, may_hold
 from trailweave.llm.common import fold_ascii, fresh, settle, text_or_empty
 
 PREFIX_CHARS = 64
-#: Rows of a table of keys (two longs, or a digest and two longs) that may be broadcast: some 10 MB.
-BROADCAST_ROWS = 100_000
-
-
 def digest(text: Column) -> Column:
     """SHA-256 of the folded text, 32 bytes."""
     return F.unhex(F.sha2(fold_ascii(text).cast("binary"), 256))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Broadcasts the settled ``right`` if it is small enough; else it is a shuffled join, which adaptive
-    execution splits where a key is hot, since ``right`` has one row for each key."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
-
-
 def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row for each text that several rows hold: digest, keep_id (the largest doc_id), group_size and
     keep_rows (rows of the group that carry keep_id: over 1 only if an id repeats)."""
@@ -38,8 +30,12 @@ def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     keys = rows.select(*light).groupBy("length", "prefix").agg(F.count("*").alias("n"))
     keys = keys.withColumn("of_length", F.sum("n").over(Window.partitionBy("length")))
     alive = settle(keys.where("of_length > 1 and n > 1").select("length", "prefix"))
-    full = _joined(rows.select("doc_id", "text", *light), alive, ["length", "prefix"], "left_semi")
-    by_id = full.select("doc_id", digest(F.col("text")).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    # texts that may survive are hashed in full where they are; the join behind sorts out the others
+    key = F.xxhash64("length", "prefix")
+    some = rows.select("doc_id", "text", *light).where(may_hold(filter_of(settle(alive.select(key.alias("key")))), key))
+    some = some.select("doc_id", "length", "prefix", digest(F.col("text")).alias("digest"))
+    by_id = some.groupBy("length", "prefix", "digest", "doc_id").agg(F.count("*").alias("n"))
+    by_id = by_id.join(alive, ["length", "prefix"], "left_semi")
     groups = by_id.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"),
         F.sum("n").alias("group_size"),
@@ -58,7 +54,7 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """
     groups = duplicate_groups(docs, prefix_chars)
     rows = docs.select(F.col("doc_id"), digest(text_or_empty("text")).alias("digest"))
-    rows = _joined(rows, groups, ["digest"], "left")
+    rows = rows.join(groups, "digest", "left")
     lone = F.col("group_size").isNull()
     found = rows.select(
         "doc_id",
@@ -77,15 +73,30 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; no text is shuffled unless an id repeats
-    within a group of equal texts."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest doc_id.
+    Null text counts as empty; of equal rows one stays; an empty table gives an empty result.
+
+    Rows whose text nobody shares, and rows that surely go, are told by bit filters in their map tasks. Only
+    those that stay for their group, and the filters' few false ones, are joined with all their columns."""
     groups = duplicate_groups(docs, prefix_chars)
     mark = fresh(docs.columns, "digest", "keep_id", "group_size", "keep_rows")
     of, keep, size, rows_of = mark
+    shared = filter_of(settle(groups.select(F.xxhash64("digest").alias("key"))))
+    stay = filter_of(settle(groups.select(F.xxhash64("digest", "keep_id").alias("key"))))
     rows = docs.withColumn(of, digest(text_or_empty("text")))
-    rows = _joined(rows, groups.toDF(*mark), [of], "left")
-    stays = rows.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
-    if not groups.where("keep_rows > 1").isEmpty():
-        several = F.coalesce(F.col(rows_of), F.lit(1)) > 1
-        stays = stays.where(~several).unionByName(stays.where(several).dropDuplicates([of, "doc_id"]))
-    return stays.select(*docs.columns)
+    copied = may_hold(shared, F.xxhash64(F.col(of)))
+    some = rows.where(copied)
+    lone = some.where(~may_hold(stay, F.xxhash64(F.col(of), F.col("doc_id"))))
+    some = some.where(may_hold(stay, F.xxhash64(F.col(of), F.col("doc_id")))).join(groups.toDF(*mark), of, "left")
+    some = some.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
+    # of those, copies go; the first filter's false ones are found by their digests, which are light
+    false = rows.select(of).where(copied).distinct().join(groups.select(F.col("digest").alias(of)), of, "left_anti")
+    lone = lone.where(may_hold(filter_of(settle(false.select(F.xxhash64(of).alias("key")))), F.xxhash64(F.col(of))))
+    lone = lone.join(groups.select(F.col("digest").alias(of)), of, "left_anti")
+    out = rows.where(~copied).select(*docs.columns).unionByName(lone.select(*docs.columns))
+    if groups.where("keep_rows > 1").isEmpty():
+        return out.unionByName(some.select(*docs.columns))
+    several = F.coalesce(F.col(rows_of), F.lit(1)) > 1
+    return out.unionByName(some.where(~several).select(*docs.columns)).unionByName(
+        some.where(several).dropDuplicates([of, "doc_id"]).select(*docs.columns)
+    )

@@ -84,7 +84,8 @@ def judge(text: str, rules: LineRules) -> dict:
     lines = text.split("\n")
     full = [x for x in lines if x.encode().split()]
     base = n < rules.base_words or 100 * repeated > rules.base_repeat_percent * n
-    good = [x for x in full if line_fault(x, rules) is None]
+    bad = {x for x in full if line_fault(x, rules) is not None}
+    good = [x for x in full if x not in bad]
     left = sum(len(w) for x in good for w in x.split())
     had = sum(len(w) for x in full for w in x.split())
     return {
@@ -97,7 +98,7 @@ def judge(text: str, rules: LineRules) -> dict:
         "kept": not base and left >= rules.least_kept * had,
         "n_lines": len(full),
         "n_bad_lines": len(full) - len(good),
-        "cleaned": "\n".join(good),
+        "cleaned": "\n".join([x for x in lines if x not in bad]) if bad else text,
     }
 
 
@@ -126,11 +127,17 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), with_text: bo
 
 
 def kept_rows(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows that pass, unchanged, with all their columns."""
+    """The rows that pass, with all their columns; their texts lose the lines that fail, blank lines stay.
+
+    Null and blank texts fail the base rule. Rows are judged alone, so repeated rows pass or fail together;
+    texts of any length are read whole; an empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([judge(t or "", rules)["kept"] for t in batch.column(at).to_pylist()], pa.bool_()))
+            found = [judge(t or "", rules) for t in batch.column(at).to_pylist()]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array([x["cleaned"] for x in found], batch.schema.field(at).type))
+            yield batch.filter(pa.array([x["kept"] for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

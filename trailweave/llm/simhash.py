@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.bits import filter_of, may_hold
 from trailweave.llm.common import fresh, settle
 from trailweave.llm.components import components
 
@@ -136,27 +137,41 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """
     marked = settle(fingerprints(docs, width))
     points = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = marked.join(point_groups(points), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def point_groups(points: DataFrame) -> DataFrame:
+    """``points``: distinct fp with ``least``, any value of theirs. fp and component, the least value in its
+    component of fingerprints at most 2 bits apart."""
     labels = components(near_links(points.select("fp")))
     linked = points.join(labels.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "label").select("fp", "component_id")
-    lone = points.join(labels.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return marked.join(linked.unionByName(lone), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = linked.groupBy("label").agg(F.min("least").alias("component"))
+    linked = linked.join(least, "label").select("fp", "component")
+    lone = points.join(labels.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component"))
+    return linked.unionByName(lone)
+
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component's id; ``found`` has doc_id and component_id. Where an
+    id repeats, its rows with equal texts count as one and those with different texts all stay.
 
-def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's id. Where an id repeats, its rows with equal
-    texts count as one and those with different texts all stay."""
+    Rows of other ids than those that go or repeat are told by a bit filter and stay in their map tasks; the
+    rest is joined."""
     same, rows = fresh(docs.columns, "same_id", "rows")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = settle(keep.groupBy(F.col("doc_id").alias(same)).agg(F.count("*").alias(rows)))
-    stays = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(same)))
-    if not keep.where(F.col(rows) > 1).isEmpty():
-        several = stays.where(F.col(rows) > 1)
-        stays = stays.where(F.col(rows) == 1).unionByName(several.dropDuplicates(["doc_id", "text"]))
-    return stays.select(*docs.columns)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = settle(found.groupBy("doc_id").agg(F.count_if(kept).alias(rows), F.count("*").alias("all_rows")))
+    special = ids.where(f"{rows} <> 1 or all_rows > 1")
+    shared = filter_of(settle(special.select(F.xxhash64("doc_id").alias("key"))))
+    maybe = may_hold(shared, F.xxhash64("doc_id"))
+    some = docs.where(maybe).join(special.select(F.col("doc_id").alias(same), rows), F.col("doc_id").eqNullSafe(F.col(same)), "left")
+    some = some.where(F.col(same).isNull() & F.col(rows).isNull() | (F.col(rows) > 0))
+    out = docs.where(~maybe).select(*docs.columns).unionByName(some.where(F.coalesce(F.col(rows), F.lit(1)) == 1).select(*docs.columns))
+    if not special.where(F.col(rows) > 1).isEmpty():
+        out = out.unionByName(some.where(F.col(rows) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return out
 
 
 def kept_rows(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each component of ``simhash_dedup``, with all its columns."""
-    return _one_of_each(docs, simhash_dedup(docs, width))
+    return one_of_each(docs, simhash_dedup(docs, width))

@@ -1,18 +1,22 @@
 """Near copies by overlap of word shingles: every pair of texts whose sets of 5-word shingles overlap by 0.8
 or more (Jaccard) ends in one group.
 
-Candidates come from an exact prefix filter. In one order of all shingles, two sets that overlap by ``least``
-share a shingle among the first n - ceil(least * n) + 1 of each, so only these are put in buckets; sizes and
-the places of the shared shingle rule out most of the rest. Shingles seen often come last in the order, which
-keeps common passages out of the prefixes. The order changes the cost, never the result.
-
-In a bucket, the members that share most come first. The first is compared with all others, then the next
-four, the next sixteen and so on, but only where members are not yet in one group. A bucket is left when it
-is one group or when all its pairs are settled, so a large group of close copies costs about one comparison
-a text, and no pair is given up because it was linked to a text unlike it.
-
-``sketch`` and ``candidate_links`` are the older search by fingerprints of 256 bits; it is not exhaustive and
-``similar_dedup`` does not use it. Texts equal after lower-casing A-Z are one point.
+SimHash comes first: the fingerprints of 5-word shingles go through the operator's anchors, and each text is
+compared, set against set, with one text of its component. That settles groups of close copies, however
+large, at one comparison a text. Fingerprints alone can't find all pairs at 0.8 (about 10 of 64 bits differ
+there), so an exact prefix filter looks for what is left. In one order of all shingles, two sets that overlap
+by ``least`` share a shingle among the first n - ceil(least * n) + 1 of each, so only these are put in
+buckets. Shingles seen often come last in the order, which keeps common passages out of the prefixes; the
+order changes the cost, never the result.
+
+In a bucket, members outside its largest group come first, those that share most before others. The first is
+compared with all members of other groups and leaves, then the next four, the next sixteen and so on, until
+one group is left. So a large group of close copies costs about one comparison a text, and no pair is given
+up because it was linked to a text unlike it. Places of the shared shingle, sizes and small bitmaps bound the
+overlap from above and rule out nearly all pairs that are no copies; only the rest has its sets compared.
+
+Shingles are hashed anew from the texts where they are needed, so neither texts nor all sets are shuffled or
+kept: light records are, and the sets of texts that are compared. Texts equal after lower-casing A-Z are one.
 """
 
 from __future__ import annotations
@@ -21,191 +25,345 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.llm import exact_dedup, simhash
+from trailweave.llm.bits import filter_of
 from trailweave.llm.common import settle
 from trailweave.llm.components import components
-from trailweave.llm.line_dedup import FILTER_BITS, _filter_bits
-from trailweave.llm.simhash import AT_ONCE, _one_of_each, near_links
 
-BLOCKS = 8
-BLOCK_CODED = 31
-#: Bits of 256 in which two texts worth a full comparison may differ; unrelated ones differ in about 120.
-MOST_BITS = 64
 WIDTH = 5
 LEAST = 0.8
 #: A shingle in more prefixes than this goes behind the rarer ones.
 OFTEN = 8
 #: Each round compares so many times more members of a bucket with the rest than the one before.
-GROWTH = 4
+GROWTH = 16
+#: A bucket's first members are chosen in so many parts, then among the parts' first.
+PARTS = 32
+#: From this number of first members on, a round compares bitmaps in map tasks; more than MOST_FIRSTS are left
+#: to later rounds. Large buckets are dealt out in parts of about BUCKET_PART members.
+DENSE, MOST_FIRSTS, BUCKET_PART = 256, 4096, 20_000
+#: The largest bitmap of a text is 2 ** MOST_LOG bits.
+MOST_LOG = 17
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+MIX = np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def text_id(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+#: Texts are hashed in parts of so many bytes, or one text.
+PART_BYTES = 4_000_000
+
+
+def hashed(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased and cut at ASCII white space, and how many of them each text has."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not real.all():
+        ends = np.r_[0, np.cumsum(real)][np.cumsum(sizes)]
+        sizes, flat = np.diff(ends, prepend=0), flat.filter(pa.array(real))
+    coded = flat.dictionary_encode()
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[coded.indices.to_numpy()], sizes
+
+
+def shingle_ids(texts: pa.StringArray) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its WIDTH-word shingles; of fewer words, one for the
+    whole; of none, none."""
+    h, sizes = hashed(texts)
+    out = np.zeros(max(len(h) - WIDTH + 1, 0), np.uint64)
+    for k in range(WIDTH):  # each word's place counts
+        part = h[k : len(out) + k] * FACTORS[k]
+        out += part ^ part >> np.uint64(31)
+    out = mixed(out).view(np.int64)
+    found, at = [], 0
+    for n in sizes.tolist():
+        if n >= WIDTH:
+            found.append(np.unique(out[at : at + n - WIDTH + 1]))
+        else:
+            found.append(np.array([text_id(h[at : at + n].tobytes())] if n else [], np.int64))
+        at += n
+    return found
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * MIX
+    return x ^ x >> np.uint64(29)
+
+
+def parts(texts: pa.Array):
+    """The texts in turn, nulls as empty ones, in parts of PART_BYTES at most or of one text."""
+    texts = texts.fill_null("")
+    at, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > PART_BYTES:
+            yield at, texts.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    yield at, texts.slice(at)
+
+
+def text_ids(texts: pa.StringArray) -> list[int]:
+    return [text_id(x) for x in pc.ascii_lower(texts).cast(pa.binary()).to_pylist()]
+
+
+def bitmap(ids: np.ndarray) -> np.ndarray:
+    """Which low bits of the hashes occur, in 8 to 16 times as many places (a power of two) as there are shingles,
+    as longs."""
+    log = min(max((8 * len(ids) - 1).bit_length(), 6), MOST_LOG)
+    out = np.zeros(1 << log, bool)
+    out[ids & (1 << log) - 1] = True
+    return np.packbits(out, bitorder="little").view("<i8")
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+
+def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
+    """Rows that ``row(t, shingles)`` gives for each text, as a list of column arrays."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def run(batches):
+        for batch in batches:
+            for _, texts in parts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays(row(text_ids(texts), shingle_ids(texts)), names)
 
-def _id(folded: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(folded) - (1 << 63)
-
-
-def sketch(words: list[bytes]) -> np.ndarray:
-    """Four signed longs: the majority of each of 256 bits over the hashes of word pairs, repeats included."""
-    pairs = list(map(b" ".join, zip(words, words[1:]))) or words
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(pairs), AT_ONCE // 4):
-        part = pairs[at : at + AT_ONCE // 4]
-        raw = b"".join([xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2) for p in part])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(pairs), bitorder="little").view("<i8")
-
-
-def shingle_ids(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct hashes of WIDTH-word shingles; of fewer words, one for the whole."""
-    parts = list(map(b" ".join, zip(*(words[i:] for i in range(WIDTH))))) if len(words) >= WIDTH else [b" ".join(words)]
-    raw = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-    return np.unique((raw ^ np.uint64(1 << 63)).view(np.int64))
-
+    return docs.select("text").mapInArrow(run, schema)
 
-def shingles(words: list[bytes]) -> list[int]:
-    return shingle_ids(words).tolist()
 
+def marks(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the text's hash), n (its shingles), fp (the fingerprint of its shingles) and bm (its bitmap)."""
 
-def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            folded = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
-            marks = np.array([sketch(x.split()) for x in folded], np.int64).reshape(-1, 4)
-            columns = [batch.column(0), pa.array([_id(x) for x in folded], pa.int64()), *[pa.array(marks[:, k]) for k in range(4)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "s0", "s1", "s2", "s3"])
+            for at, texts in parts(batch.column(1)):
+                sets = shingle_ids(texts)
+                fps = [simhash.fingerprint(t, WIDTH) for t in texts.to_pylist()]
+                columns = [pa.array(x, pa.int64()) for x in (text_ids(texts), list(map(len, sets)), fps)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns, _lists(list(map(bitmap, sets)))], ["doc_id", "t", "n", "fp", "bm"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, s0 long, s1 long, s2 long, s3 long"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n long, fp long, bm array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def candidate_links(texts: DataFrame) -> DataFrame:
-    """``texts``: t, s0 to s3. Pairs a < b worth a full comparison."""
-    block = F.lit(0xFFFFFFFF)
-    halves = [F.col(f"s{k}").bitwiseAND(block) if h == 0 else F.shiftrightunsigned(f"s{k}", 32) for k in range(4) for h in (0, 1)]
-    points = texts.select("t", F.explode(F.array(*[h + F.lit(k << 32) for k, h in enumerate(halves)])).alias("fp"))
-    firsts = settle(points.groupBy("fp").agg(F.min("t").alias("first"), F.count("*").alias("n")))
-    same = points.join(firsts.where("n > 1"), "fp").select(F.col("first").alias("a"), F.col("t").alias("b"))
-    near = near_links(firsts.select("fp"), BLOCK_CODED)
-    for side in "ab":
-        near = near.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(f"t{side}")), side)
-    links = same.unionByName(near.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).where("a <> b")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in "ab":
-        links = links.join(texts.select(F.col("t").alias(side), *[F.col(f"s{k}").alias(f"{side}{k}") for k in range(4)]), side)
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)), F.lit(0))
-    return links.where(apart <= MOST_BITS).select("a", "b")
+def prefix(n: np.ndarray, least: float) -> np.ndarray:
+    return np.maximum(n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0) * (n > 0)
 
 
-def _shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, t and the text's shingles, sorted; none for a text without words."""
+def postings(docs: DataFrame, least: float) -> DataFrame:
+    """Buckets of at least two texts: tok, t, n (shingles of t), pos (of tok in t's order) and shared (how
+    large t's buckets are in all)."""
 
-    def run(batches):
-        for batch in batches:
-            folded = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
-            sets = [shingle_ids(w) if (w := x.split()) else np.zeros(0, np.int64) for x in folded]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            sh = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_id(x) for x in folded], pa.int64()), sh], ["doc_id", "t", "sh"])
+    def plain(ts, sets):
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *[s[: prefix(np.array(len(s)), least)] for s in sets]]))]
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, sh array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    seen = _scan(docs, "tok long", plain).groupBy("tok").agg(F.count("*").alias("n"))
+    seen = settle(seen.where("n > 1"))  # of the shingles' number, few
+    often = filter_of(settle(seen.where(F.col("n") > OFTEN).select("tok")))
 
+    def ordered(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix with frequent shingles last, and which of it the plain order has not."""
+        size = int(prefix(np.array(len(s)), least))
+        late = often.value.hit(s)
+        first = np.flatnonzero(~late)[:size]
+        at = np.concatenate([first, np.flatnonzero(late)[: size - len(first)]])
+        return s[at], at >= size
 
-def _marked(bits: bytes, values: np.ndarray) -> np.ndarray:
-    at = values & (1 << FILTER_BITS) - 1
-    return np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1
+    def moved(ts, sets):
+        parts = [x[new] for x, new in map(ordered, sets)]
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))]
 
+    more = _scan(docs, "tok long", moved).distinct()
+    wanted = filter_of(settle(seen.select("tok").unionByName(more)))
 
-def postings(texts: DataFrame, least: float) -> DataFrame:
-    """``texts``: t, sh. Buckets of at least two texts: tok, t, n (shingles of t), pos (of tok in t's order),
-    size (of the bucket) and rank (in it, from 1: those first that share most)."""
-    size = F.size("sh")
-    first = F.greatest(F.lit(0), size - F.ceil(least * size - 1e-9).cast("int") + 1)
-    seen = texts.where(size > 0).select(F.explode(F.slice("sh", F.lit(1), first)).alias("k1")).groupBy("k1").agg(F.count("*").alias("n"))
-    often = texts.sparkSession.sparkContext.broadcast(_filter_bits(seen.where(F.col("n") > OFTEN)))
+    def posted(ts, sets):
+        parts = [(x, wanted.value.hit(x)) for x, _ in map(ordered, sets)]
+        each = np.array([int(hit.sum()) for _, hit in parts], np.int64)
+        none = np.zeros(0, np.int64)
+        columns = [
+            np.concatenate([none, *[x[hit] for x, hit in parts]]),
+            np.repeat(np.array(ts, np.int64), each),
+            np.repeat(np.array([len(s) for s in sets], np.int64), each),
+            np.concatenate([none, *[np.flatnonzero(hit) for _, hit in parts]]),
+        ]
+        return [pa.array(c, pa.int64()) for c in columns]
 
-    def run(batches):
-        for batch in batches:
-            flat, n = batch.column(1).flatten().to_numpy(), pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            flat = flat[np.argsort(2 * row + _marked(often.value, flat), kind="stable")]
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            stay = pos < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[row]
-            row, columns = row[stay], [flat[stay], batch.column(0).to_numpy()[row[stay]], n[row[stay]], pos[stay]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tok", "t", "n", "pos"])
-
-    bucket = Window.partitionBy("tok")
-    rows = texts.select("t", "sh").mapInArrow(run, "tok long, t long, n long, pos long")
-    rows = rows.withColumn("lo", F.min("t").over(bucket)).withColumn("hi", F.max("t").over(bucket))
-    rows = settle(rows.where("lo <> hi").drop("lo", "hi").distinct().withColumn("size", F.count("*").over(bucket)))
+    rows = settle(_scan(docs, "tok long, t long, n long, pos long", posted).distinct())
+    size = rows.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
+    rows = settle(rows.join(size, "tok"))
     shared = rows.groupBy("t").agg(F.sum("size").alias("shared"))
-    ranked = rows.join(shared, "t").withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("shared"), "t")))
-    return settle(ranked.drop("shared"))
-
-
-def similar_groups(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """``texts``: t, sh. (node, label) of the components of all pairs that overlap by ``least`` or more."""
-    texts = texts.select("t", "sh")
-    spark, rows = texts.sparkSession, postings(texts, least)
-    ends = settle(rows.select("t").distinct())
-    wanted = spark.sparkContext.broadcast(_filter_bits(ends.withColumnRenamed("t", "k1")))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_marked(wanted.value, batch.column(0).to_numpy()).astype(bool)))
-
-    sets = texts.mapInArrow(run, "t long, sh array<long>").join(ends, "t", "left_semi")
-    sets = settle(sets.groupBy("t").agg(F.first("sh").alias("sh")))
-    links = tried = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    start, width, bucket = 1, 1, Window.partitionBy("tok")
+    return settle(rows.drop("size").join(shared, "t"))
+
+
+def first_members(rows: DataFrame, width: int) -> DataFrame:
+    """Of each bucket the ``width`` members to compare with the rest: those of its largest group last."""
+    order = [F.col("label") == F.col("major"), F.desc("shared"), F.col("t")]
+    part = F.pmod(F.xxhash64("t"), F.lit(PARTS))
+    for keys in (["tok", part], ["tok"]):
+        rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("turn") <= width)
+    return rows.drop("turn")
+
+
+def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs``: texts, each once. ``texts``: their t, n, fp, bm. (node, label) of the components of all pairs
+    that overlap by ``least`` or more; what is in no pair may be absent."""
+    spark = docs.sparkSession
+    tried = settle(by_fingerprints(texts))
+    links = settle(overlapping(docs, tried, least))
+    labels = components(links)
+    rows, width = postings(docs, least), 1
     while True:
-        rows = rows.where(F.col("size") > start).join(labels.withColumnRenamed("node", "t"), "t", "left")
-        rows = rows.withColumn("label", F.coalesce("label", "t"))
-        rows = rows.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket))
-        rows = settle(rows.where("lo <> hi").drop("lo", "hi"))
+        rows = rows.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
+        sizes = rows.groupBy("tok", "label").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("tok").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"))
+        rows = settle(rows.join(sizes.where("labels > 1").drop("labels"), "tok"))
         if rows.isEmpty():
             return labels
-        one = rows.where((F.col("rank") >= start) & (F.col("rank") < start + width))
-        one = one.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("t", "n", "pos", "rank", "label")])
-        both = F.col("n_a") + F.col("n")
-        most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos"))
-        pairs = one.join(rows, "tok").where((F.col("rank") > F.col("rank_a")) & (F.col("label") != F.col("label_a")))
-        pairs = pairs.where(most >= both * (least / (1 + least)) - 1e-9)
-        pairs = pairs.select(F.least("t_a", "t").alias("a"), F.greatest("t_a", "t").alias("b")).distinct()
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = settle(_overlapping(pairs, sets, least))
-        links, tried = links.unionByName(found), tried.unionByName(pairs)
+        firsts = settle(first_members(rows, width))
+        pairs = dense_pairs(rows, firsts, texts, least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
+        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        found = settle(overlapping(docs, pairs, least))
+        tried = settle(tried.unionByName(pairs))
         if not found.isEmpty():
+            links = settle(links.unionByName(found))
             labels = components(links)
-        rows = rows.drop("label")
-        start, width = start + width, width * GROWTH
-
+        rows = rows.drop("label", "major").join(firsts.select("tok", "t"), ["tok", "t"], "left_anti")
+        width = min(width * GROWTH, MOST_FIRSTS)
+
+
+def sparse_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs of first members with members of other groups that places, sizes and bitmaps do not rule out."""
+    one = firsts.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("t", "n", "pos", "label")])
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos"))
+    fits = (F.col("label") != F.col("label_a")) & (most >= (F.col("n_a") + F.col("n")) * (least / (1 + least)) - 1e-9)
+    pairs = one.join(rows, "tok").where(fits)
+    pairs = pairs.select(F.least("t_a", "t").alias("a"), F.greatest("t_a", "t").alias("b")).distinct()
+    return possible(pairs, texts, least)
+
+
+def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """What ``sparse_pairs`` gives, for buckets with many members: they stream past the bucket's first members
+    (MOST_FIRSTS at most are held), and only pairs that pass leave the task."""
+    size = rows.groupBy("tok").agg(F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts"))
+    columns = ["tok", "t", "n", "pos", "label"]
+    every = rows.select(*columns).join(size, "tok").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
+    held = firsts.select(*columns).join(size, "tok").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = held.withColumn("later", F.lit(0)).unionByName(every.withColumn("later", F.lit(1))).drop("parts").join(texts.select("t", "bm"), "t")
+    both = both.select(*columns, "part", "later", "bm").repartition("tok", "part").sortWithinPartitions("tok", "part", "later")
 
-def _overlapping(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    def run(batches):
+        at, held = None, {}
+        for batch in batches:
+            tok, t, n, pos, label, part, later = (batch.column(i).to_numpy() for i in range(7))
+            ends = batch.column(7).offsets.to_numpy()
+            bits = batch.column(7).values.to_numpy()[: ends[-1]].view(np.uint64)
+            longs = np.diff(ends)
+            starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1]) | (later[1:] != later[:-1]) | (longs[1:] != longs[:-1])])
+            found = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(starts, np.r_[starts[1:], len(tok)]):
+                if (tok[s], part[s]) != at:
+                    at, held = (tok[s], part[s]), {}
+                block = (t[s:e], n[s:e], pos[s:e], label[s:e], bits[ends[s] : ends[e]].reshape(e - s, -1))
+                if later[s]:
+                    found += [near_in_blocks(mine, block, least) for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for mine in many]
+                else:
+                    held.setdefault(int(longs[s]), []).append(tuple(x.copy() for x in block))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
+    """Pairs of two blocks of a bucket (t, n, pos, label, bitmaps of one size) that may overlap by ``least``."""
+    t1, n1, pos1, label1, bits1 = ones
+    t2, n2, pos2, label2, bits2 = others
+    width = min(bits1.shape[1], bits2.shape[1])
+    bits1, bits2 = (b if b.shape[1] == width else b[:, :width] | b[:, width:] for b in (bits1, bits2))
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(len(t1)):
+        every = n1[i] + n2
+        fits = (label2 != label1[i]) & (np.minimum(n1[i] - pos1[i], n2 - pos2) * (1 + least) >= least * every - 1e-6)
+        at = np.flatnonzero(fits)
+        if len(at):
+            differ = np.bitwise_count(bits2[at] ^ bits1[i]).sum(1, dtype=np.int64)
+            at = at[(every[at] - differ) * (1 + least) >= 2 * least * every[at] - 1e-6]
+            out.append(np.stack([np.minimum(t1[i], t2[at]), np.maximum(t1[i], t2[at])], 1))
+    return np.concatenate(out)
+
+
+def by_fingerprints(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text and the least one of its component of fingerprints at most 2 bits apart."""
+    points = settle(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")))
+    rep = simhash.point_groups(points).withColumnRenamed("component", "a")
+    return texts.where("n > 0").select("fp", F.col("t").alias("b")).join(rep, "fp").where("a <> b").select("a", "b")
+
+
+def _fold(bits: Column, to: Column) -> Column:
+    """A bitmap of twice the size brought to ``to`` longs."""
+    half = F.zip_with(F.slice(bits, F.lit(1), to), F.slice(bits, to + 1, to), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(bits) > to, half).otherwise(bits)
+
+
+def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose bitmaps do not rule out the overlap: a bit that differs needs a shingle that differs."""
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("t").alias(side), F.col("n").alias(f"n_{side}"), F.col("bm").alias(f"bm_{side}")), side)
+    to = F.least(F.size("bm_a"), F.size("bm_b"))
+    apart = F.zip_with(_fold(F.col("bm_a"), to), _fold(F.col("bm_b"), to), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
+    every = F.col("n_a") + F.col("n_b")
+    near = F.greatest(F.size("bm_a"), F.size("bm_b")) <= 2 * to
+    return pairs.where(near & ((every - differ) * (1 + least) >= 2 * least * every - 1e-6)).select("a", "b")
+
+
+def overlapping(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets of shingles overlap by ``least``, sets compared in full. Only the sets of texts in
+    pairs leave their map tasks."""
+    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+    wanted = filter_of(ends)
+
+    def row(ts, sets):
+        ts = np.array(ts, np.int64)
+        hit = wanted.value.hit(ts)
+        return [pa.array(ts[hit]), _lists([s for s, h in zip(sets, hit) if h])]
+
+    if ends.isEmpty():
+        return pairs
+    sets = settle(_scan(docs, "t long, sh array<long>", row).join(ends, "t", "left_semi"))
+    both = pairs
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("t").alias(side), F.col("sh").alias(f"sh_{side}")), side)
-    both = F.size(F.array_intersect("sh_a", "sh_b"))
-    either = F.size("sh_a") + F.size("sh_b") - both
-    return pairs.where(both >= least * either).select("a", "b")
+        both = both.join(sets.select(F.col("t").alias(side), F.col("sh").alias(f"sh_{side}")), side)
+    shared = F.size(F.array_intersect("sh_a", "sh_b"))
+    return both.where(shared >= least * (F.size("sh_a") + F.size("sh_b") - shared)).select("a", "b").distinct()
 
 
 def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and component_id, the least doc_id of those joined by equal texts and similar links.
 
-    Null text counts as empty; texts without words form one group with each other only if equal. Null and
-    repeated ids pass through; an empty table gives an empty result; other columns are ignored.
+    Null text counts as empty; texts without words form one group with each other only if equal. Texts of any
+    length are hashed whole. Null and repeated ids pass through; ties do not arise, since groups do not depend
+    on the order of pairs; an empty table gives an empty result; other columns are ignored.
     """
-    marked = settle(_shingled(docs))
-    labels = similar_groups(marked, least)
-    texts = marked.groupBy("t").agg(F.min("doc_id").alias("least"))
-    grouped = settle(texts.join(labels.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("label", "t").alias("label"), "least"))
+    marked = settle(marks(docs))
+    texts = marked.groupBy("t").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "bm")], F.count("*").alias("copies"))
+    texts = settle(texts)
+    single = docs if texts.where("copies > 1").isEmpty() else exact_dedup.kept_rows(docs)
+    labels = similar_groups(single, texts.select("t", "n", "fp", "bm"), least)
+    grouped = texts.select("t", "least").join(labels.withColumnRenamed("node", "t"), "t", "left")
+    grouped = settle(grouped.select("t", F.coalesce("label", "t").alias("label"), "least"))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = grouped.join(ids, "label").select("t", "component_id")
     return marked.select("doc_id", "t").join(ids, "t").select("doc_id", "component_id")
 
 
 def kept_rows(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of each group of near copies, with all its columns."""
-    return _one_of_each(docs, similar_dedup(docs, least))
+    """One row of each group of ``similar_dedup``, with all its columns. Rows that repeat a kept id with the
+    same text count as one; with other texts they stay. An empty table gives an empty result."""
+    return simhash.one_of_each(docs, similar_dedup(docs, least))
