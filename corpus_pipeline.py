@@ -1,8 +1,10 @@
 """From raw documents to packed training sequences.
 
 Each stage calls one corpus operator, works on all that its predecessor kept and has its decisions take
-effect: toxic documents go, then those of low quality, then all but one of equal texts, then all but one of
-near copies; what is left is tokenised and packed. All stages but the last return the columns of documents.
+effect: toxic documents go, then bad lines and documents of low quality, then all but one of equal texts, then
+all but one of near copies; what is left is tokenised and packed. All stages but the last return the columns
+of documents. Null texts count as empty, null and repeated ids are rows of their own, columns that a stage does
+not use pass through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailweave.llm import exact_dedup, packing, quality, simhash_similar, toxicity
 from trailweave.llm.common import shared_folder, table
@@ -17,22 +20,29 @@ from trailweave.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a score under 0.5; a text without words has the score of the bias alone."""
     return toxicity.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.kept_rows(docs)
+    """Rows that pass, without their bad lines, and with n_chars as it is then. Null and short texts go."""
+    kept = quality.kept_rows(docs)
+    kind = dict(docs.dtypes).get("n_chars")
+    return kept.withColumn("n_chars", F.length("text").cast(kind)) if kind else kept
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; of equal rows one."""
     return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that overlap by 0.8 or more, directly or over others, the row with the least doc_id."""
     return simhash_similar.kept_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows; a text without tokens is its end id alone."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
