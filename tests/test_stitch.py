@@ -1,9 +1,13 @@
 """The micro fixtures of the matching rules: times in seconds, ages as codes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from trailweave.operators import graph, heal, stitch, sweep
+from trailweave.plans import journey
+from trailweave.sources import readers
 from trailweave.schema import DEMO_ZONES, SECOND, StitchConfig, Zones
 
 G = Zones((("Z_E1", "Z_N1", 10), ("Z_N1", "Z_S1", 20), ("Z_S1", "Z_CK", 15), ("Z_E2", "Z_N1", 12), ("Z_N1", "Z_S2", 25)))
@@ -98,6 +102,49 @@ def test_fixpoint_merges_a_chain(spark):
     assert len(row) == 1 and row[0].frag_id == 0 and row[0].n_visits == 5 and sum(merged.values()) == 4
 
 
+@pytest.mark.parametrize("stage", "ABCDE")
+def test_nearest_edges_are_the_mutual_best_pairs(spark, stage):
+    rng = random.Random(ord(stage))
+    zones, rows = ["Z_E1", "Z_N1", "Z_S1", "Z_C1", "Z_CK", "Z_E2"], []
+    for i in range(400):
+        start = rng.randrange(0, 20_000, 5)
+        rows.append((i, start, start + rng.randrange(0, 600, 5), rng.choice(zones), rng.choice(zones), rng.randrange(1, 4), rng.choice("FM"), rng.randrange(6)))
+    f, edges = frags(spark, *rows), readers.zone_edges(spark, DEMO_ZONES)
+    got = {tuple(r)[:3] for r in heal.nearest_edges(f, stage, edges).collect()}
+    assert got == {tuple(r)[:3] for r in heal.mutual_best(heal.candidates(f, stage, edges)).collect()} and len(got) > 5
+    plain = {tuple(r)[:3] for r in heal.nearest_edges(f, stage).collect()}
+    assert plain == {tuple(r)[:3] for r in heal.mutual_best(heal.candidates(f, stage)).collect()}
+
+
+def test_merge_joins_visits(spark):
+    visit = "struct<zone:string,entry_ns:bigint,exit_ns:bigint,dwell_s:bigint,age:string,ghost:boolean>"
+    f = frags(spark, (1, 0, 10, "Z_E1", "Z_N1", 2, "F", 3), (2, 20, 30, "Z_S1", "Z_CK", 1, "F", 3), (3, 90, 95, "Z_N1", "Z_N1", 1, "F", 3))
+    visits = {1: [("Z_E1", 0, 5, 0, "adult", False), ("Z_N1", 6, None, 0, "adult", False)], 2: [("Z_S1", 20, 30, 9, "adult", False)], 3: [("Z_N1", 90, None, 0, "adult", False)]}
+    v = spark.createDataFrame(list(visits.items()), f"frag_id long, visits array<{visit}>")
+    edges = spark.createDataFrame([(1, 2)], "head_id long, tail_id long")
+    got = {r.frag_id: r for r in heal.merge(f.join(v, "frag_id"), edges).collect()}
+    assert set(got) == {1, 3} and got[1].is_complete and got[1].n_visits == 3 and got[1].end_us == 30 * 10**6
+    assert [tuple(x) for x in got[1].visits] == [visits[1][0], ("Z_N1", 6, 19, 0, "adult", True), visits[2][0]]
+    assert [tuple(x) for x in got[3].visits] == visits[3]
+
+
+def test_whole_run_merges_fragments(spark):
+    """Two persons whose sightings break off for five minutes, and one alone."""
+    rows, at = [], 0
+    for p, (start, gender) in enumerate([(0, "F"), (5000, "M"), (9000, "F")]):
+        steps = [("Z_E1", "entry", 0), ("Z_E1", "exit", 20), ("Z_N1", "entry", 25), ("Z_N1", "exit", 60), ("Z_N1", "entry", 360), ("Z_N1", "linger", 370), ("Z_S1", "entry", 400)]
+        for zone, kind, later in steps[: 7 if p < 2 else 4]:
+            rows.append((at, (start + later) * SECOND, zone, kind, 30, gender, 3, "adult"))
+            at += 1
+    d = spark.createDataFrame(rows, "event_id long, ts_ns long, zone_id string, kind string, duration_s long, gender string, age_code int, age_range string")
+    out = journey.run(spark, d, DEMO_ZONES)
+    got = sorted((r.start_us // 10**6, r.n_visits, len(r.visits)) for r in out["trajectories"].collect())
+    assert got == [(0, 4, 4), (5000, 4, 4), (9000, 2, 2)]
+    assert out["journeys"].count() == 8 and out["journeys"].where("is_ghost_exit").count() == 2
+    counters = {r.counter: r.n for r in out["telemetry"].collect()}
+    assert sum(n for k, n in counters.items() if k.startswith("merged_")) == 2
+
+
 def test_registered_healing_has_no_limit_of_its_own(spark, monkeypatch):
     from trailweave.plans import journey, registry
 

@@ -1,19 +1,24 @@
 """Healing of journey fragments: five stages of candidate search, mutual choice and merging.
 
-Each stage is a bucketed range join, a score and a best partner. An edge stands if both sides choose each
-other, which makes the result independent of processing order and partitions; losers try again in the next
-pass. This replaces a sequential greedy choice, with which it agrees where no two heads want one tail.
+An edge stands if both sides choose each other, which makes the result independent of processing order and
+partitions; losers try again in the next pass. This replaces a sequential greedy choice, with which it agrees
+where no two heads want one tail.
+
+Within a class of pairs (zone relation and age step) the score falls with the gap, so the best partner of a
+class is the nearest one. ``nearest_edges`` finds it by as-of windows over (gender, zone, age, time bucket), in
+which a fragment has a few rows however many candidates it has. ``candidates`` lists the pairs themselves, for
+reports; both give the same edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.functions.scalar import completed, is_entrance, is_exit, person_score
+from trailweave.functions.scalar import completed, is_exit, person_score
 from trailweave.operators.common import settle
-from trailweave.operators.temporal import forward
-from trailweave.schema import CHECKOUTS, StitchConfig
+from trailweave.operators.temporal import bucket, forward
+from trailweave.schema import AGE_CODES, CHECKOUTS, StitchConfig
 
 US = 1_000_000
 COLUMNS = ("frag_id", "start_us", "end_us", "birth_zone", "last_zone", "n_visits", "gender", "age_code", "born_at_entrance", "is_complete")
@@ -42,7 +47,7 @@ def candidates(f: DataFrame, stage: str, edges: DataFrame | None = None, c: Stit
     heads, tails, keys = _heads(f, stage), _tails(f, stage), ["gender"]
     if stage == "E":
         heads, tails, keys = heads.withColumn("zone", F.col("last_zone")), tails.withColumn("zone", F.col("birth_zone")), ["gender", "zone"]
-    p = forward(heads, tails, keys, "end_us", "start_us", window * US).where("a_frag_id <> b_frag_id")
+    p = forward(heads, tails, keys, "end_us", "start_us", window * US).where("a_frag_id <> b_frag_id")  # gap > 0
     if stage != "B":
         p = p.where(F.col("gap") < window * US)
     same = F.col("a_last_zone") == F.col("b_birth_zone")
@@ -54,16 +59,65 @@ def candidates(f: DataFrame, stage: str, edges: DataFrame | None = None, c: Stit
         else:
             p = p.withColumn("adjacent", F.lit(False))
         p = p.where(same | F.col("adjacent"))
-    seconds, step = F.col("gap") / float(US), F.col("a_age_code") - F.col("b_age_code")
-    demo = person_score(F.lit(True), step)
-    score: Column = {
-        "A": lambda: F.when(same, 2.0).when(F.col("adjacent"), 1.0).otherwise(0.5) + 0.5 * (1.0 - seconds / 600.0) + 0.3 * demo,
+    score = _score(stage, F.col("gap"), F.col("a_age_code") - F.col("b_age_code"), same, F.col("adjacent") if stage in "ABC" else F.lit(False), c)
+    return p.select(F.col("a_frag_id").alias("head_id"), F.col("b_frag_id").alias("tail_id"), F.col("gap").alias("gap_us"), score.alias("score"))
+
+
+def _score(stage: str, gap: Column, step: Column, same: Column, adjacent: Column, c: StitchConfig) -> Column:
+    seconds, demo = gap / float(US), person_score(F.lit(True), step)
+    return {
+        "A": lambda: F.when(same, 2.0).when(adjacent, 1.0).otherwise(0.5) + 0.5 * (1.0 - seconds / 600.0) + 0.3 * demo,
         "B": lambda: 1.0 - seconds / float(c.heal_b),
         "C": lambda: 0.6 * demo + 0.4 * (1.0 - seconds / 600.0),
         "D": lambda: 0.5 * demo + 0.5 * (1.0 - seconds / float(c.heal_d)),
         "E": lambda: 1.0 - seconds / float(c.heal_e),
     }[stage]()
-    return p.select(F.col("a_frag_id").alias("head_id"), F.col("b_frag_id").alias("tail_id"), F.col("gap").alias("gap_us"), score.alias("score"))
+
+
+def nearest_edges(f: DataFrame, stage: str, edges: DataFrame | None = None, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """The edges of ``mutual_best(candidates(...))``: head_id, tail_id, gap_us, score, without a pair table."""
+    f = f.select(*COLUMNS)
+    width = {"A": c.heal_a, "B": c.heal_b, "C": c.heal_c, "D": c.heal_d, "E": c.heal_e}[stage] * US
+    most = width if stage == "B" else width - 1
+    heads, tails = _heads(f, stage), _tails(f, stage)
+    zoned, aged = stage != "D", stage != "E"
+    heads = heads.withColumn("zone", F.col("last_zone") if zoned else F.lit("")).withColumn("adjacent", F.lit(False))
+    if stage in "ABC" and edges is not None and c.graph_features:
+        e = F.broadcast(edges.where("a <> b").select(F.col("a").alias("last_zone"), F.col("b").alias("to")).distinct())  # a zone graph
+        beside = heads.join(e, "last_zone").withColumn("zone", F.col("to")).withColumn("adjacent", F.lit(True))
+        heads = heads.unionByName(beside.select(*heads.columns))
+    own = F.col("age_code")
+    ages = F.sequence(own - 1, own + 1) if stage in "ABC" else F.array(*[F.lit(a) for a in sorted(AGE_CODES.values())])
+    heads = heads.withColumn("age", F.explode(ages) if aged else F.lit(0))
+    step = F.least(F.abs(own - F.col("age")), F.lit(2)) if aged else F.lit(0)  # a step of two or more scores the same
+    first = bucket(F.col("end_us"), width)
+    heads = heads.select(
+        "gender", "zone", "age", F.explode(F.array(first, first + 1)).alias("bin"), F.col("end_us").alias("at"), F.col("frag_id").alias("id"),
+        F.lit(True).alias("is_head"), (step + F.when(F.col("adjacent"), 3).otherwise(0)).alias("kind"),
+    )
+    tails = tails.select(
+        "gender", (F.col("birth_zone") if zoned else F.lit("")).alias("zone"), (own if aged else F.lit(0)).alias("age"), bucket(F.col("start_us"), width).alias("bin"),
+        F.col("start_us").alias("at"), F.col("frag_id").alias("id"), F.lit(False).alias("is_head"), F.lit(None).cast("int").alias("kind"),
+    )
+    rows, keys = heads.unionByName(tails), ["gender", "zone", "age", "bin"]
+    back = Window.partitionBy(*keys).orderBy(-F.col("at")).rangeBetween(Window.unboundedPreceding, -1)  # what is later
+    on = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    kinds = {"A": (0, 1, 3, 4), "B": (0, 1, 3, 4), "C": (0, 1, 3, 4), "D": (0, 1, 2), "E": (0,)}[stage]
+    before = [F.max(F.when(F.col("kind") == k, F.struct("at", (-F.col("id")).alias("minus"), F.col("kind").alias("kind")))).over(on) for k in kinds]
+    rows = rows.select("*", F.min(F.when(~F.col("is_head"), F.struct("at", "id"))).over(back).alias("next"), F.array(*before).alias("heads"))
+
+    def scored(gap: Column, kind: Column) -> Column:
+        return _score(stage, gap, kind % 3, kind < 3, kind >= 3, c)
+
+    gap = F.col("next.at") - F.col("at")
+    ahead = rows.where(F.col("is_head") & (gap <= most)).select(F.col("id").alias("head_id"), F.col("next.id").alias("tail_id"), gap.alias("gap_us"), scored(gap, F.col("kind")).alias("score"))
+    each = rows.where(~F.col("is_head")).select(F.col("id").alias("tail_id"), "at", F.explode("heads").alias("h")).where("h is not null")
+    gap = F.col("at") - F.col("h.at")
+    behind = each.where(gap <= most).select((-F.col("h.minus")).alias("head_id"), "tail_id", gap.alias("gap_us"), scored(gap, F.col("h.kind")).alias("score"))
+    near = F.col("score"), (-F.col("gap_us")).alias("near")
+    best = ahead.groupBy("head_id").agg(F.max_by(F.struct("tail_id", "gap_us", "score"), F.struct(*near, (-F.col("tail_id")).alias("id"))).alias("x")).select("head_id", "x.*")
+    best_head = behind.groupBy("tail_id").agg(F.max_by("head_id", F.struct(*near, (-F.col("head_id")).alias("id"))).alias("head_id"))
+    return best.join(best_head, ["head_id", "tail_id"]).select("head_id", "tail_id", "gap_us", "score")
 
 
 def best_tail(pairs: DataFrame) -> DataFrame:
@@ -110,6 +164,8 @@ def merge(f: DataFrame, edges: DataFrame, c: StitchConfig = StitchConfig()) -> D
     root = chains(edges)
     has = "visits" in f.columns
     marked = f.join(root, f["frag_id"] == root["node"], "left").withColumn("root", F.coalesce("root", "frag_id")).drop("node")
+    if has:  # a column of its own, since an aggregate's aliases hide the columns of their names
+        marked = marked.withColumn("part", F.struct("start_us", "frag_id", "visits"))
     order = F.struct("start_us", "frag_id")
     out = [
         F.min("start_us").alias("start_us"),
@@ -123,11 +179,11 @@ def merge(f: DataFrame, edges: DataFrame, c: StitchConfig = StitchConfig()) -> D
         F.min_by("is_complete", order).alias("_was"),
     ]
     if has:
-        parts = F.sort_array(F.collect_list(F.struct("start_us", "frag_id", "visits")))
-        out.append(_closed(F.flatten(F.transform(parts, lambda x: x["visits"]))).alias("visits"))
+        out.append(F.sort_array(F.collect_list("part")).alias("parts"))
     merged = marked.groupBy(F.col("root").alias("frag_id")).agg(*out)
     if has:
-        merged = merged.withColumn("visits", F.slice("visits", 1, c.most_visits))
+        merged = merged.withColumn("visits", F.flatten(F.transform("parts", lambda x: x["visits"]))).drop("parts")
+        merged = merged.withColumn("visits", F.slice(_closed(F.col("visits")), 1, c.most_visits))
     done = F.col("_was") | completed(F.col("birth_zone"), F.col("last_zone"))  # stays once reached
     return merged.withColumn("is_complete", done).drop("_was")
 
@@ -140,7 +196,7 @@ def heal(f: DataFrame, edges: DataFrame | None, c: StitchConfig = StitchConfig()
         for stage in "ABCDE":
             if stage in done:
                 continue
-            found = settle(mutual_best(candidates(f, stage, edges, c)))
+            found = settle(nearest_edges(f, stage, edges, c))
             n = found.count()
             if n:
                 merged[stage] += n
@@ -152,7 +208,3 @@ def heal(f: DataFrame, edges: DataFrame | None, c: StitchConfig = StitchConfig()
             break
     return f, merged
 
-
-def is_open(f: DataFrame) -> DataFrame:
-    """Fragments still without an end at an exit."""
-    return f.where(is_entrance(F.col("birth_zone")) & ~is_exit(F.col("last_zone")))
