@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"heal_fixpoint", "stitch_full"}
+SLOW = set()
 OWN = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="demonstration tables are absent")

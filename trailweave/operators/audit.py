@@ -68,13 +68,35 @@ def consistency(visits: DataFrame) -> DataFrame:
     )
 
 
-def audit(visits: DataFrame, events: DataFrame, precision_pct: float = 100.0, targets: AuditTargets = AuditTargets()) -> DataFrame:
-    """One row: the four figures, whether each meets its target, and whether all do. Errors are raised, not
-    turned into zeros."""
+def audit(visits: DataFrame, events: DataFrame, precision: DataFrame | float = 0.0, targets: AuditTargets = AuditTargets()) -> DataFrame:
+    """One row: the four figures, whether each meets its target, and whether all do. ``precision``: numeric
+    precision in percent, or a table of one row with numeric_precision_pct; 0 without an insights document.
+    Errors are raised, not turned into zeros."""
     row = coverage(visits, events).join(F.broadcast(completeness(visits))).join(F.broadcast(consistency(visits)))
-    row = row.withColumn("numeric_precision_pct", F.lit(precision_pct))
+    if isinstance(precision, DataFrame):
+        row = row.join(F.broadcast(precision.select("numeric_precision_pct")))
+    else:
+        row = row.withColumn("numeric_precision_pct", F.lit(float(precision)))
     goals = {n: F.col(f"{n}_pct") >= F.lit(getattr(targets, n)) for n in ("coverage", "completeness", "consistency", "numeric_precision")}
     all_met = F.lit(True)
     for ok in goals.values():
         all_met = all_met & ok
     return row.select(*[f"{n}_pct" for n in goals], *[ok.alias(f"{n}_met") for n, ok in goals.items()], all_met.alias("all_targets_met"))
+
+
+def stitch_ratios(events: DataFrame, dropped: DataFrame, residual: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """One row: detections in all, mapped to a trajectory and recovered by the sweep, with the share of both; and
+    trajectories, complete ones, with their share."""
+    n = F.count("*")
+    row = events.agg(n.alias("total_events")).join(F.broadcast(dropped.agg(n.alias("dropped")))).join(F.broadcast(residual.agg(n.alias("lost"))))
+    row = row.join(F.broadcast(trajectories.agg(n.alias("n_trajectories"), F.count_if("is_complete").alias("n_complete"))))
+    mapped, recovered = F.col("total_events") - F.col("dropped"), F.col("dropped") - F.col("lost")
+    return row.select(
+        "total_events",
+        mapped.alias("mapped_events"),
+        recovered.alias("recovered_events"),
+        percent(mapped + recovered, F.col("total_events")).alias("coverage_pct"),
+        "n_trajectories",
+        "n_complete",
+        percent(F.col("n_complete"), F.col("n_trajectories")).alias("completeness_pct"),
+    )

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from trailweave.functions import scalar as sc
 from trailweave.functions import text as tx
 from trailweave.operators import audit as au
-from trailweave.operators import graph, heal, metrics, stitch, sweep
+from trailweave.operators import checks, graph, heal, metrics, stitch, sweep
 from trailweave.operators.common import shared_folder
 from trailweave.operators.temporal import forward, islands
-from trailweave.plans import journey
+from trailweave.plans import documents, journey
 from trailweave.schema import DEMO_ZONES, StitchConfig
 from trailweave.sources import readers as rd
 from trailweave.streaming.stitch import run_files
@@ -65,7 +65,7 @@ def query(sql: str | None = None, ctes: str | None = VISITS):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {ctes} {sql}" if ctes else sql
+            ORACLES[f.__name__] = (lambda: f"WITH RECURSIVE {ctes() if callable(ctes) else ctes} {sql}") if ctes else sql
         return f
 
     return add
@@ -143,15 +143,29 @@ def top10_zones(spark, d):
     return metrics.top_zones(rd.visits(spark, d))
 
 
-DAYS = f"""{VISITS}, days AS (SELECT visit_date, hour_of_day, count(DISTINCT person_id) AS uv FROM visits GROUP BY visit_date, hour_of_day),
+DAYS_OF = """{visits}, days AS (SELECT visit_date, hour_of_day, count(DISTINCT person_id) AS uv FROM visits GROUP BY visit_date, hour_of_day),
 last AS (SELECT max(visit_date) AS last_day FROM visits),
 base AS (SELECT hour_of_day, avg(uv) AS m, coalesce(stddev_samp(uv), 0) AS s, count(*) AS n_days FROM days, last WHERE visit_date < last_day GROUP BY hour_of_day),
 eval AS (SELECT hour_of_day, uv AS unique_visitors FROM days, last WHERE visit_date = last_day),
 t AS (SELECT hour_of_day, CASE WHEN unique_visitors > m + 2.0 * s THEN 'high' WHEN unique_visitors < m - 2.0 * s THEN 'low' END AS subtype, unique_visitors, m, s
       FROM eval JOIN base USING (hour_of_day)),
-store AS (SELECT avg(dwell_s) AS sm, stddev_samp(dwell_s) AS ss FROM visits WHERE {VALID}),
-zones AS (SELECT zone_id, count(*) AS n, avg(dwell_s) AS zm FROM visits WHERE {VALID} GROUP BY zone_id),
-dw AS (SELECT zone_id, n, {R2('zm')} AS zone_mean, {R2('(zm - sm) / ss')} AS z_score FROM zones, store WHERE n >= 10 AND ss > 0 AND abs((zm - sm) / ss) > 3.0)"""
+store AS (SELECT avg(dwell_s) AS sm, stddev_samp(dwell_s) AS ss FROM visits WHERE dwell_s > 0),
+zones AS (SELECT zone_id, count(*) AS n, avg(dwell_s) AS zm FROM visits WHERE dwell_s > 0 GROUP BY zone_id),
+dw AS (SELECT zone_id, n, {zm} AS zone_mean, {z} AS z_score FROM zones, store WHERE n >= 10 AND ss > 0 AND abs((zm - sm) / ss) > 3.0)"""
+
+
+def days_sql(visits: str) -> str:
+    return DAYS_OF.format(visits=visits, zm=R2("zm"), z=R2("(zm - sm) / ss"))
+
+
+DAYS = days_sql(VISITS)
+PLANTED = days_sql(
+    f"""plain_{VISITS}, visits AS (
+  SELECT event_id, person_id + k * 100000 AS person_id, CASE WHEN event_id % 200 = 0 THEN 'Z_S9' ELSE zone_id END AS zone_id,
+         CASE WHEN event_id % 200 = 0 THEN dwell_s * 50 ELSE dwell_s END AS dwell_s, visit_date, hour_of_day
+  FROM plain_visits p, (SELECT max(visit_date) AS last_day FROM plain_visits) l, range(10) AS t(k)
+  WHERE NOT (visit_date = last_day AND hour_of_day < 6 AND person_id % 10 > 0) AND (k = 0 OR (visit_date = last_day AND hour_of_day >= 20)))"""
+)
 
 
 @query(f"SELECT hour_of_day, {R2('m', 6)} AS baseline_mean, {R2('s', 6)} AS baseline_std, n_days FROM base", DAYS)
@@ -190,6 +204,31 @@ def anomaly_union(spark, d):
     return metrics.anomaly_union(rd.visits(spark, d))
 
 
+@query(
+    f"""SELECT hour_of_day, subtype, unique_visitors, {R2('m')} AS baseline_mean, {R2('s')} AS baseline_std, {R2('m + 2.0 * s')} AS threshold_hi,
+    {R2('m - 2.0 * s')} AS threshold_lo, printf('%02d:00 ', hour_of_day) || subtype || ' ' || unique_visitors AS detail FROM t WHERE subtype IS NOT NULL""",
+    PLANTED,
+)
+def traffic_anomalies_planted(spark, d):
+    return metrics.traffic_anomalies(rd.planted_visits(spark, d))
+
+
+@query("SELECT * FROM dw", PLANTED)
+def dwell_anomalies_planted(spark, d):
+    return metrics.dwell_anomalies(rd.planted_visits(spark, d))
+
+
+@query(
+    """SELECT u.*, n_days, CASE WHEN n_days < 2 THEN 'too few days for a baseline' WHEN n_days - 1 < 6 THEN 'short baseline' END AS warning FROM (
+      SELECT 'traffic' AS type, subtype, CAST(hour_of_day AS VARCHAR) AS subject, CAST(unique_visitors AS DOUBLE) AS value FROM t WHERE subtype IS NOT NULL
+      UNION ALL SELECT 'dwell', CASE WHEN z_score > 0 THEN 'high' ELSE 'low' END, zone_id, zone_mean FROM dw) u,
+    (SELECT count(DISTINCT visit_date) AS n_days FROM visits)""",
+    PLANTED,
+)
+def anomaly_union_planted(spark, d):
+    return metrics.anomaly_union(rd.planted_visits(spark, d))
+
+
 # --- audit
 
 COVER = f"""{VISITS}, cov AS (SELECT count(*) AS mapped_events FROM visits e JOIN visits v
@@ -226,11 +265,15 @@ def consistency(spark, d):
     f"""SELECT *, coverage_pct >= 85 AS coverage_met, completeness_pct >= 70 AS completeness_met, consistency_pct >= 95 AS consistency_met,
     numeric_precision_pct >= 90 AS numeric_precision_met, coverage_pct >= 85 AND completeness_pct >= 70 AND consistency_pct >= 95 AND numeric_precision_pct >= 90 AS all_targets_met
     FROM (SELECT {PCT('mapped_events', 'total_events')} AS coverage_pct, {PCT('complete_journeys', 'total_journeys')} AS completeness_pct,
-      {PCT('consistent', 'total')} AS consistency_pct, 100.0::DOUBLE AS numeric_precision_pct FROM cov, tot, comp, cons)""",
-    COVER,
+      {PCT('consistent', 'total')} AS consistency_pct,
+      {R2('(SELECT sum(n_numbers - n_unverified)::DOUBLE / sum(n_numbers) FROM flat) * 100.0::DOUBLE')} AS numeric_precision_pct FROM cov, tot, comp, cons)""",
+    lambda: f"{COVER}, {CHECKED}",
 )
 def audit_targets(spark, d):
-    return au.audit(rd.visits(spark, d), _raw(spark, d))
+    n = F.sum("n_numbers")
+    flat = checks.flat_check(rd.answers(spark, d), ["doc", "item"], METRICS)
+    share = flat.agg(sc.round_even((n - F.sum("n_unverified")) / n * 100.0, 2).alias("numeric_precision_pct"))
+    return au.audit(rd.visits(spark, d), _raw(spark, d), share)
 
 
 @query("SELECT * FROM fl", COVER)
@@ -433,19 +476,35 @@ def mutual_best_edges(spark, d):
     return heal.mutual_best(_stage_pairs(spark, d, "E"))
 
 
-@query(
-    """, up(node, root, depth) AS (
+MERGED = """, mb AS (SELECT head_id, tail_id FROM best WHERE n = 1 AND m = 1), up(node, root, depth) AS (
       SELECT head_id, head_id, 0 FROM mb WHERE head_id NOT IN (SELECT tail_id FROM mb)
-      UNION ALL SELECT mb.tail_id, up.root, up.depth + 1 FROM up JOIN mb ON mb.head_id = up.node)
-    SELECT coalesce(root, frag_id) AS frag_id, min(start_us) AS start_us, arg_max(end_us, (start_us, f.frag_id)) AS end_us,
-      arg_min(birth_zone, (start_us, f.frag_id)) AS birth_zone, arg_max(last_zone, (start_us, f.frag_id)) AS last_zone, CAST(least(sum(n_visits), 50) AS BIGINT) AS n_visits
-    FROM fragments f LEFT JOIN up ON up.node = f.frag_id GROUP BY 1""",
-    heal_sql("E") + ", mb AS (SELECT head_id, tail_id FROM best WHERE n = 1 AND m = 1)",
+      UNION ALL SELECT mb.tail_id, up.root, up.depth + 1 FROM up JOIN mb ON mb.head_id = up.node),
+    parts AS (SELECT coalesce(root, f.frag_id) AS root, f.* FROM fragments f LEFT JOIN up ON up.node = f.frag_id),
+    named AS (SELECT *, first_value(event_id) OVER (PARTITION BY person_id, session ORDER BY entry_us, event_id) AS frag_id FROM numbered),
+    ordered AS (SELECT p.root, v.zone_id, v.event_id, v.entry_us * 1000 AS entry_ns, CASE WHEN v.event_id % 4 <> 0 THEN v.exit_us * 1000 END AS exit_ns,
+      row_number() OVER w AS nth, lead(v.entry_us) OVER w * 1000 - 1 AS before_next
+      FROM named v JOIN parts p ON p.frag_id = v.frag_id WINDOW w AS (PARTITION BY p.root ORDER BY p.start_us, p.frag_id, v.entry_us, v.event_id)),
+    joined AS (SELECT root, string_agg(zone_id, ' ' ORDER BY nth) AS zones, count(*) FILTER (WHERE exit_ns IS NULL AND before_next IS NOT NULL) AS n_ghosts,
+      CAST(sum(coalesce(exit_ns, before_next, entry_ns) - entry_ns) AS BIGINT) AS inside_ns FROM ordered WHERE nth <= 50 GROUP BY root)"""
+
+
+@query(
+    """SELECT root AS frag_id, start_us, end_us, birth_zone, last_zone, n_visits, zones, n_ghosts, inside_ns FROM
+    (SELECT root, min(start_us) AS start_us, arg_max(end_us, (start_us, frag_id)) AS end_us, arg_min(birth_zone, (start_us, frag_id)) AS birth_zone,
+      arg_max(last_zone, (start_us, frag_id)) AS last_zone, CAST(least(sum(n_visits), 50) AS BIGINT) AS n_visits FROM parts GROUP BY root) JOIN joined USING (root)""",
+    heal_sql("E") + MERGED,
 )
 def merge_visit_arrays(spark, d):
-    f = rd.fragments(spark, d)
+    """Fragments merged along their mutual best edges, with their visits joined, closed and cut at the cap."""
+    f = rd.visit_arrays(spark, d)
     out = heal.merge(f, heal.mutual_best(_stage_pairs(spark, d, "E")))
-    return out.select("frag_id", "start_us", "end_us", "birth_zone", "last_zone", "n_visits")
+    inside = F.transform("visits", lambda v: F.coalesce(v["exit_ns"], v["entry_ns"]) - v["entry_ns"])
+    return out.select(
+        "frag_id", "start_us", "end_us", "birth_zone", "last_zone", "n_visits",
+        F.array_join(F.transform("visits", lambda v: v["zone"]), " ").alias("zones"),
+        F.size(F.filter("visits", lambda v: v["ghost"])).cast("long").alias("n_ghosts"),
+        F.aggregate(inside, F.lit(0).cast("long"), lambda s, x: s + x).alias("inside_ns"),
+    )
 
 
 # --- sweeping and purity
@@ -491,6 +550,50 @@ def purity_mode(spark, d):
     return sweep.mode_first_seen(v, "person_id", "zone_id", ["entry_us", "event_id"]).withColumnRenamed("zone_id", "favourite")
 
 
+@query(
+    f"""SELECT total_events, total_events - n_dropped AS mapped_events, n_dropped - n_lost AS recovered_events, {PCT('(total_events - n_lost)', 'total_events')} AS coverage_pct,
+    n_trajectories, n_complete, {PCT('n_complete', 'n_trajectories')} AS completeness_pct FROM (SELECT count(*) AS total_events FROM visits), (SELECT count(*) AS n_dropped FROM dropped),
+    (SELECT count(*) AS n_lost FROM dropped d WHERE NOT {SAME} AND NOT {ADJ} AND NOT {TELE}),
+    (SELECT count(*) AS n_trajectories, count(*) FILTER (WHERE is_complete) AS n_complete FROM fragments)""",
+    DROPPED,
+)
+def stitch_ratios(spark, d):
+    f, lost = rd.fragments(spark, d), _dropped(spark, d)
+    return au.stitch_ratios(rd.visits(spark, d), lost, sweep.residual(lost, f, rd.zone_edges(spark, DEMO_ZONES)), f)
+
+
+NOISY = f"""{VISITS}, noisy AS (SELECT event_id, person_id, entry_us, CASE WHEN event_id % 3 = 0 THEN CASE gender WHEN 'F' THEN 'M' ELSE 'F' END ELSE gender END AS gender,
+  CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 6 AS INTEGER) ELSE age_code END AS age_code FROM visits)"""
+
+
+def MODE(value: str) -> str:
+    return f"""(SELECT person_id, {value} FROM (SELECT person_id, {value}, row_number() OVER (PARTITION BY person_id ORDER BY count(*) DESC, min((entry_us, event_id))) AS r
+      FROM noisy GROUP BY person_id, {value}) WHERE r = 1)"""
+
+
+@query(
+    f"""SELECT n.event_id, n.person_id, g.gender, a.age_code FROM noisy n JOIN {MODE('gender')} g USING (person_id) JOIN {MODE('age_code')} a USING (person_id)""",
+    NOISY,
+)
+def purity_pass(spark, d):
+    """Gender and age of every visit replaced by their person's most frequent one; of equals, the first seen."""
+    return sweep.purify(rd.noisy_visits(spark, d)).select("event_id", "person_id", "gender", "age_code")
+
+
+@query(
+    f"""SELECT count(*) FILTER (WHERE n.gender <> g.gender) AS gender_corrections, count(*) FILTER (WHERE n.age_code <> a.age_code) AS age_corrections,
+    count(DISTINCT n.person_id) AS persons FROM noisy n JOIN {MODE('gender')} g USING (person_id) JOIN {MODE('age_code')} a USING (person_id)""",
+    NOISY,
+)
+def purity_corrections(spark, d):
+    v = rd.noisy_visits(spark, d).select("event_id", "person_id", "entry_us", "gender", "age_code")
+    for name in ("gender", "age_code"):
+        mode = sweep.mode_first_seen(v, "person_id", name, ["entry_us", "event_id"]).withColumnRenamed(name, f"pure_{name}")
+        v = v.join(mode, "person_id")
+    changed = {x: F.count_if(F.col(x) != F.col(f"pure_{x}")) for x in ("gender", "age_code")}
+    return v.agg(changed["gender"].alias("gender_corrections"), changed["age_code"].alias("age_corrections"), F.count_distinct("person_id").alias("persons"))
+
+
 # --- graph
 
 
@@ -546,6 +649,88 @@ def precision_ratio(spark, d):
     return _each(spark, d).groupBy("doc_id").agg(sc.round_even(F.avg(F.col("verified").cast("double")), 6).alias("precision"))
 
 
+#: A small metrics document: numbers of each section.
+METRICS = {"traffic": [12.0, 40.0, 21.0], "funnel": [1000.0, 36.0, 18.0], "dwell": [5.0, 87.5, 30.0], "anomalies": [2.0, 1000.0]}
+CATEGORY = "list_element(['Traffic', 'Funil', 'zona', 'Anomaly', 'other', 'resumo'], CAST(turn % 6 + 1 AS INTEGER))"
+TITLE = "list_element(['Peak hour', 'Conversão por hora', 'dwell', 'Note'], CAST((conv_id + turn) % 4 + 1 AS INTEGER))"
+
+
+def OK(values: list[float]) -> str:
+    return "(number = 0 OR " + " OR ".join(f"abs(number - {v}::DOUBLE) / {v}::DOUBLE <= 0.1::DOUBLE" for v in values) + ")"
+
+
+ALL_OK = OK([x for v in METRICS.values() for x in v])
+SECTION_OK = "CASE category " + " ".join(f"WHEN '{c}' THEN {OK(METRICS[m])}" for c, m in (("Traffic", "traffic"), ("Funil", "funnel"), ("zona", "dwell"), ("Anomaly", "anomalies"))) + f" ELSE {ALL_OK} END"
+SHARE = f"CASE WHEN n_numbers = 0 THEN 1.0::DOUBLE ELSE {R2('(n_numbers - n_unverified)::DOUBLE / n_numbers', 4)} END AS precision"
+
+
+def COUNTED(keys: str, ok: str) -> str:
+    return f"""(SELECT *, {SHARE} FROM (SELECT {keys}, count(number) AS n_numbers, count(*) FILTER (WHERE number IS NOT NULL AND NOT ({ok})) AS n_unverified
+      FROM said GROUP BY {keys}))"""
+
+
+CHECKED = f"""items AS (SELECT conv_id AS doc, turn AS item, CASE WHEN (turn + conv_id) % 2 = 0 THEN 'zero_shot' ELSE 'few_shot' END AS strategy, {CATEGORY} AS category,
+  {TITLE} AS title, text || ' In all ' || (conv_id % 50 + turn) || ' of 1,000.' AS text FROM conversations),
+said AS (SELECT * EXCLUDE (f), unnest(CASE WHEN len(f) = 0 THEN [NULL] ELSE f END) AS number FROM (SELECT doc, item, strategy, category,
+  list_transform(regexp_extract_all(text, '{NUM}'), lambda t: CAST(replace(t, ',', '') AS DOUBLE)) AS f FROM items)),
+flat AS {COUNTED('doc, item', ALL_OK)}, structured AS {COUNTED('doc, strategy', SECTION_OK)},
+chosen AS (SELECT doc, arg_max(strategy, (precision, strategy = 'zero_shot')) AS strategy, max(precision) AS precision FROM structured GROUP BY doc)"""
+
+
+@query("SELECT * FROM flat", CHECKED)
+def flat_check(spark, d):
+    return checks.flat_check(rd.answers(spark, d), ["doc", "item"], METRICS)
+
+
+@query("SELECT * FROM structured", CHECKED)
+def structured_check(spark, d):
+    return checks.structured_check(rd.answers(spark, d), ["doc", "strategy"], METRICS)
+
+
+def _chosen(spark, d):
+    return checks.choose_strategy(checks.structured_check(rd.answers(spark, d), ["doc", "strategy"], METRICS), "doc")
+
+
+@query("SELECT * FROM chosen", CHECKED)
+def strategy_choice(spark, d):
+    return _chosen(spark, d)
+
+
+STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\d+(?:[.,]\d+)?', '', 'g'), '[ \t\n\r\f\v]{2,}', ' ', 'g'), '[ \t\n\r\f\v]+([.,;:%])', '\1', 'g'))"
+
+
+@query(f"SELECT doc, item, precision < 0.9 AS stripped, CASE WHEN precision < 0.9 THEN {STRIPPED} ELSE text END AS text FROM items JOIN chosen USING (doc, strategy)", CHECKED)
+def safety_fallback(spark, d):
+    return checks.with_fallback(rd.answers(spark, d), _chosen(spark, d), "doc").select("doc", "item", "stripped", "text")
+
+
+SECTION_ROWS = ", ".join(f"('{name}', {list(words)})" for name, words in documents.SECTIONS)
+
+
+@query(
+    """, own AS (SELECT doc, item, section FROM items, sections WHERE list_contains(words, lower(category)))
+    SELECT * FROM own UNION ALL SELECT doc, item, section FROM items i, sections s WHERE len(list_filter(words, lambda w: contains(lower(category || ' ' || title), w))) > 0
+      AND NOT EXISTS (SELECT 1 FROM own WHERE own.doc = i.doc AND own.section = s.section)""",
+    f"{CHECKED}, sections(section, words) AS (VALUES {SECTION_ROWS})",
+)
+def report_sections(spark, d):
+    """Which items each section of a report shows."""
+    return checks.section_items(rd.answers(spark, d), "doc", documents.SECTIONS)
+
+
+@query(
+    f"""SELECT event_id, CASE event_id % 5 WHEN 4 THEN 0.0::DOUBLE WHEN 3 THEN 100.0::DOUBLE WHEN 2 THEN 25.0::DOUBLE ELSE {R2('CAST(CAST(value / 100 AS VARCHAR) AS DOUBLE) * 100.0::DOUBLE')} END AS numeric_precision_pct FROM events""",
+    None,
+)
+def numeric_precision(spark, d):
+    """Insight documents with both precisions, one of them, an empty one, none at all."""
+    score = (F.col("value") / 100).cast("string")
+    few, zero = (F.concat(F.lit(f'"numeric_precision_{n}": '), score) for n in ("few_shot", "zero_shot"))
+    inside = F.element_at(F.array(F.concat(few, F.lit(', "numeric_precision_zero_shot": 0.1')), zero, F.lit('"numeric_precision_few_shot": null, "numeric_precision_zero_shot": 0.25'), F.lit(""), F.lit(None)), (F.col("event_id") % 5 + 1).cast("int"))
+    document = F.concat(F.lit('{"insights": [], "hallucination_report": {'), inside, F.lit("}}"))
+    return rd.table(spark, d, "events").select("event_id", checks.numeric_precision_pct(document).alias("numeric_precision_pct"))
+
+
 WS = r"[ \t\n\r\f\v]"
 
 
@@ -639,13 +824,18 @@ def json_props(spark, d):
     return rd.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", None)
+@query("SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events", None)
 def json_repair(spark, d):
-    """Fenced and chatty answers parsed by built-ins: the fence goes, else the outermost braces count."""
-    e = rd.table(spark, d, "events").select("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")).alias("raw"))
+    """Answers parsed by built-ins: plain, fenced with and without a name, between chatter, both, and no JSON at
+    all. The fence goes, else the outermost braces count, else there is nothing."""
+    props, fence = F.col("props"), "```"
+    forms = [props, F.concat(F.lit(f"{fence}json\n"), props, F.lit(f"\n{fence}")), F.concat(F.lit(f"{fence}\n"), props, F.lit(f"\n{fence}\n"))]
+    forms += [F.concat(F.lit("Here it is: "), props, F.lit(" - as asked.")), F.concat(F.lit(f"Sure!\n{fence}json\n"), props, F.lit(f"\n{fence}\nAnything else?")), F.lit("I have no answer, sorry {not JSON}.")]
+    e = rd.table(spark, d, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
     clean = F.trim(F.regexp_replace("raw", r"(?m)^```(?:json)?\s*|\s*```$", ""))
     block = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
-    return e.select("event_id", F.coalesce(F.from_json(clean, "k bigint"), F.from_json(block, "k bigint"))["k"].alias("k"))
+    whole = F.when(clean.startswith("{"), F.from_json(clean, "k bigint"))
+    return e.select("event_id", F.coalesce(whole, F.from_json(block, "k bigint"))["k"].alias("k"))
 
 
 # --- stateful queries, without SQL
@@ -681,3 +871,6 @@ def stitch_full(spark, d):
 def stream_stitch(spark, d):
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return run_files(spark, f"{d}/events.parquet*", out, DEMO_ZONES).drop("visits")
+
+
+ORACLES.update({name: sql() for name, sql in ORACLES.items() if callable(sql)})

@@ -133,11 +133,60 @@ def detections_of(v: DataFrame) -> DataFrame:
     )
 
 
-def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of visits, cut where a person is away for eight hours, as trajectory fragments."""
+def noisy_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits whose gender and age are misread now and then."""
+    other = F.when(F.col("gender") == "F", "M").otherwise("F")
+    v = visits(spark, sf_dir).withColumn("gender", F.when(F.col("event_id") % 3 == 0, other).otherwise(F.col("gender")))
+    return v.withColumn("age_code", F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 6).cast("int")).otherwise(F.col("age_code")))
+
+
+def planted_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits with anomalies put in: the last day has crowded evenings and empty early hours, and a zone of long
+    stays takes every 200th visit."""
+    v = visits(spark, sf_dir)
+    v = v.join(F.broadcast(v.agg(F.max("visit_date").alias("last_day"))))  # one row
+    today, hour = F.col("visit_date") == F.col("last_day"), F.col("hour_of_day")
+    v = v.where(~(today & (hour < 6) & (F.col("person_id") % 10 > 0)))
+    copies = F.when(today & (hour >= 20), F.sequence(F.lit(0), F.lit(9))).otherwise(F.array(F.lit(0)))
+    v = v.withColumn("k", F.explode(copies)).withColumn("person_id", F.col("person_id") + F.col("k") * 100_000)
+    long = F.col("event_id") % 200 == 0
+    v = v.withColumn("zone_id", F.when(long, "Z_S9").otherwise(F.col("zone_id"))).withColumn("dwell_s", F.when(long, F.col("dwell_s") * 50).otherwise(F.col("dwell_s")))
+    return v.drop("k", "last_day")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as insight items: doc, item, strategy, category, title and text, which makes a claim."""
+    word = F.element_at(F.array(*[F.lit(x) for x in ("Traffic", "Funil", "zona", "Anomaly", "other", "resumo")]), (F.col("turn") % 6 + 1).cast("int"))
+    title = F.element_at(F.array(*[F.lit(x) for x in ("Peak hour", "Conversão por hora", "dwell", "Note")]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    claim = F.concat(F.col("text"), F.lit(" In all "), (F.col("conv_id") % 50 + F.col("turn")).cast("string"), F.lit(" of 1,000."))
+    strategy = F.when((F.col("turn") + F.col("conv_id")) % 2 == 0, "zero_shot").otherwise("few_shot")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"), F.col("turn").alias("item"), strategy.alias("strategy"), word.alias("category"), title.alias("title"), claim.alias("text")
+    )
+
+
+def visit_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments with their visits as an array in order; every fourth visit has no end."""
+    w = Window.partitionBy("person_id").orderBy("entry_us", "event_id")
+    v = _sessions(spark, sf_dir)
+    v = v.withColumn("frag_id", F.first("event_id").over(Window.partitionBy("person_id", "session").orderBy("entry_us", "event_id")))
+    end = F.when(F.col("event_id") % 4 != 0, F.col("exit_us") * 1000)
+    visit = F.struct(
+        F.row_number().over(w).alias("nth"), F.col("zone_id").alias("zone"), (F.col("entry_us") * 1000).alias("entry_ns"), end.alias("exit_ns"), F.lit(False).alias("ghost")
+    )
+    arrays = v.select("frag_id", visit.alias("v")).groupBy("frag_id").agg(F.transform(F.sort_array(F.collect_list("v")), lambda x: x.dropFields("nth")).alias("visits"))
+    return fragments(spark, sf_dir).join(arrays, "frag_id")
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("person_id").orderBy("entry_us", "event_id")
     v = visits(spark, sf_dir).withColumn("away", F.col("entry_us") - F.lag("entry_us").over(w))
-    v = v.withColumn("session", F.sum(F.when(F.col("away").isNull() | (F.col("away") >= SESSION_GAP_US), 1).otherwise(0)).over(w))
+    return v.withColumn("session", F.sum(F.when(F.col("away").isNull() | (F.col("away") >= SESSION_GAP_US), 1).otherwise(0)).over(w))
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of visits, cut where a person is away for eight hours, as trajectory fragments."""
+    v = _sessions(spark, sf_dir)
     order = F.struct("entry_us", "event_id")
     out = v.groupBy("person_id", "session").agg(
         F.min_by("event_id", order).alias("frag_id"),
