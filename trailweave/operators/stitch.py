@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.scalar import age_code
 from trailweave.operators.temporal import islands
-from trailweave.schema import ENTRANCES, EXITS, SECOND, StitchConfig, TRAJECTORY, Zones
+from trailweave.schema import ENTRANCES, EXITS, SECOND, ZONE_KINDS, StitchConfig, TRAJECTORY, Zones
 
 
 @dataclass
@@ -40,6 +40,10 @@ class Live:
         return (self.id, self.gender, self.age, first[1], self.seen, first[0], last[0], len(self.visits), born, done, [tuple(v) for v in self.visits])
 
 
+def kind_of(zone: str) -> str:
+    return next((name for prefix, name in ZONE_KINDS if zone.startswith(prefix)), "unknown")
+
+
 class Kernel:
     """Feeds on detections in order; gives away trajectories that nothing can continue any more, and counts
     what happens."""
@@ -111,6 +115,8 @@ class Kernel:
                 t = Live(f"P_{event}", gender, age, zone, at)
                 self.live.append(t)
                 self.count("born_at_entrance" if zone in ENTRANCES else "born_inside")
+                self.count(f"born_in_{kind_of(zone)}")
+                self.counts["max_live"] = max(self.counts.get("max_live", 0), len(self.live))
             t.age, t.seen, t.zone, t.moving = age, at, zone, False
             t.visits.append([zone, at, None, 0, label, False])
             return
@@ -142,31 +148,43 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _run(detections: DataFrame, zones: Zones, c: StitchConfig, schema: str, give: str) -> DataFrame:
-    """Runs the kernel over each (gender, island), in one sorted pass over each partition; only the live
-    trajectories of one island are in memory. Islands need be no coarser than the longest match window."""
+#: One row of the kernel's output: a trajectory ('t'), a detection it could not place ('d') or a counter ('c').
+TAGGED = f"tag string, {OUT}, event_id string, ts_ns long, zone_id string, why string, counter string, n long"
+
+
+def tagged_row(tag: str, **values) -> tuple:
+    return (tag, *[values.get(x) for x in TAGGED_REST])
+
+
+TAGGED_REST = [*[f.name for f in TRAJECTORY], "event_id", "ts_ns", "zone_id", "why", "counter", "n"]
+
+
+def trajectory_row(row: tuple) -> tuple:
+    return tagged_row("t", **dict(zip(TRAJECTORY.names, row)))
+
+
+def dropped_row(row: tuple) -> tuple:
+    return tagged_row("d", **dict(zip(("event_id", "ts_ns", "zone_id", "gender", "why"), row)))
+
+
+def tagged(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """All that pass 1 gives, in one run of the kernel over each (gender, island), in one sorted pass over each
+    partition; only the live trajectories of one island are in memory. Islands need be no coarser than the
+    longest match window. ``parts`` tells the outputs apart."""
     known = islands(detections.where("gender is not null").select(*DETECTION), ["gender"], "ts_ns", (c.still_gap + 1) * SECOND, 86_400 * SECOND)
     lone = detections.where("gender is null").select(*DETECTION, F.pmod(F.xxhash64("event_id"), F.lit(1024)).alias("island"))  # they match nobody
     rows = known.select(*DETECTION, "island").unionByName(lone)
     rows = rows.repartition("gender", "island").sortWithinPartitions("gender", "island", "ts_ns", "event_id")
-    names = [x.split()[0] for x in schema.split(", ")] if give != "trajectories" else TRAJECTORY.names
+    names = ["tag", *TAGGED_REST]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernel, key, done, counts = None, None, [], {}
+        kernel, key, out, counts = None, None, [], {}
 
         def close() -> None:
-            done.extend(kernel.flush())
+            out.extend(trajectory_row(t.row()) for t in kernel.flush())
             for k, n in kernel.counts.items():
-                counts[k] = counts.get(k, 0) + n
+                counts[k] = max(counts.get(k, 0), n) if k.startswith("max_") else counts.get(k, 0) + n
 
-        def given() -> pd.DataFrame:
-            rows = [t.row() for t in done] if give == "trajectories" else dropped_rows
-            out = pd.DataFrame(rows, columns=names)
-            done.clear()
-            dropped_rows.clear()
-            return out
-
-        dropped_rows: list[tuple] = []
         for pdf in batches:
             for event, at, zone, kind, duration, gender, age, label, island in pdf.itertuples(index=False, name=None):
                 gender = None if pd.isna(gender) else gender
@@ -174,32 +192,42 @@ def _run(detections: DataFrame, zones: Zones, c: StitchConfig, schema: str, give
                     if kernel is not None:
                         close()
                     kernel, key = Kernel(zones, c), (gender, island)
-                done.extend(kernel.feed(str(event), int(at), zone, kind, None if pd.isna(duration) else int(duration), gender, int(age), label))
+                out.extend(trajectory_row(t.row()) for t in kernel.feed(str(event), int(at), zone, kind, None if pd.isna(duration) else int(duration), gender, int(age), label))
                 if kernel.dropped:
-                    dropped_rows.extend(kernel.dropped)
+                    out.extend(map(dropped_row, kernel.dropped))
                     kernel.dropped.clear()
-            if give != "counts":
-                yield given()
+            yield pd.DataFrame(out, columns=names, dtype=object)
+            out.clear()
         if kernel is not None:
             close()
-        yield pd.DataFrame(sorted(counts.items()), columns=names) if give == "counts" else given()
+        out.extend(tagged_row("c", counter=k, n=n) for k, n in sorted(counts.items()))
+        yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return rows.select(*DETECTION, "island").mapInPandas(run, TAGGED)
 
-    return rows.select(*DETECTION, "island").mapInPandas(run, schema)
+
+def parts(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a ``tagged`` table: trajectories; detections that pass 1 could not place, and why (kind, zone, linger or
+    exit); and (counter, n)."""
+    n = F.when(F.col("counter").startswith("max_"), F.max("n")).otherwise(F.sum("n"))
+    return (
+        every.where("tag = 't'").select(*TRAJECTORY.names),
+        every.where("tag = 'd'").select("event_id", "ts_ns", "zone_id", "gender", "why"),
+        every.where("tag = 'c'").groupBy("counter").agg(n.alias("n")),
+    )
 
 
 def stitch(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
     """Trajectories after pass 1."""
-    return _run(detections, zones, c, OUT, "trajectories")
+    return parts(tagged(detections, zones, c))[0]
 
 
 def dropped(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
-    """Detections that pass 1 could not place, and why: kind, zone, linger or exit."""
-    return _run(detections, zones, c, "event_id string, ts_ns long, zone_id string, gender string, why string", "dropped")
+    return parts(tagged(detections, zones, c))[1]
 
 
 def telemetry(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
-    """(counter, n) over all of pass 1."""
-    return _run(detections, zones, c, "counter string, n long", "counts").groupBy("counter").agg(F.sum("n").alias("n"))
+    return parts(tagged(detections, zones, c))[2]
 
 
 def as_fragments(trajectories: DataFrame) -> DataFrame:

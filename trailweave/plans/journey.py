@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.operators import audit, sweep
 from trailweave.operators import stitch as st
-from trailweave.operators import sweep
 from trailweave.operators.common import settle
 from trailweave.operators.heal import heal
 from trailweave.schema import StitchConfig, Zones
@@ -14,16 +14,25 @@ from trailweave.sources.readers import zone_edges
 
 
 def run(spark: SparkSession, detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> dict[str, DataFrame]:
-    """journeys (closed visits), trajectories, residual detections and telemetry."""
+    """journeys (closed visits), trajectories, residual detections, telemetry and ratios (the stitcher's own coverage
+    and completeness). The kernel runs once."""
     edges = zone_edges(spark, zones)
-    trajectories = settle(st.as_fragments(st.stitch(detections, zones, c)))
+    found, missed, counters = st.parts(settle(st.tagged(detections, zones, c)))
+    trajectories = settle(st.as_fragments(found))
     healed, merged = heal(trajectories, edges, c)
-    lost = st.dropped(detections, zones, c).where("why <> 'kind'")
-    lost = lost.select("event_id", F.call_function("div", F.col("ts_ns"), F.lit(1000).cast("long")).alias("entry_us"), "zone_id", "gender")
-    rest = sweep.residual(lost, healed, edges, c)
-    counters = st.telemetry(detections, zones, c)
+    lost = missed.where("why <> 'kind'")
+    lost = settle(lost.select("event_id", F.call_function("div", F.col("ts_ns"), F.lit(1000).cast("long")).alias("entry_us"), "zone_id", "gender"))
+    rest = settle(sweep.residual(lost, healed, edges, c))
     stages = spark.createDataFrame([(f"merged_{k.lower()}", v) for k, v in merged.items()], "counter string, n long")
-    return {"journeys": visits_of(healed), "trajectories": healed, "residual": rest, "telemetry": counters.unionByName(stages)}
+    swept = lost.join(F.broadcast(rest.agg(F.count("*").alias("n"))))  # one row
+    swept = swept.agg((F.count("*") - F.coalesce(F.max("n"), F.lit(0))).alias("n")).select(F.lit("recovered").alias("counter"), "n")
+    return {
+        "journeys": visits_of(healed),
+        "trajectories": healed,
+        "residual": rest,
+        "telemetry": counters.unionByName(stages).unionByName(swept),
+        "ratios": audit.stitch_ratios(detections, missed, rest.unionByName(missed.where("why = 'kind'").select("event_id", F.lit(None).cast("long").alias("entry_us"), "zone_id", "gender")), healed),
+    }
 
 
 def visits_of(f: DataFrame) -> DataFrame:

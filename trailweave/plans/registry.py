@@ -16,7 +16,7 @@ from trailweave.operators.temporal import forward, islands
 from trailweave.plans import documents, journey
 from trailweave.schema import DEMO_ZONES, StitchConfig
 from trailweave.sources import readers as rd
-from trailweave.streaming.stitch import run_files
+from trailweave.streaming.stitch import run_files, trajectories
 
 QUERIES, ORACLES = {}, {}
 CONFIG = StitchConfig()
@@ -870,7 +870,7 @@ def stitch_full(spark, d):
 @query()
 def stream_stitch(spark, d):
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return run_files(spark, f"{d}/events.parquet*", out, DEMO_ZONES).drop("visits")
+    return trajectories(run_files(spark, f"{d}/events.parquet*", out, DEMO_ZONES)).drop("visits")
 
 
 ORACLES.update({name: sql() for name, sql in ORACLES.items() if callable(sql)})

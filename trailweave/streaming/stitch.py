@@ -1,8 +1,9 @@
 """Pass 1 over a stream of detections: the batch kernel as keyed state.
 
-Detections within the watermark's delay are held back and fed in order of time; later ones go to the dropped
-output. A trajectory is emitted once nothing can continue it: when the watermark passes its last sighting by
-the still gap, by timer if its key is quiet.
+Detections within the watermark's delay are held back and fed in order of time. A trajectory is emitted once
+nothing can continue it: when the watermark passes its last sighting by the still gap, by timer if its key is
+quiet. Detections that can't be placed are emitted as well, tagged as in the batch form. Detections without a
+gender match nobody and are spread over keys of their own.
 """
 
 from __future__ import annotations
@@ -15,31 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trailweave.operators.stitch import DETECTION, OUT, Kernel
-from trailweave.schema import SECOND, TRAJECTORY, StitchConfig, Zones
+from trailweave.operators.stitch import DETECTION, TAGGED, TAGGED_REST, Kernel, dropped_row, parts, trajectory_row
+from trailweave.schema import SECOND, StitchConfig, Zones
 from trailweave.sources.readers import detections_of, visits_of
 
+LONE_KEYS = 64
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
 
 def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig(), delay_s: int = 600) -> DataFrame:
-    """``detections``: the batch columns and ``ts`` (timestamp), as a stream. Append mode."""
+    """``detections``: the batch columns and ``ts`` (timestamp), as a stream. Append mode, tagged rows. A row
+    without an event_id only moves the watermark on."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kernel, waiting = pickle.loads(state.get[0]) if state.exists else (Kernel(zones, c), [])
         mark = state.getCurrentWatermarkMs() * 1_000_000
         for pdf in batches:
             for event, at, zone, kind, duration, gender, age, label in pdf[DETECTION].itertuples(index=False, name=None):
-                waiting.append((int(at), str(event), zone, kind, None if pd.isna(duration) else int(duration), gender, int(age), label))
+                if not pd.isna(event):
+                    waiting.append((int(at), str(int(event)), zone, kind, None if pd.isna(duration) else int(duration), None if pd.isna(gender) else gender, int(age), label))
         waiting.sort(key=lambda x: x[:2])
         out, ready = [], [x for x in waiting if x[0] <= mark]
         waiting = waiting[len(ready) :]
         for at, event, *rest in ready:
-            out += [t.row() for t in kernel.feed(event, at, *rest)]
+            out += [trajectory_row(t.row()) for t in kernel.feed(event, at, *rest)]
         if not waiting:
-            alive = []
-            for t in kernel.live:
-                (out if mark - t.seen > c.still_gap * SECOND else alive).append(t)
-            out = [t if isinstance(t, tuple) else t.row() for t in out]
-            kernel.live = alive
+            over = [t for t in kernel.live if mark - t.seen > c.still_gap * SECOND]
+            out += [trajectory_row(t.row()) for t in over]
+            kernel.live = [t for t in kernel.live if mark - t.seen <= c.still_gap * SECOND]
+        out += map(dropped_row, kernel.dropped)
         kernel.dropped = []
         if waiting or kernel.live:
             state.update((pickle.dumps((kernel, waiting)),))
@@ -47,17 +52,33 @@ def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchC
             state.setTimeoutTimestamp(max(min(due) // 1_000_000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=TRAJECTORY.names)
+        yield pd.DataFrame(out, columns=["tag", *TAGGED_REST], dtype=object)
+
+    lone = F.when(F.col("gender").isNull(), F.pmod(F.xxhash64("event_id"), F.lit(LONE_KEYS))).otherwise(-1)
+    keyed = detections.withWatermark("ts", f"{delay_s} seconds").withColumn("key", F.coalesce("gender", F.lit(""))).withColumn("lone", lone)
+    return keyed.groupBy("key", "lone").applyInPandasWithState(run, TAGGED, "kernel binary", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    known = detections.where("gender is not null").withWatermark("ts", f"{delay_s} seconds")
-    return known.groupBy("gender").applyInPandasWithState(run, OUT, "kernel binary", "append", GroupStateTimeout.EventTimeTimeout)
+def run_files(spark: SparkSession, source: str, out: str, zones: Zones, c: StitchConfig = StitchConfig(), close: bool = True) -> DataFrame:
+    """Streams event files that are there now through pass 1 into parquet under ``out`` and returns all tagged rows.
+    ``close``: the files are all there is, so a last row far ahead moves the watermark on and nothing stays in
+    state; else only what is final by the last watermark is returned. Restarting with the same ``out`` goes on
+    where it stopped."""
+    closing, delay_s = f"{out}/closing", 600
+    spark.createDataFrame([], EVENTS).write.mode("ignore").parquet(closing)
+    streams = [spark.readStream.schema(EVENTS).parquet(x) for x in (source, closing)]
+    found = detections_of(visits_of(streams[0].unionByName(streams[1]))).withColumn("ts", F.timestamp_micros("entry_us"))
+    job = stitch_stream(found, zones, c, delay_s).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    job = job.outputMode("append").trigger(availableNow=True)
+    job.start().awaitTermination()
+    if close:
+        last = spark.read.schema(EVENTS).parquet(source).agg(F.max("ts").alias("ts")).where("ts is not null")
+        ahead = (F.col("ts") + F.make_dt_interval(secs=F.lit(delay_s + 2 * c.still_gap + 60))).cast("timestamp_ntz")
+        nulls = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in EVENTS.split(", ")) if name != "ts"]
+        last.select(ahead.alias("ts"), *nulls).select(*[x.split()[0] for x in EVENTS.split(", ")]).write.mode("append").parquet(closing)
+        job.start().awaitTermination()
+    return spark.read.schema(TAGGED).parquet(f"{out}/rows")
 
 
-def run_files(spark: SparkSession, source: str, out: str, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
-    """Streams event files that are there now through pass 1 into parquet under ``out`` and returns what is
-    final by the last watermark. Restarting with the same ``out`` goes on where it stopped."""
-    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(source)
-    found = detections_of(visits_of(events)).withColumn("ts", F.timestamp_micros("entry_us"))
-    job = stitch_stream(found, zones, c).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
-    job.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{out}/rows")
+def trajectories(rows: DataFrame) -> DataFrame:
+    return parts(rows)[0]
