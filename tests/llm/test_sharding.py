@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.llm import sharding
 
@@ -28,7 +29,14 @@ def test_shards(make, odd):
     assert sharding.shard_rows(make([])).count() == 0
 
 
-def test_a_row_that_makes_up_the_table(spark):
+def test_a_row_that_makes_up_the_table(spark, monkeypatch):
     docs = spark.range(150_000).selectExpr("cast(1 as long) as doc_id", "'same' as text")
     got = sharding.shard_rows(docs)
     assert got.select("shard", "slot").distinct().count() == 150_000
+    monkeypatch.setattr(sharding, "BLOCK", 1000)  # 150 blocks, dealt out by all tasks
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = sharding.shard_rows(docs).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 75_000

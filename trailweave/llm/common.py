@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,16 @@ def resident(key: tuple, build: Callable[[], Any]) -> Any:
     return _RESIDENT[key]
 
 
+def free_memory() -> None:
+    """Drops what earlier stages have kept in this Python process and returns free memory to the system."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the byte-wise path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

@@ -119,7 +119,10 @@ def numbered(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     ranked = groups.withColumn("first", F.sum("copies").over(upto) - F.col("copies"))
     ranked = ranked.join(F.broadcast(offsets.select("bucket", "offset")), "bucket")
     ranked = ranked.withColumn("first", F.col("first") + F.col("offset"))
-    blocks = ranked.select(*keys, "first", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BLOCK).cast("long"))).alias("from"))
+    # rows with many copies are dealt out in blocks by as many tasks; the others where they are
+    starts = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BLOCK).cast("long"))
+    many = ranked.where(F.col("copies") > BLOCK).select(*keys, "first", "copies", F.explode(starts).alias("from")).repartition("first", "from")
+    blocks = ranked.where(F.col("copies") <= BLOCK).select(*keys, "first", "copies", F.lit(0).cast("long").alias("from")).unionByName(many)
     to = F.least(F.col("from") + BLOCK, F.col("copies")) - 1
     each = blocks.select(*keys, "first", F.explode(F.sequence(F.col("from"), to)).alias("nth"))
     return each.select(*keys, (F.col("first") + F.col("nth")).alias("row_number")), n_rows

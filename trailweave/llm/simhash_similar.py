@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import exact_dedup, simhash
 from trailweave.llm.bits import filter_of
-from trailweave.llm.common import settle
+from trailweave.llm.common import free_memory, settle
 from trailweave.llm.components import components
 
 WIDTH = 5
@@ -55,7 +55,7 @@ def text_id(data: bytes) -> int:
 
 
 #: Texts are hashed in parts of so many bytes, or one text.
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 
 
 def hashed(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +130,11 @@ def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        free_memory()
         for batch in batches:
             for _, texts in parts(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(row(text_ids(texts), shingle_ids(texts)), names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, schema)
 
@@ -141,6 +143,7 @@ def marks(docs: DataFrame) -> DataFrame:
     """doc_id, t (the text's hash), n (its shingles), fp (the fingerprint of its shingles) and bm (its bitmap)."""
 
     def run(batches):
+        free_memory()
         for batch in batches:
             for at, texts in parts(batch.column(1)):
                 sets = shingle_ids(texts)
@@ -258,6 +261,7 @@ def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: flo
     both = both.select(*columns, "part", "later", "bm").repartition("tok", "part").sortWithinPartitions("tok", "part", "later")
 
     def run(batches):
+        free_memory()
         at, held = None, {}
         for batch in batches:
             tok, t, n, pos, label, part, later = (batch.column(i).to_numpy() for i in range(7))

@@ -1,15 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear numpy classifier over hashed word features is trained from confirmed toxic texts and from others,
-drawn without a look at their labels from the rows for which the share of toxic ones is known. With the share pi of toxic texts, the risk on clean text is estimated as
-the risk of calling unlabelled text toxic minus pi times that of calling toxic text toxic; where that
+A linear numpy classifier over hashed word features is trained from confirmed toxic texts and from unlabelled
+ones, different texts drawn from all documents. For their share pi of toxic texts there are two figures: a bound
+that the two samples give, and the share among labelled rows; the lesser is taken, since labels are given more
+often where toxic texts are looked for. The risk on clean text is then estimated as the risk of calling unlabelled text toxic minus pi times that of calling toxic text toxic; where that
 estimate falls below zero the model overfits, and the step goes back up instead.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import zlib
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import resident
+from trailweave.llm.common import free_memory, resident
 
 FOLDS = 5
 MARKS = ".,;:!?…\"'`()[]{}<>|*#$%&@/\\-_«»“”‘’¡¿"
@@ -31,8 +30,8 @@ MOST_WORDS = 300_000
 
 @dataclass(frozen=True)
 class PuSettings:
-    """``most_toxic`` and ``most_unlabelled`` bound the training sample: texts are taken in the order of a
-    hash of their id. Everything else covers all rows."""
+    """``most_toxic`` and ``most_unlabelled`` bound the training sample: rows are taken in the order of a
+    hash of their id, and of the unlabelled ones equal texts count once. Everything else covers all rows."""
 
     most_toxic: int = 3000
     most_unlabelled: int = 6000
@@ -79,9 +78,44 @@ def telling(at: np.ndarray, owner: np.ndarray, places: np.ndarray, n: int, m: in
     return marked
 
 
-def train(toxic: pa.ChunkedArray, unlabelled: pa.ChunkedArray, prior: float, settings: PuSettings = PuSettings()) -> tuple[np.ndarray, float]:
+def risk_slope(z: np.ndarray, p: np.ndarray, is_toxic: np.ndarray, prior: float) -> np.ndarray:
+    """Slope of the non-negative risk by each text's logit ``z`` (``p``: its sigmoid). The risk is that of calling
+    toxic texts clean, times the prior, plus the clean risk: that of calling unlabelled texts toxic minus the prior
+    times that of calling toxic texts toxic. Where the clean risk is negative, its own slope is turned round."""
+    n, m = int(is_toxic.sum()), len(z)
+    loss = np.logaddexp(0, z)  # of calling a text toxic that is clean
+    clean_risk = loss[~is_toxic].mean() - prior * loss[is_toxic].mean()
+    slope = np.where(is_toxic, -prior * p / n, p / (m - n))
+    return slope + np.where(is_toxic, prior * (p - 1) / n, 0) if clean_risk >= 0 else -slope
+
+
+def estimated_prior(at: np.ndarray, owner: np.ndarray, places: np.ndarray, is_toxic: np.ndarray) -> float:
+    """Share of toxic texts among the unlabelled. Any set of texts holds at least pi times the share of toxic texts
+    in it, so pi is at most the ratio of the two shares; the sets are those above a score, by log ratios of the
+    features' counts in one half of the texts, among the texts of the other half; one standard error is allowed for
+    in each share, since the least of several figures is taken."""
+    least, half = 1.0, np.random.default_rng(1).random(len(is_toxic)) < 0.5
+    for fit in (half, ~half):
+        counts = []
+        for kind in (is_toxic, ~is_toxic):
+            rows = (fit & kind)[owner]
+            counts.append((np.bincount(places[at[rows]].ravel(), minlength=int(places.max()) + 1) + 1) / ((fit & kind).sum() + 2))
+        weights = np.log(counts[0]) - np.log(counts[1])
+        weights[0] = 0
+        score = np.bincount(owner, weights[places].sum(1)[at], len(is_toxic))
+        toxic, rest = np.sort(score[~fit & is_toxic]), score[~fit & ~is_toxic]
+        if len(toxic) < 10 or len(rest) < 10:
+            continue
+        for share in (0.9, 0.8, 0.7, 0.6, 0.5):
+            cut = toxic[int(len(toxic) * (1 - share))]
+            u, t = (rest >= cut).mean(), (toxic >= cut).mean()
+            least = min(least, (u + (u * (1 - u) / len(rest)) ** 0.5) / max(t - (t * (1 - t) / len(toxic)) ** 0.5, 1e-3))
+    return float(min(max(least, 0.001), 0.9))
+
+
+def train(toxic: pa.ChunkedArray, unlabelled: pa.ChunkedArray, most_prior: float, settings: PuSettings = PuSettings()) -> tuple[np.ndarray, float]:
     """Weights and bias from the distinct words of each text (lists of strings): Adam on the non-negative
-    risk. Words are numbered once and kept as Arrow data, so a sample of the largest size takes some 300 MB."""
+    risk. ``most_prior``: where the estimate of the prior ends. Words are numbered once and kept as Arrow data, so a sample of the largest size takes some 300 MB."""
     if not len(toxic) or not len(unlabelled):
         return np.zeros(1 << BITS), -20.0
     n = len(toxic)
@@ -98,18 +132,13 @@ def train(toxic: pa.ChunkedArray, unlabelled: pa.ChunkedArray, prior: float, set
     used = places.any(1)[at]
     at, owner, number = at[used], owner[used], None
     size = int(column.max()) + 1
+    prior = min(estimated_prior(at, owner, places, is_toxic), most_prior)
     weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     mean, square, mean_b, square_b = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, settings.steps + 1):
         z = np.bincount(owner, weights[places].sum(1)[at], m) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        clean_loss = np.logaddexp(0, z)  # of calling a text clean
-        clean_risk = clean_loss[~is_toxic].mean() - prior * clean_loss[is_toxic].mean()
-        slope = np.where(is_toxic, -prior * p / n, p / (m - n))  # of the clean risk
-        if clean_risk >= 0:
-            slope = slope + np.where(is_toxic, prior * (p - 1) / n, 0)
-        else:
-            slope = -slope
+        slope = risk_slope(z, p, is_toxic, prior)
         by_word = np.bincount(at, slope[owner], len(places))
         slopes = np.bincount(places.ravel(), np.repeat(by_word, places.shape[1]), size) + settings.decay * weights
         slopes[0] = 0
@@ -150,33 +179,30 @@ def fit(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings())
     seen = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     seen = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, known = seen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    prior = min(max(toxic / known if known else 0.5, 0.001), 0.9)
+    most_prior = min(max(toxic / known if known else 0.5, 0.001), 0.9)
     confirmed = seen.where("toxic = 1").orderBy(shuffled, "doc_id").limit(settings.most_toxic)
-    # the rows with labels, their labels unread: of these the share of toxic ones is known
-    rest = seen.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(settings.most_unlabelled)
+    every = docs.select("doc_id").where("doc_id is not null")
+    rest = every.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(settings.most_unlabelled)
 
     def distinct_words(batches):
         for batch in batches:
             words = pa.array([sorted(words_of(t or "")) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), words], ["doc_id", "words"])
 
-    def sample(ids: DataFrame) -> pa.ChunkedArray:
+    def sample(ids: DataFrame, different: bool) -> pa.ChunkedArray:
         texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
         schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>"
+        if different:  # of equal texts the one with the least id, so that groups of copies do not outweigh the rest
+            texts = texts.withColumn("same", F.xxhash64("text"))
+            first = texts.groupBy("same").agg(F.min("doc_id").alias("first"))
+            texts = texts.join(F.broadcast(first.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
         return texts.mapInArrow(distinct_words, schema).toArrow().sort_by("doc_id").column("words")
 
-    model = train(sample(confirmed), sample(rest), prior, settings)
-    give_back()
+    model = train(sample(confirmed, False), sample(rest, True), most_prior, settings)
+    free_memory()  # what training has used; a driver lives on for long
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def give_back() -> None:
-    """Returns what training has freed to the system, since a driver lives on for long."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def _scorer(shared) -> Scorer:
     weights, bias = shared.value
     return resident(("toxicity", hashlib.sha256(weights).hexdigest(), bias), lambda: Scorer(weights, bias))
@@ -204,7 +230,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettin
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings()) -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns."""
+    """The rows that are not predicted toxic, with all their columns. Null text counts as empty, texts of any
+    length are read whole, rows are judged alone, and an empty table gives an empty result."""
     shared = fit(docs, labels, settings)
 
     def run(batches):

@@ -2,8 +2,9 @@
 
 The urls that rules allow and those that rules block train one variable-order Markov model each, smoothed
 by interpolation from order 0 up to ORDER (each order weighs its counts against the number of different
-followers). Counts cover all urls. An url outside the rules gets the difference of its log likelihoods by
-character, and a threshold that is calibrated on urls held out of the training decides.
+followers). Models read the whole url. An url outside the rules gets the difference of its log likelihoods by
+character under models of all seeds; the threshold that decides is calibrated with models of four fifths of the
+seeds on the fifth that they have not seen.
 
 Models live in tables, not in memory: only tables bounded by the alphabet (contexts of 2 characters at
 most) or by a share of all occurrences are broadcast.
@@ -103,39 +104,44 @@ def threshold(scored: DataFrame) -> int | None:
     return round(1000 * ((ma * db + mb * da) / (da + db) if da + db else (ma + mb) / 2))
 
 
+def scores(strings: DataFrame, allowed: Column, blocked: Column, of: Column | None = None) -> DataFrame:
+    """(plain, score) of the strings, or those ``of`` is true for, under models of all strings with these counts."""
+    counts = grams(strings, allowed.alias("allowed"), blocked.alias("blocked")).groupBy("gram").agg(
+        F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"), F.count("*").alias("uses")
+    )
+    ratios = settle(weighed(settle(counts)))
+    total = ratios.agg(F.sum("uses")).first()[0] or 0
+    hot = F.col("uses") * HOT >= total
+    each = grams(strings if of is None else strings.where(of), "plain").join(F.broadcast(ratios.where(hot).select("gram", "ratio")), "gram", "left")
+    cold = each.where("ratio is null").drop("ratio").join(ratios.where(~hot).select("gram", "ratio"), "gram")
+    each = each.where("ratio is not null").unionByName(cold)
+    return settle(each.groupBy("plain").agg(F.call_function("div", F.sum("ratio"), F.count("*")).alias("score")))
+
+
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (millionths of a nat by character; null under a rule).
 
-    A null url, or one without '://', has an empty host and path and is judged by the models. Without
-    seeds of both kinds, urls outside the rules are allowed. Repeated urls count as often as they come but
-    are scored once; null and repeated ids pass through; an empty table gives an empty result; other
-    columns are ignored.
+    A null url, or one without '://', has an empty host and path and is judged by the models; null counts as an
+    empty url. Without seeds of both kinds, urls outside the rules are allowed. Repeated urls count as often as
+    they come but are scored once; urls of any length are read whole; null and repeated ids pass through; an
+    empty table gives an empty result; other columns are ignored.
     """
     host, path = parts(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    plain = F.regexp_replace(fold_ascii(F.coalesce(F.col("url"), F.lit(""))), f"[^{PLAIN}]", "*")
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), plain.alias("plain"))
     rule, verdict = by_rules(rules)
     urls = urls.withColumn("rule", rule).withColumn("said", verdict)
-    urls = urls.withColumn("plain", F.regexp_replace(fold_ascii(F.concat("host", "path")), f"[^{PLAIN}]", "*"))
     strings = settle(
         urls.groupBy("plain").agg(
             F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked")
         ).withColumn("held", F.crc32("plain") % HELD_OUT == 0)
     )
-    train = [F.when(F.col("held"), 0).otherwise(F.col(c)).alias(c) for c in ("allowed", "blocked")]
-    counts = grams(strings, *train).groupBy("gram").agg(
-        F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"), F.count("*").alias("uses")
-    )
-    ratios = settle(weighed(settle(counts)))
-    total = ratios.agg(F.sum("uses")).first()[0] or 0
-    hot = F.col("uses") * HOT >= total
-    each = grams(strings, "plain").join(F.broadcast(ratios.where(hot).select("gram", "ratio")), "gram", "left")
-    cold = each.where("ratio is null").drop("ratio").join(ratios.where(~hot).select("gram", "ratio"), "gram")
-    each = each.where("ratio is not null").unionByName(cold)
-    score = F.call_function("div", F.sum("ratio"), F.count("*"))
-    scored = settle(each.groupBy("plain").agg(score.alias("score")).join(strings, "plain"))
-    cut = threshold(scored)
+    train = [F.when(F.col("held"), 0).otherwise(F.col(c)) for c in ("allowed", "blocked")]
+    seeds = F.col("allowed") + F.col("blocked") > 0
+    cut = threshold(scores(strings, *train, of=seeds).join(strings, "plain"))
+    scored = scores(strings, F.col("allowed"), F.col("blocked"))
     judged = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return urls.join(scored.select("plain", "score"), "plain").select(
+    return urls.join(scored, "plain").select(
         "page_id",
         "host",
         "path",
