@@ -1,14 +1,16 @@
-"""Removal of multi-line chunks that repeat across the corpus.
-
-A document's lines are cut into chunks where a rolling hash over the last WINDOW line hashes is divisible by
-DIVISOR. The cuts depend on the lines around them alone, so inside a repeated passage they fall on the same
-lines wherever the passage stands. A line of LONG_WORDS words or more is a chunk of its own: as a passage it
-needs no neighbours. Chunks are counted over the whole corpus by a 128-bit hash; where one repeats, the bytes
-are compared with those of its first place, and all equal ones but the first are repeats. Of these, runs of
-neighbouring chunks with several lines or many words in all are removed; a short line that repeats on its own
-is no passage and stays.
-
-Texts stay where they are: hashes are shuffled for all chunks, bytes only for those whose hash repeats.
+"""Removal of multi-line passages that repeat across the corpus, by content-defined line chunks.
+
+A document's lines are cut into chunks where a rolling hash over the last WINDOW line hashes leaves less than CUTS
+when divided by OF, or after MOST_LINES lines without such a place (the maximum chunk, which only texts of one repeated line
+reach). The cuts depend on the lines around them alone, so inside a repeated passage they fall on the same lines
+wherever the passage stands. Chunks are counted over the whole corpus by a 128-bit hash; where one repeats, the
+bytes are compared with those of its first place, and all equal ones but the first are repeats. Each repeat is an
+anchor: it grows up and down, line by line and up to GROW lines, while its neighbours equal those of the first
+place, since a passage seldom begins and ends on a cut. Of what is found, runs of two lines or more that have
+words are removed; a line that repeats on its own is no passage and stays.
+
+Texts stay where they are: hashes are shuffled for all chunks; bodies only for those whose hash repeats, one for
+all the copies in a part of a map task.
 """
 
 from __future__ import annotations
@@ -17,50 +19,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.llm.bits import filter_of, may_hold
 from trailweave.llm.common import fresh, settle
 
 WINDOW = 2
-DIVISOR = 2
+#: Three of four places are cuts: short chunks, so that a passage of few lines holds one whole.
+CUTS, OF = 3, 4
 BASE = 0x9E3779B97F4A7C15
-LONG_WORDS = 50
 MOST_LINES = 64
-#: Bits of the filter of repeated hashes, which is broadcast: 2 MB whatever the corpus.
-FILTER_BITS = 24
-
-
-def chunks(lines: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(first line, line behind the last, words) of each chunk."""
-    h = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
-    start = words = 0
-    for i, line in enumerate(lines):
-        n = len(line.encode().split())
-        if n >= LONG_WORDS:
-            if i > start:
-                yield start, i, words
-            yield i, i + 1, n
-            start, words = i + 1, 0
-            continue
-        words += n
+GROW = 8
+#: Lines with words that a removed run has at least.
+LEAST_LINES = 2
+#: Texts are cut in parts of so many bytes, or one text.
+PART_BYTES = 2_000_000
+WORD_BITS = 16
+
+
+def line_hashes(lines: list[str]) -> list[int]:
+    return [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+
+
+def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first line, line behind the last) of each chunk."""
+    h, start = line_hashes(lines), 0
+    for i in range(len(lines)):
         rolled = 0
         for x in h[max(0, i - WINDOW + 1) : i + 1]:
             rolled = (rolled * BASE + x) & (1 << 64) - 1
-        if (rolled >> 32) % DIVISOR == 0 or i - start + 1 >= MOST_LINES:
-            yield start, i + 1, words
-            start, words = i + 1, 0
+        if (rolled >> 32) % OF < CUTS or i - start + 1 >= MOST_LINES:
+            yield start, i + 1
+            start = i + 1
     if start < len(lines):
-        yield start, len(lines), words
+        yield start, len(lines)
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(first line, lines, words, text) of the chunks that are not blank."""
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """(first line, line behind the last, text) of the chunks that are not blank."""
     lines = text.split("\n")
-    for start, end, words in chunks(lines):
-        if words:
-            yield start, end - start, words, "\n".join(lines[start:end])
+    for start, end in chunks(lines):
+        body = "\n".join(lines[start:end])
+        if body.encode().split():
+            yield start, end, body
 
 
 def _key(text: str) -> tuple[int, int]:
@@ -68,98 +72,131 @@ def _key(text: str) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-LIGHT = ["k1", "k2", "start", "lines", "words"]
+def row_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+
+def line_code(line: str) -> int:
+    """Hash of a line and, in the lowest bits, its words (WORD_BITS bits, more count as the most)."""
+    words = min(len(line.encode().split()), (1 << WORD_BITS) - 1)
+    return (xxhash.xxh3_64_intdigest(line.encode()) >> WORD_BITS << WORD_BITS | words) - (1 << 63)
+
+
+def words_in(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    ids, texts, size = [], [], 0
+    for doc, text, n in zip(batch.column(0), batch.column(1), pc.binary_length(batch.column(1)).to_pylist()):
+        if texts and size + (n or 0) > PART_BYTES:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(doc.as_py())
+        texts.append(text.as_py() or "")
+        size += n or 0
+    if texts:
+        yield ids, texts
+
+
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def chunk_keys(docs: DataFrame) -> DataFrame:
+    """(k1, k2) of every chunk."""
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in _parts(batch):
+                keys = np.array([_key(body) for t in texts for _, _, body in candidates(t)], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["k1", "k2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "k1 long, k2 long")
 
 
-def _chunk_rows(docs: DataFrame, with_text: bool, wanted=None) -> DataFrame:
-    """Rows of chunks: doc_id, row (a hash of the text), k1, k2, start, lines, words, and the text if asked
-    for. ``wanted``: broadcast bits; chunks whose bit is not set are left out."""
+def suspects(docs: DataFrame, wanted) -> DataFrame:
+    """k1, k2, body and places (doc_id, row, start, and the codes of the lines above, inside and below) of chunks that
+    the filter holds; copies in one part of a task share a row."""
+    schema = f"k1 long, k2 long, body string, places array<struct<doc_id:{_id_type(docs)},row:bigint,start:bigint,up:array<bigint>,own:array<bigint>,down:array<bigint>>>"
 
     def run(batches):
-        bits = None if wanted is None else wanted.value
         for batch in batches:
-            ids, rows, out = [], [], [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                row = xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
-                for start, lines, words, body in candidates(text):
-                    k1, k2 = _key(body)
-                    at = k1 & (1 << FILTER_BITS) - 1
-                    if bits is not None and not bits[at >> 3] >> (at & 7) & 1:
+            fields = [("doc_id", batch.column(0).type), ("row", pa.int64()), ("start", pa.int64()), *[(x, pa.list_(pa.int64())) for x in ("up", "own", "down")]]
+            for ids, texts in _parts(batch):
+                found: dict[str, tuple] = {}
+                for doc, text in zip(ids, texts):
+                    each = list(candidates(text))
+                    keys = [_key(body) for _, _, body in each]
+                    hits = wanted.value.hit(np.array([k[0] for k in keys], np.int64))
+                    if not hits.any():
                         continue
-                    ids.append(doc)
-                    rows.append(row)
-                    for column, value in zip(out, (k1, k2, start, lines, words, body)):
-                        column.append(value)
-            columns = [pa.array(ids, batch.column(0).type), pa.array(rows, pa.int64())]
-            columns += [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", *LIGHT] + ["body"] * with_text)
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, " + ", ".join(f"{c} long" for c in LIGHT)
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", body string" * with_text)
-
-
-def _filter_bits(repeated: DataFrame) -> bytes:
-    """A bit for each repeated k1 modulo the size of the filter; the driver gets 2 ** FILTER_BITS bits at most."""
-    at = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    word = F.call_function("shiftright", at, F.lit(5)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
-    words = repeated.groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    return out.tobytes()
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks to remove: doc_id, row, start, lines, words. Each equals, byte for byte, an earlier chunk, that
-    is one with a lesser (doc_id, row, start)."""
+                    codes, row = list(map(line_code, text.split("\n"))), row_hash(text)
+                    for (start, end, body), key, hit in zip(each, keys, hits):
+                        if hit:
+                            place = {"doc_id": doc, "row": row, "start": start, "up": codes[max(0, start - GROW) : start][::-1], "own": codes[start:end], "down": codes[end : end + GROW]}
+                            found.setdefault(body, (key, []))[1].append(place)
+                columns = [pa.array([k[i] for k, _ in found.values()], pa.int64()) for i in (0, 1)]
+                columns += [pa.array(list(found), pa.string()), pa.array([p for _, p in found.values()], pa.list_(pa.struct(fields)))]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "body", "places"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many of the first elements of two arrays are equal."""
+    n = F.least(F.size(a), F.size(b))
+    differ = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), F.lit(False))
+    return F.when(differ == 0, n).otherwise(differ - 1).cast("int")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Lines to remove: doc_id, row (a hash of the text), line (from 0) and words."""
     keys = ["k1", "k2"]
-    light = _chunk_rows(docs, with_text=False)
-    repeated = settle(light.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(repeated))
-    place = F.struct("doc_id", "row", "start")
-    suspects = _chunk_rows(docs, with_text=True, wanted=shared).join(repeated, keys)
-    first = suspects.groupBy(*keys).agg(F.min(F.struct(place.alias("place"), "body")).alias("first"))
-    both = suspects.join(first, keys)
-    later = both.where((F.col("body") == F.col("first.body")) & (F.col("first.place") < place))
-    return passages(later.select("doc_id", "row", "start", "lines", "words").distinct())
-
-
-def passages(repeats: DataFrame) -> DataFrame:
-    """The repeats that stand in runs of several lines or of LONG_WORDS words. Windows are over one document,
-    whose chunks are bounded by its length."""
-    doc = Window.partitionBy("doc_id", "row").orderBy("start")
-    end = F.col("start") + F.col("lines")
-    starts = (F.coalesce(F.lag(end).over(doc), F.lit(-1)) != F.col("start")).cast("int")
-    runs = repeats.withColumn("starts", starts).withColumn("run", F.sum("starts").over(doc))
-    whole = Window.partitionBy("doc_id", "row", "run")
-    runs = runs.withColumn("all_lines", F.sum("lines").over(whole)).withColumn("all_words", F.sum("words").over(whole))
-    return runs.where((F.col("all_lines") > 1) | (F.col("all_words") >= LONG_WORDS)).select(*repeats.columns)
+    repeated = settle(chunk_keys(docs).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    found = settle(suspects(docs, filter_of(settle(repeated.select("k1")))).join(repeated, keys, "left_semi"))
+    place = F.struct("p.doc_id", "p.row", "p.start")
+    first = found.select(*keys, "body", F.explode("places").alias("p")).groupBy(*keys).agg(F.min(F.struct(place.alias("place"), F.col("p.up").alias("up"), F.col("p.down").alias("down"), "body")).alias("first"))
+    later = found.join(first, keys).where(F.col("body") == F.col("first.body")).select("first.place", "first.up", "first.down", F.explode("places").alias("p"))
+    later = later.where(~place.eqNullSafe(F.col("place")))
+    up, down = _alike(F.col("p.up"), F.col("up")), _alike(F.col("p.down"), F.col("down"))
+    later = later.select("p", up.alias("n_up"), down.alias("n_down"))
+    codes = F.concat(F.reverse(F.slice("p.up", F.lit(1), F.col("n_up"))), F.col("p.own"), F.slice("p.down", F.lit(1), F.col("n_down")))
+    lines = later.select("p.doc_id", "p.row", (F.col("p.start") - F.col("n_up")).alias("from"), F.posexplode(codes).alias("at", "code"))
+    lines = lines.select("doc_id", "row", (F.col("from") + F.col("at")).alias("line"), words_in(F.col("code")).alias("words")).distinct()
+    doc = Window.partitionBy("doc_id", "row").orderBy("line")  # lines of one document
+    starts = (F.coalesce(F.lag("line").over(doc), F.lit(-2)) + 1 != F.col("line")).cast("int")
+    runs = lines.withColumn("starts", starts).withColumn("run", F.sum("starts").over(doc))
+    full = F.sum((F.col("words") > 0).cast("int")).over(Window.partitionBy("doc_id", "row", "run"))
+    return runs.withColumn("full", full).where(F.col("full") >= LEAST_LINES).select("doc_id", "row", "line", "words", "run")
+
+
+def _by_document(gone: DataFrame) -> DataFrame:
+    """doc_id, row, lines, words and spans (from, to) of what each document loses."""
+    spans = gone.groupBy("doc_id", "row", "run").agg(F.min("line").alias("from"), F.max("line").alias("to"), F.count("*").alias("lines"), F.sum("words").alias("words"))
+    return spans.groupBy("doc_id", "row").agg(F.sum("lines").alias("lines"), F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed_lines, n_removed_words and removed_lines (like '3-5,9', from 0; null: none).
+    """doc_id, n_lines, n_removed_lines, n_removed_words and removed_lines (like '3-5,9-10', from 0; null: none).
 
-    Null text counts as empty. Rows with equal id and text count as one document and lose the same lines;
-    null ids come first in the order of places. Blank chunks are never removed; texts of any length are cut
+    Null text counts as empty. Rows with equal id and text count as one document and lose the same lines; null ids
+    come first in the order of places, and of ties in it there are none but such rows. Texts of any length are cut
     line by line; an empty table gives an empty result; other columns are ignored.
     """
-    gone = settle(repeated_chunks(docs))
-    last = F.col("start") + F.col("lines") - 1
-    span = F.when(F.col("lines") == 1, F.col("start").cast("string")).otherwise(F.concat_ws("-", "start", last.cast("string")))
-    by_doc = gone.groupBy("doc_id", "row").agg(
-        F.sum("lines").alias("lines"),
-        F.sum("words").alias("words"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", span.alias("span")))), lambda x: x["span"]), ",").alias("removed_lines"),
-    )
+    by_doc = _by_document(repeated_lines(docs)).toDF("same_id", "same_row", "lines", "words", "spans")
+
+    def told(x: Column) -> Column:
+        return F.when(x["from"] == x["to"], x["from"].cast("string")).otherwise(F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string")))
+
     rows = docs_rows(docs)
-    same = rows["doc_id"].eqNullSafe(by_doc["doc_id"]) & (rows["row"] == by_doc["row"])
-    return rows.join(by_doc, same, "left").select(
-        rows["doc_id"],
+    both = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("row") == F.col("same_row")), "left")
+    return both.select(
+        "doc_id",
         "n_lines",
         F.coalesce("lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         F.coalesce("words", F.lit(0)).cast("long").alias("n_removed_words"),
-        "removed_lines",
+        F.array_join(F.transform("spans", told), ",").alias("removed_lines"),
     )
 
 
@@ -168,42 +205,38 @@ def docs_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array([t.count("\n") + 1 for t in texts], pa.int64())], ["doc_id", "row", "n_lines"])
+            for ids, texts in _parts(batch):
+                columns = [pa.array(ids, batch.column(0).type), pa.array(list(map(row_hash, texts)), pa.int64()), pa.array([t.count("\n") + 1 for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_lines long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, row long, n_lines long")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed chunks cut out of their texts, all columns kept. Documents that lose
-    nothing pass by without a shuffle if those that do fit a broadcast; else texts are shuffled by id."""
+    """``docs`` with the removed lines cut out of their texts, all columns kept; null and repeated rows, ties and
+    empty tables as in ``line_dedup``. Rows that lose nothing are told by a bit filter and stay in their tasks;
+    the rest, and the filter's few false ones, are joined with their spans."""
     same, row, gone, of = fresh(docs.columns, "same_id", "row", "gone", "of")
-    by_doc = settle(repeated_chunks(docs)).groupBy(F.col("doc_id").alias(same), F.col("row").alias(row))
-    by_doc = by_doc.agg(F.collect_list(F.struct("start", "lines")).alias(gone))
+    by_doc = settle(_by_document(repeated_lines(docs)).select(F.col("doc_id").alias(same), F.col("row").alias(row), F.col("spans").alias(gone)))
+    held = filter_of(settle(by_doc.select(F.xxhash64(same, row).alias("key"))))
+
+    @F.pandas_udf("long")
+    def hashed(texts):
+        return texts.map(row_hash)
 
     @F.pandas_udf("string")
-    def cut(texts, found):
+    def cut(texts, spans):
         out = []
-        for text, spans in zip(texts, found):
-            lines, drop = text.split("\n"), set()
-            for span in spans:
-                drop.update(range(span["start"], span["start"] + span["lines"]))
-            out.append("\n".join(x for i, x in enumerate(lines) if i not in drop))
+        for text, found in zip(texts, spans):
+            lines = text.split("\n")
+            for span in reversed(list(found)):
+                del lines[span["from"] : span["to"] + 1]
+            out.append("\n".join(lines))
         return type(texts)(out, dtype=object)
 
-    text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumn(of, _row_hash(text))
-    joined = marked.join(by_doc, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(of) == F.col(row)), "left")
-    none = F.array().cast("array<struct<start:bigint,lines:bigint>>")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut(text, F.coalesce(F.col(gone), none)))
-    return joined.withColumn("text", text).select(*docs.columns)
-
-
-def _row_hash(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def run(texts):
-        return texts.map(lambda t: xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63))
-
-    return run(text)
+    marked = docs.withColumn(of, hashed(F.coalesce("text", F.lit(""))))
+    maybe = may_hold(held, F.xxhash64("doc_id", of))
+    some = marked.where(maybe).join(by_doc, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(of) == F.col(row)), "left")
+    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce(F.col(gone), none)))
+    return marked.where(~maybe).select(*docs.columns).unionByName(some.withColumn("text", text).select(*docs.columns))
