@@ -6,6 +6,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from trailweave.llm import license_scan, quality, toxicity, url_filter
 
@@ -154,6 +155,62 @@ def test_licences(make, odd):
     assert license_scan.license_scan(make([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC-ND 4.0.", ["CC-BY-NC-ND-4.0"]),
+        ("Licensed under CC BY-NC 3.0.", []),
+        ("Released under the BSD License.", []),
+        ("Released under the MIT License.\nReleased under the MIT License.", ["MIT", "MIT"]),
+        ("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", ["CC-BY-NC-4.0", "CC-BY-4.0"]),
+        (license_scan.TEMPLATES["BSD-3-Clause"][0], ["BSD-3-Clause"]),
+        (license_scan.TEMPLATES["BSD-2-Clause"][0], ["BSD-2-Clause"]),
+        (license_scan.TEMPLATES["LGPL-2.1"][1], ["LGPL-2.1"]),
+        (" ".join(license_scan.TEMPLATES["Apache-2.0"][1].split()[:55]), ["Apache-2.0"]),
+    ],
+)
+def test_licences_of_a_family_are_told_apart(text, names):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.ScanSettings())
+    assert [x[0] for x in scanner.scan("Some words before. " + text + " And some behind it.")] == names
+
+
+def test_every_template_is_itself():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.ScanSettings())
+    for name, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            assert [(x[0], x[2]) for x in scanner.scan(t)] == [(name, 1.0)], t
+
+
+def full_alignment(template, words, gap=-1, other=-1):
+    """Best score of local alignment over the whole matrix."""
+    above, best = [0] * (len(words) + 1), 0
+    for t in template:
+        row = [0]
+        for j, w in enumerate(words):
+            row.append(max(0, above[j] + (1 if t == w else other), above[j + 1] + gap, row[-1] + gap))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_banded_alignment_is_the_full_one():
+    """Worn notices between foreign words: the band finds the best alignment of the whole matrix."""
+    rng, settings = random.Random(4), license_scan.ScanSettings()
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, settings)
+    for k, (name, template) in enumerate(scanner.templates * 3):
+        worn = list(template)
+        for _ in range(len(worn) // 12):
+            at = rng.randrange(len(worn))
+            worn[at : at + 1] = rng.choice([[], [b"other"], [worn[at], b"more"]])
+        before = [b"x%d" % rng.randrange(50) for _ in range(rng.randrange(40))]
+        words = before + worn + [b"y%d" % rng.randrange(50) for _ in range(20)]
+        assert scanner.align(template, words, len(before), scanner.band_of(template))[0] == full_alignment(template, words), name
+
+
 def test_winnowing_guarantee():
     words = [b"w%d" % (i * i % 37) for i in range(80)]
     kept = sorted(license_scan.winnowed(words))

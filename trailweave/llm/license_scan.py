@@ -4,6 +4,9 @@ The templates' word trigrams are winnowed (of each WINDOW neighbouring hashes th
 inverted index, which is small and fixed and travels with the code. A text's trigrams are looked up; each
 template that is hit is aligned with the text around the hit's diagonal within a band, and the share of the
 template's words that match, with the span in the text, is the report.
+
+Licences of one family differ in a word or a number, so the words that tell them apart (KEY_WORDS, and numbers
+where a template has some) must be the same in the span as in the template, whatever the coverage.
 """
 
 from __future__ import annotations
@@ -15,6 +18,39 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+GPL_TAIL = (
+    " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+    " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+    " following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
+    " the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+BSD_THIRD = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived"
+    " from this software without specific prior written permission."
+)
+
+
+def gnu(name: str, version: str) -> list[str]:
+    """The short line and the notice of a licence of the GNU family."""
+    return [
+        f"This work is licensed under the GNU {name}, version {version}.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
+        f" {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any"
+        f" later version. This program{GPL_TAIL}",
+    ]
+
+
+def commons(short: str, long: str, version: str) -> list[str]:
+    return [
+        f"Licensed under {short} {version}.",
+        f"This work is licensed under a Creative Commons {long} {version} International License.",
+    ]
+
+
 #: Public licence notices, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": [
@@ -33,25 +69,19 @@ TEMPLATES = {
         " Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice"
         " shall be included in all copies or substantial portions of the Software.",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
-        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This"
-        " program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
-        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "BSD-2-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
-        " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
-        " following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
-        " the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ],
+    "GPL-2.0": gnu("General Public License", "2"),
+    "GPL-3.0": gnu("General Public License", "3"),
+    "LGPL-2.1": gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0": gnu("Lesser General Public License", "3"),
+    "AGPL-3.0": gnu("Affero General Public License", "3"),
+    "CC-BY-4.0": commons("CC BY", "Attribution", "4.0"),
+    "CC-BY-SA-4.0": commons("CC BY-SA", "Attribution-ShareAlike", "4.0"),
+    "CC-BY-ND-4.0": commons("CC BY-ND", "Attribution-NoDerivatives", "4.0"),
+    "CC-BY-NC-4.0": commons("CC BY-NC", "Attribution-NonCommercial", "4.0"),
+    "CC-BY-NC-SA-4.0": commons("CC BY-NC-SA", "Attribution-NonCommercial-ShareAlike", "4.0"),
+    "CC-BY-NC-ND-4.0": commons("CC BY-NC-ND", "Attribution-NonCommercial-NoDerivatives", "4.0"),
+    "BSD-2-Clause": [BSD_START],
+    "BSD-3-Clause": [BSD_START + BSD_THIRD],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
         " provided that the above copyright notice and this permission notice appear in all copies.",
@@ -61,6 +91,10 @@ TEMPLATES = {
         " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
 }
+#: Words that tell licences apart; a span must have those of its template and no others of them.
+KEY_WORDS = frozenset(
+    b"affero apache attribution by bsd commons gnu isc lesser library mit mozilla nc nd noderivatives noncommercial sa sharealike".split()
+)
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 GRAM = 3
@@ -69,8 +103,13 @@ WINDOW = 2
 
 @dataclass(frozen=True)
 class ScanSettings:
+    """``least_coverage`` holds for templates of fewer than ``long_words`` words, ``long_coverage`` for others, which
+    are reported with their lower coverage where a notice is cut or partly rewritten."""
+
     band: int = 8
     least_coverage: float = 0.8
+    long_words: int = 20
+    long_coverage: float = 0.5
     gap: int = -1
     other: int = -1
 
@@ -79,6 +118,10 @@ def words_of(text: str) -> list[bytes]:
     return WORD.findall(text.encode().lower())
 
 
+def telling(words: list[bytes], numbers: bool) -> set[bytes]:
+    return {w for w in words if w in KEY_WORDS or (numbers and w.isdigit())}
+
+
 def winnowed(words: list[bytes]) -> dict[int, tuple[bytes, ...]]:
     """Places and trigrams that stay: in each window the least hash, the rightmost of equals."""
     grams = list(zip(*(words[i:] for i in range(GRAM))))
@@ -100,9 +143,13 @@ class Scanner:
                 self.index.setdefault(gram, []).append((k, at))
         self.keys = set(self.index)
 
-    def align(self, template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int, int, int, int]:
+    def band_of(self, template: list[bytes]) -> int:
+        """Short notices get a narrow band, so that each of several close to each other is found on its own."""
+        return min(self.settings.band, max(1, len(template) // 4))
+
+    def align(self, template: list[bytes], words: list[bytes], diagonal: int, band: int) -> tuple[int, int, int, int]:
         """Best local alignment within the band: score, matches, first word, word behind the last."""
-        band, gap, other = self.settings.band, self.settings.gap, self.settings.other
+        gap, other = self.settings.gap, self.settings.other
         width, none = 2 * band + 1, (0, 0, -1)
         above, best = [none] * (width + 1), (0, 0, 0, 0)
         for i, word in enumerate(template):
@@ -136,13 +183,15 @@ class Scanner:
         near: dict[tuple[int, int], int] = {}
         for i, gram in enumerate(zip(words, words[1:], words[2:])):
             for k, at in self.index.get(gram, ()):
-                near.setdefault((k, (i - at) // (self.settings.band + 1)), i - at)
-        found = []
+                near.setdefault((k, (i - at) // (self.band_of(self.templates[k][1]) + 1)), i - at)
+        found = set()
         for (k, _), diagonal in near.items():
             name, template = self.templates[k]
-            _, matches, start, end = self.align(template, words, diagonal)
-            if matches >= self.settings.least_coverage * len(template):
-                found.append((-matches, start, end, name, matches / len(template)))
+            _, matches, start, end = self.align(template, words, diagonal, self.band_of(template))
+            least = self.settings.least_coverage if len(template) < self.settings.long_words else self.settings.long_coverage
+            numbers = any(w.isdigit() for w in template)
+            if matches >= least * len(template) and telling(words[start:end], numbers) == telling(template, numbers):
+                found.add((-matches, start, end, name, matches / len(template)))
         if not found:
             return []
         places = [m.span() for m in WORD.finditer(data)]
@@ -159,8 +208,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, s
     """One row for each licence notice in each text: doc_id, license, matched_words, coverage, span_start,
     span_end (characters).
 
-    Null and blank texts have none. Rows are scanned alone: repeated rows give repeated reports, ids may be
-    null, texts of any length take linear time; an empty table gives an empty result; other columns are
+    Null and blank texts have none. Of overlapping notices the one with the most matched words is reported, of ties
+    the first in the text, then by name. Rows are scanned alone: repeated rows give repeated reports, ids may be null, texts of any length take linear time; an empty table gives an empty result; other columns are
     ignored.
     """
 
