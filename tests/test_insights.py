@@ -93,3 +93,27 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("person_id\nP\n")
     with pytest.raises(ValueError):
         readers.read_journeys(spark, str(tmp_path / "bad.csv"))
+
+
+def test_an_answer_without_json_does_not_win():
+    metrics = {"traffic": {"peak_hour": 12, "peak_unique_visitors": 40}}
+    good = json.dumps({"insights": [{"id": 1, "categoria": "traffic", "titulo": "Peak", "observacao": "Hour 12 has 40 visitors.", "urgencia": "imediata", "confianca": 0.9}], "resumo_executivo": ["40 at 12."]})
+    out = insights.run(metrics, lambda system, text: good if "Example" in text else "No JSON but 777 and 888 visitors")
+    assert out["hallucination_report"]["numeric_precision_few_shot"] == 1.0 and len(out["insights"]) == 1
+    only = insights.run(metrics, lambda system, text: "No JSON but 777 and 12 visitors", "zero_shot")
+    assert only["insights"] == [] and only["hallucination_report"]["raw_precision_zero_shot"] == 0.5
+
+
+def test_json_is_found_in_chatter():
+    doc = {"insights": [], "resumo_executivo": ["a {b}"]}
+    for text in ("x {not json} " + json.dumps(doc) + " and {more}", "```json\n" + json.dumps(doc) + "\n```", "Sure!\n" + json.dumps(doc, indent=1)):
+        assert insights.parse(text)["resumo_executivo"] == ["a {b}", "", ""]
+    assert insights.parse("nothing {here")["insights"] == []
+
+
+def test_precision_of_a_document():
+    of = lambda **x: documents.insights_precision({"hallucination_report": x})
+    assert documents.insights_precision(None)["numeric_precision_pct"] == 0.0
+    assert of()["numeric_precision_pct"] == 100.0
+    assert of(numeric_precision_few_shot=0.5, numeric_precision_zero_shot=0.9, unverified_numbers_few_shot=[1.0])["numeric_precision_pct"] == 50.0
+    assert of(numeric_precision_zero_shot=0.9)["strategy_used"] == "zero-shot"

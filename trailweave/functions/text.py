@@ -8,9 +8,18 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as a number when claims are checked, and when they are scrubbed.
+#: What counts as a number when claims are checked, and when they are scrubbed; the white space and
+#: the marks that are tidied after a number is gone; words of a category and the section it is checked against.
 NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+(?:\.\d+)?\b"
 TOKEN = r"\d+(?:[.,]\d+)?"
+SPACES = r"[ \t\n\r\f\x0B]"
+TIDIED_MARKS = "([.,;:%])"
+SECTION_WORDS = (
+    ("traffic", ("tráfego", "traffic")),
+    ("funnel", ("conversão", "conversion", "funil")),
+    ("dwell", ("permanência", "dwell", "zona")),
+    ("anomalies", ("anomalia", "anomaly")),
+)
 TOLERANCE = 0.10
 URGENCIES = ("imediata", "esta_semana", "proximo_mes")
 DEFAULT_URGENCY = "esta_semana"
@@ -35,8 +44,8 @@ def is_verified(number: float, values: Iterable[float]) -> bool:
 
 
 def tidy(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[ \t\n\r\f\x0B]{2,}", " ")
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+([.,;:%])", "$1"))
+    text = F.regexp_replace(text, SPACES + "{2,}", " ")
+    return F.trim(F.regexp_replace(text, SPACES + "+" + TIDIED_MARKS, "$1"))
 
 
 def strip_numbers(text: Column) -> Column:
@@ -51,8 +60,11 @@ def sanitize(text: str, values: list[float], whole_tokens: bool = False) -> str:
             return m[0]
         return m[0] if is_verified(float(m[0].replace(",", ".")), values) else ""
 
-    out = re.sub(r"\s{2,}", " ", re.sub(TOKEN, keep, text))
-    return re.sub(r"\s+([.,;:%])", r"\1", out).strip()
+    return tidied(re.sub(TOKEN, keep, text))
+
+
+def tidied(text: str) -> str:
+    return re.sub(r"\s+" + TIDIED_MARKS, r"\1", re.sub(r"\s{2,}", " ", text)).strip()
 
 
 def sanitize_column(text: Column, values: list[float], whole_tokens: bool = False) -> Column:
@@ -90,21 +102,13 @@ def confidence(raw: Column) -> Column:
 
 def context_section(category: Column) -> Column:
     """Which section of the metrics an insight is checked against."""
-    c = F.lower(category)
-
-    def has(*words: str) -> Column:
+    c, section = F.lower(category), F.lit("all")
+    for name, words in reversed(SECTION_WORDS):
         found = F.lit(False)
         for w in words:
             found = found | c.contains(w)
-        return found
-
-    return (
-        F.when(has("tráfego", "traffic"), "traffic")
-        .when(has("conversão", "conversion", "funil"), "funnel")
-        .when(has("permanência", "dwell", "zona"), "dwell")
-        .when(has("anomalia", "anomaly"), "anomalies")
-        .otherwise("all")
-    )
+        section = F.when(found, name).otherwise(section)
+    return section
 
 
 def escape_pipes(text: Column) -> Column:

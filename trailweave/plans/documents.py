@@ -60,13 +60,67 @@ def metrics_document(v: DataFrame, source: str = "journeys") -> dict:
         v.unpersist()
 
 
-def audit_document(visits: DataFrame, events: DataFrame, precision_pct: float = 100.0) -> dict:
+def insights_precision(doc: dict | None) -> dict:
+    """Numeric precision of an insights document: few-shot before zero-shot, 100 with neither, 0 without a document."""
+    if doc is None:
+        return {"numeric_precision_pct": 0.0}
+    found = doc.get("hallucination_report", {})
+    few, zero = (found.get(f"numeric_precision_{n}") for n in ("few_shot", "zero_shot"))
+    share = next((x for x in (few, zero) if x is not None), 1.0)
+    bad = found.get("unverified_numbers_few_shot") or found.get("unverified_numbers_zero_shot") or []
+    return {"numeric_precision_pct": round(float(share) * 100.0, 2), "strategy_used": "zero-shot" if few is None else "few-shot", "unverified_count": len(bad)}
+
+
+def audit_document(visits: DataFrame, events: DataFrame, insights: dict | None = None) -> dict:
+    told = insights_precision(insights)
     return {
-        "metrics": {"coverage": _rows(au.coverage(visits, events))[0], "completeness": _rows(au.completeness(visits))[0], "consistency": _rows(au.consistency(visits))[0]},
-        "summary": _rows(au.audit(visits, events, precision_pct))[0],
+        "metrics": {
+            "coverage": _rows(au.coverage(visits, events))[0],
+            "completeness": _rows(au.completeness(visits))[0],
+            "consistency": _rows(au.consistency(visits))[0],
+            "numeric_precision": told,
+        },
+        "summary": _rows(au.audit(visits, events, told["numeric_precision_pct"]))[0],
     }
 
 
+def stitch_summary(counters: dict[str, int], ratios: dict) -> str:
+    lines = ["Stitching", *[f"  {k:<24} {n:>12,}" for k, n in sorted(counters.items())]]
+    lines += [f"  {k:<24} {v:>12,.2f}" if isinstance(v, float) else f"  {k:<24} {v:>12,}" for k, v in ratios.items()]
+    return "\n".join(lines)
+
+
+def metrics_summary(doc: dict) -> str:
+    t, f, d = doc["traffic"], doc["funnel"], doc["dwell"]
+    lines = [
+        "Metrics",
+        f"  visitors    {_n(t.get('total_unique_visitors'))} in {_n(t.get('total_visits'))} visits",
+        f"  peak hour   {_n(t.get('peak_hour'), '{:02d}:00')} with {_n(t.get('peak_unique_visitors'))}; quiet {_n(t.get('quiet_hour'), '{:02d}:00')} with {_n(t.get('quiet_unique_visitors'))}",
+        f"  conversion  {_n(f.get('conversion_rate'), '{:.2f} %')} ({_n(f.get('reached_checkout'))} of {_n(f.get('unique_visitors'))})",
+        *[f"    {g:<9} {_n(x.get('conversion_rate'), '{:.2f} %')}" for g, x in sorted(f.get("gender_breakdown", {}).items())],
+        f"  mean stay   {_n(d['overall'].get('mean_s'), '{:.1f} s')}; top zone {_n(d.get('top_zone'), '{}')} with {_n(d.get('top_zone_visits'))} visits",
+        f"  anomalies   {doc['anomalies']['n_anomalies']}",
+        *[f"    {a.get('type')} {a.get('subtype')}: {a.get('subject')} ({_n(a.get('value'), '{:,.1f}')})" for a in doc["anomalies"]["anomaly_list"]],
+    ]
+    return "\n".join(lines)
+
+
+def audit_summary(doc: dict) -> str:
+    s = doc["summary"]
+    names = ("coverage", "completeness", "consistency", "numeric_precision")
+    lines = [f"  {n:<18} {s[f'{n}_pct']:>7.2f} %  {'met' if s[f'{n}_met'] else 'missed'}" for n in names]
+    return "\n".join(["Audit", *lines, f"  all targets        {'met' if s['all_targets_met'] else 'missed'}"])
+
+
+def insights_summary(doc: dict) -> str:
+    lines = ["Insights"]
+    for i in doc["insights"]:
+        lines.append(f"  {BADGES.get(i.get('urgencia'), '⚪')} {i.get('titulo', '')} [{i.get('categoria', '')}, {_n(i.get('confianca'), '{:.0%}')}]")
+    lines += [f"  - {b}" for b in doc["resumo_executivo"] if b]
+    lines += [f"  {k}: {v if not isinstance(v, list) else len(v)}" for k, v in doc["hallucination_report"].items()]
+    return "\n".join(lines)
+
+
 def write_json(doc: dict, path: str) -> None:
     Path(path).write_text(json.dumps(doc, ensure_ascii=False, indent=2), encoding="utf-8")
 
@@ -101,7 +155,7 @@ def report(metrics: dict | None, insights: dict, audit: dict | None = None) -> s
         "",
     ]
     for k, (name, words) in enumerate(SECTIONS, 3):
-        own = [i for i in items if str(i.get("categoria", "")).lower() in words]
+        own = [i for i in items if str(i.get("categoria", "")).lower() in words]  # as checks.section_items
         own = own or [i for i in items if any(w in str(i.get("categoria", "") + " " + i.get("titulo", "")).lower() for w in words)]
         lines += [f"## {k}. {name}", ""]
         for i in own:
