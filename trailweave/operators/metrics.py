@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.scalar import is_interior, percent, round_even
@@ -51,21 +51,41 @@ def valid_dwell(v: DataFrame) -> DataFrame:
     return v.where("dwell_s > 0")
 
 
-def _dwell() -> list[Column]:
-    q = F.percentile("dwell_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))
-    return [
-        F.count("*").alias("count"),
-        round_even(F.avg("dwell_s"), 2).alias("mean_s"),
-        *[round_even(q[i], 2).alias(n) for i, n in enumerate(("p25_s", "p50_s", "p90_s"))],
-    ]
+QUANTILES = (("p25_s", 0.25), ("p50_s", 0.5), ("p90_s", 0.9))
+
+
+def _quantiles(good: DataFrame, by: str) -> DataFrame:
+    """Exact interpolated quantiles of dwell_s for each value of ``by``. No task holds a zone's stays: whole seconds
+    are counted first (at most as many rows as the longest stay has seconds), then the values inside the few
+    seconds that hold a wanted rank."""
+    good = good.select(by, "dwell_s", F.floor("dwell_s").alias("second"))
+    n = good.groupBy(by, "second").agg(F.count("*").alias("n"))
+    zone = Window.partitionBy(by)
+    n = n.withColumn("upto", F.sum("n").over(zone.orderBy("second"))).withColumn("total", F.sum("n").over(zone)).withColumn("before", F.col("upto") - F.col("n"))
+    ranks = []
+    for name, q in QUANTILES:
+        at = (F.col("total") - 1) * F.lit(q)
+        low, high = F.floor(at), F.ceil(at)
+        ranks.append(F.struct(F.lit(name).alias("name"), low.alias("rank"), F.when(low == high, 1.0).otherwise(high - at).alias("share")))
+        ranks.append(F.struct(F.lit(name).alias("name"), high.alias("rank"), (at - low).alias("share")))
+    wanted = n.select(by, "second", "before", "upto", F.explode(F.array(*ranks)).alias("r")).where("r.rank >= before and r.rank < upto")
+    wanted = wanted.select(by, "second", "r.name", (F.col("r.rank") - F.col("before")).alias("rank"), "r.share")  # six rows a zone
+    values = good.join(F.broadcast(wanted.select(by, "second").distinct()), [by, "second"]).groupBy(by, "second", "dwell_s").agg(F.count("*").alias("n"))
+    values = values.withColumn("upto", F.sum("n").over(Window.partitionBy(by, "second").orderBy("dwell_s")))
+    found = values.join(F.broadcast(wanted), [by, "second"]).where("rank >= upto - n and rank < upto")
+    return found.groupBy(by).agg(*[round_even(F.sum(F.when(F.col("name") == name, F.col("share") * F.col("dwell_s"))), 2).alias(name) for name, _ in QUANTILES])
 
 
 def dwell_by_zone(v: DataFrame) -> DataFrame:
-    return valid_dwell(v).where("zone_id is not null").groupBy("zone_id").agg(*_dwell())
+    good = valid_dwell(v).where("zone_id is not null")
+    means = good.groupBy("zone_id").agg(F.count("*").alias("count"), round_even(F.avg("dwell_s"), 2).alias("mean_s"))
+    return means.join(_quantiles(good, "zone_id"), "zone_id")
 
 
 def dwell_overall(v: DataFrame) -> DataFrame:
-    return valid_dwell(v).agg(*_dwell()).drop("count")
+    good = valid_dwell(v).withColumn("all", F.lit(0))
+    mean = good.agg(round_even(F.avg("dwell_s"), 2).alias("mean_s"), F.lit(0).alias("all"))
+    return mean.join(F.broadcast(_quantiles(good, "all")), "all", "left").drop("all")  # one row
 
 
 def top_zones(v: DataFrame, n: int = 10) -> DataFrame:
