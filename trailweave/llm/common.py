@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session has written, on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage through the shared folder.
 
