@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import exact_dedup, packing, quality, simhash_similar, toxicity
-from trailweave.llm.common import shared_folder, table
+from trailweave.llm.common import remove, shared_folder, table
 from trailweave.llm.queries import vocabulary
 
 
@@ -60,11 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents. Each result is written to the shared folder and read again, so an
-    executor's loss costs no finished stage."""
+    executor's loss costs no finished stage; a result goes when the next one is there."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
