@@ -77,7 +77,7 @@ def resident(key: tuple, build: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task: one object at a time, whichever operator needs it, since
     workers outlive stages and their memories would add up."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        free_memory()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 

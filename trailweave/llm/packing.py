@@ -47,7 +47,8 @@ class WordIds:
     once while it is remembered, many at a time. A text with a special token's name goes to the tokenizer whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, most_words: int = MOST_WORDS):
+        self.most_words = most_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -110,7 +111,7 @@ class WordIds:
                 size += len(texts[at])
                 at += 1
             new = set().union(*group).difference(self.known)
-            if new and len(self.known) + 2 * len(new) > MOST_WORDS:
+            if new and len(self.known) + 2 * len(new) > self.most_words:
                 self.known.clear()
                 new = set().union(*group)
             long = {w for w in new if len(w) > LONGEST_KEPT}
@@ -131,8 +132,8 @@ def stays_a_letter(c: str) -> bool:
     return len(normal) == 1 and c.isalpha() and normal.isalpha()
 
 
-def word_ids(definition: bytes) -> WordIds:
-    return resident(("word ids", hashlib.sha256(definition).hexdigest()), lambda: WordIds(definition.decode()))
+def word_ids(definition: bytes, most_words: int) -> WordIds:
+    return resident(("word ids", hashlib.sha256(definition).hexdigest(), most_words), lambda: WordIds(definition.decode(), most_words))
 
 
 class BestFit:
@@ -178,9 +179,10 @@ class BestFit:
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN, end_id: int = END_ID, most_words: int = MOST_WORDS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    ``most_words``: how many words a worker remembers with their ids, some 250 bytes each; fewer cost time only.
     ``path``: a tokenizer definition, which the driver reads and broadcasts (under 2 MB, fixed). A document
     is its ids and then ``end_id``; one longer than the window gives whole windows and a remainder, others
     stay in one piece. Null text counts as empty: the end id alone. Null or repeated ids are documents of
@@ -192,7 +194,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
     tail = array("I", [end_id]).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = word_ids(shared.value), TaskContext.get().partitionId()
+        ids_of, part = word_ids(shared.value, most_words), TaskContext.get().partitionId()
         fit, rows, kind = BestFit(window, most_open), [], None
 
         def told(held: tuple[int, list], is_open: bool) -> None:
