@@ -19,6 +19,10 @@ from trailweave.llm.common import remove, shared_folder, table
 from trailweave.llm.queries import vocabulary
 
 
+#: Packing comes last, in workers beside executors that have held all stages before it, so it remembers less.
+PACKING_WORDS = 200_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score under 0.5; a text without words has the score of the bias alone."""
     return toxicity.kept_rows(docs, table(spark, sf_dir, "labels"))
@@ -43,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows; a text without tokens is its end id alone."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), most_words=PACKING_WORDS)
 
 
 STAGES = [
