@@ -72,6 +72,67 @@ def test_visit_cap():
     assert n_visits(*events) == [10, 50]
 
 
+def slow_pass1(rows, zones):
+    """Pass 1 by its rules, written anew over plain lists: every detection looks at every trajectory there is."""
+    near = {frozenset((a, b)) for a, b, _ in zones.edges}
+    known = {z for a, b, _ in zones.edges for z in (a, b)}
+    people, lost = [], []
+    for at, event, zone, kind, duration, gender, age in sorted(rows, key=lambda r: (r[0], int(r[1]))):
+        if kind not in ("entry", "linger", "exit") or zone not in known:
+            lost.append((event, "kind" if kind not in ("entry", "linger", "exit") else "zone"))
+            continue
+        best = None
+        for p in people:
+            inside = p["out"] is False
+            limit = (180 if inside else 45) * SECOND
+            gap, step = at - p["seen"], abs(p["age"] - age)
+            if gender is None or p["gender"] != gender or step > 1 or gap > limit or (kind != "entry" and not (inside and p["visits"][-1][0] == zone)):
+                continue
+            place = 0.5 if not inside else float(p["visits"][-1][0] == zone or frozenset((p["visits"][-1][0], zone)) in near)
+            score = 0.40 * (1 - gap / limit) + 0.38 * place + 0.22 * (0.5 + 0.5 * (1 - step / 2))
+            if best is None or (score, p["seen"]) > best[0] or ((score, p["seen"]) == best[0] and p["id"] < best[1]["id"]):
+                best = (score, p["seen"]), p
+        if kind != "entry":
+            if best is None:
+                lost.append((event, kind))
+                continue
+            p = best[1]
+            p["seen"] = at
+            if kind == "linger":
+                p["visits"][-1][3] = max(p["visits"][-1][3], duration or 0)
+            else:
+                p["visits"][-1][2], p["out"] = at, True
+            continue
+        floor = 0.98 if zone in ("Z_E1", "Z_E2") else 0.50
+        if best is not None and best[0][0] >= floor and len(best[1]["visits"]) < 50:
+            p = best[1]
+            if not p["out"]:
+                p["visits"][-1][2] = at - 1
+        else:
+            p = {"id": f"P_{event}", "gender": gender, "visits": []}
+            people.append(p)
+        p["visits"].append([zone, at, None, 0])
+        p.update(age=age, seen=at, out=False)
+    return {(p["id"], p["gender"], p["age"], p["seen"], tuple(map(tuple, p["visits"]))) for p in people}, set(lost)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pass1_is_its_rules(spark, seed):
+    rng, rows = random.Random(seed), []
+    for i in range(600):
+        zone = rng.choice(["Z_E1", "Z_N1", "Z_S1", "Z_C1", "Z_CK", "Z_E2"] + ["Z_X"] * (i % 50 == 0))
+        kind = rng.choice(["entry", "entry", "linger", "exit"] + ["blink"] * (i % 60 == 0))
+        rows.append((rng.randrange(0, 9000, 3) * SECOND, str(i), zone, kind, rng.choice([None, 5, 40]), rng.choice(["F", "M", "M", None]), rng.randrange(6)))
+    want, lost = slow_pass1(rows, DEMO_ZONES)
+    d = spark.createDataFrame([(int(e), t, z, k, n, g, a, "adult") for t, e, z, k, n, g, a in rows], "event_id long, ts_ns long, zone_id string, kind string, duration_s long, gender string, age_code int, age_range string")
+    found, missed, counters = stitch.parts(stitch.tagged(d, DEMO_ZONES))
+    got = {(r.id, r.gender, r.age_code, r.end_ns, tuple((v.zone, v.entry_ns, v.exit_ns, v.dwell_s) for v in r.visits)) for r in found.collect()}
+    assert got == want and max(len(p[4]) for p in want) > 3
+    assert {(r.event_id, r.why) for r in missed.collect()} == lost
+    n = {r.counter: r.n for r in counters.collect()}
+    assert n["born_at_entrance"] + n["born_inside"] == len(want) and sum(v for k, v in n.items() if k.startswith("born_in_")) == len(want)
+
+
 def frags(spark, *rows):
     names = "frag_id long, start_us long, end_us long, birth_zone string, last_zone string, n_visits long, gender string, age_code int, born_at_entrance boolean, is_complete boolean"
     return spark.createDataFrame([(i, s * 10**6, e * 10**6, b, l, n, g, a, b.startswith("Z_E"), False) for i, s, e, b, l, n, g, a in rows], names)

@@ -35,7 +35,7 @@ def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchC
             for event, at, zone, kind, duration, gender, age, label in pdf[DETECTION].itertuples(index=False, name=None):
                 if not pd.isna(event):
                     waiting.append((int(at), str(int(event)), zone, kind, None if pd.isna(duration) else int(duration), None if pd.isna(gender) else gender, int(age), label))
-        waiting.sort(key=lambda x: x[:2])
+        waiting.sort(key=lambda x: (x[0], int(x[1])))  # as the batch form orders them
         out, ready = [], [x for x in waiting if x[0] <= mark]
         waiting = waiting[len(ready) :]
         for at, event, *rest in ready:
