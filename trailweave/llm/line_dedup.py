@@ -31,6 +31,8 @@ WINDOW = 2
 #: Three of four places are cuts: short chunks, so that a passage of few lines holds one whole.
 CUTS, OF = 3, 4
 BASE = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
+OLDEST = pow(BASE, WINDOW - 1, 1 << 64)
 MOST_LINES = 64
 GROW = 8
 #: Lines with words that a removed run has at least.
@@ -46,11 +48,10 @@ def line_hashes(lines: list[str]) -> list[int]:
 
 def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
     """(first line, line behind the last) of each chunk."""
-    h, start = line_hashes(lines), 0
-    for i in range(len(lines)):
-        rolled = 0
-        for x in h[max(0, i - WINDOW + 1) : i + 1]:
-            rolled = (rolled * BASE + x) & (1 << 64) - 1
+    start, rolled, gone = 0, 0, [0] * WINDOW
+    for i, x in enumerate(line_hashes(lines)):
+        rolled = ((rolled - gone[i % WINDOW] * OLDEST) * BASE + x) & MASK
+        gone[i % WINDOW] = x
         if (rolled >> 32) % OF < CUTS or i - start + 1 >= MOST_LINES:
             yield start, i + 1
             start = i + 1
@@ -63,7 +64,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     lines = text.split("\n")
     for start, end in chunks(lines):
         body = "\n".join(lines[start:end])
-        if body.encode().split():
+        if body.encode().strip():  # ASCII white space, as everywhere
             yield start, end, body
 
 
