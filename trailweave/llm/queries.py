@@ -9,6 +9,7 @@ from trailweave.llm.license_scan import license_scan
 from trailweave.llm.line_dedup import line_dedup
 from trailweave.llm.packing import pack
 from trailweave.llm.quality import quality_rules
+from trailweave.llm.runs import periodic_runs, planted, run_digest
 from trailweave.llm.sharding import shard_rows
 from trailweave.llm.simhash import simhash_dedup
 from trailweave.llm.toxicity import toxicity
@@ -64,7 +65,11 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op9_line_dedup, op10_byte_bpe)}
+def op12_periodic_runs(spark, sf_dir):
+    return run_digest(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op9_line_dedup, op10_byte_bpe, op12_periodic_runs)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
