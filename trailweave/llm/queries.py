@@ -8,6 +8,7 @@ from trailweave.llm.divergence import source_divergence
 from trailweave.llm.exact_dedup import exact_dedup
 from trailweave.llm.license_scan import license_scan
 from trailweave.llm.line_dedup import line_dedup
+from trailweave.llm.minhash import minhash_dedup
 from trailweave.llm.packing import pack
 from trailweave.llm.quality import quality_rules
 from trailweave.llm.runs import periodic_runs, planted, run_digest
@@ -66,6 +67,10 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_minhash(spark, sf_dir):
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return run_digest(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
@@ -74,7 +79,7 @@ def op13_source_divergence(spark, sf_dir):
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op9_line_dedup, op10_byte_bpe, op12_periodic_runs, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_simhash, op4_url_filter, op5_quality_rules, op6_packing, op7_sharding, op8_toxicity, op9_line_dedup, op10_byte_bpe, op11_minhash, op12_periodic_runs, op13_source_divergence)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

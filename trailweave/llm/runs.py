@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import free_memory
-from trailweave.llm.simhash_similar import parts
+from trailweave.llm.shingles import parts
 
 #: Grid places are kept for texts up to so many words; longer ones are walked period by period.
 GRID_WORDS = 1 << 16
