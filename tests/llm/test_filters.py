@@ -7,6 +7,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.llm import license_scan, quality, toxicity, url_filter
 
@@ -298,3 +299,46 @@ def test_url_scores_match_brute_force(spark):
     mixed = [(i, u) for i, u in rows if i < 900] + two
     by_query = {r.page_id: r.score for r in url_filter.url_filter(pages(spark, [(10 + i, u) for i, u in mixed[:-2]] + two)).collect()}
     assert by_query[1] != by_query[2]
+
+
+def test_long_urls_take_linear_time(spark):
+    """A url of a million characters, whole."""
+    import time
+
+    from trailweave.llm import url_filter
+
+    url = "https://a.org/" + "ab/c" * 250_000
+    began = time.perf_counter()
+    n = url_filter.grams(spark.createDataFrame([(url,)], "plain string")).agg(F.count("*"), F.first("gram"), F.last("gram")).first()
+    assert n[0] == len(url) + 1 and n[1] == "^^^^^h" and n[2] == "/cab/c"[1:] + "$" and time.perf_counter() - began < 30
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    from trailweave.llm.license_scan import TEMPLATES, Scanner, ScanSettings
+
+    scanner, times = Scanner(TEMPLATES, ScanSettings()), []
+    for n in (2_000, 50_000):
+        began = time.perf_counter()
+        found = scanner.scan("É. Released under the MIT License.\n" * n)
+        times.append(time.perf_counter() - began)
+        assert len(found) == n and found[-1][3:] == (len("É. Released under the MIT License.\n") * (n - 1) + 3, len("É. Released under the MIT License.\n") * n - 2)
+    assert times[1] < 60 * times[0] + 1
+
+
+def test_whole_scan_finds_what_full_alignment_of_every_template_finds(make):
+    """Every template is put whole, cut and with changed words into prose; each is found once, where it stands."""
+    import random
+
+    from trailweave.llm.license_scan import TEMPLATES, license_scan, words_of
+
+    rng, rows, want = random.Random(7), [], {}
+    for k, (name, text) in enumerate((name, t) for name, texts in TEMPLATES.items() for t in texts):
+        before, after = (" ".join(rng.choice(["river", "stone", "lake", "bird"]) for _ in range(rng.randrange(30))) for _ in range(2))
+        rows.append((k, f"{before} {text}\n{after}"))
+        want[k] = (name, len(words_of(text)))
+    got = {}
+    for r in license_scan(make(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.matched_words))
+    assert {k: v for k, v in got.items()} == {k: [v] for k, v in want.items()}

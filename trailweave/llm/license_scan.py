@@ -12,8 +12,10 @@ where a template has some) must be the same in the span as in the template, what
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -74,6 +76,8 @@ TEMPLATES = {
     "LGPL-2.1": gnu("Lesser General Public License", "2.1"),
     "LGPL-3.0": gnu("Lesser General Public License", "3"),
     "AGPL-3.0": gnu("Affero General Public License", "3"),
+    **{f"CC-BY-{v}": commons("CC BY", "Attribution", v) for v in ("2.0", "2.5", "3.0")},
+    **{f"CC-BY-SA-{v}": commons("CC BY-SA", "Attribution-ShareAlike", v) for v in ("2.0", "2.5", "3.0")},
     "CC-BY-4.0": commons("CC BY", "Attribution", "4.0"),
     "CC-BY-SA-4.0": commons("CC BY-SA", "Attribution-ShareAlike", "4.0"),
     "CC-BY-ND-4.0": commons("CC BY-ND", "Attribution-NoDerivatives", "4.0"),
@@ -86,6 +90,31 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
         " provided that the above copyright notice and this permission notice appear in all copies.",
     ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,"
+        " sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or"
+        " non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software"
+        " to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any"
+        " damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying"
+        ' documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the'
+        " Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is"
+        " available at https://www.eclipse.org/legal/epl-2.0",
+    ],
+    "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
         " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -93,7 +122,7 @@ TEMPLATES = {
 }
 #: Words that tell licences apart; a span must have those of its template and no others of them.
 KEY_WORDS = frozenset(
-    b"affero apache attribution by bsd commons gnu isc lesser library mit mozilla nc nd noderivatives noncommercial sa sharealike".split()
+    b"affero apache attribution boost by bsd commons eclipse gnu isc lesser library mit mozilla nc nd noderivatives noncommercial sa sharealike".split()
 )
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -195,11 +224,13 @@ class Scanner:
         if not found:
             return []
         places = [m.span() for m in WORD.finditer(data)]
-        out, taken = [], []
+        before = np.r_[0, np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)]  # characters before each byte
+        out, taken = [], []  # spans by their start; they never overlap
         for minus, start, end, name, coverage in sorted(found):
-            if all(end <= s or start >= e for s, e in taken):
-                taken.append((start, end))
-                chars = [len(data[:at].decode(errors="replace")) for at in (places[start][0], places[end - 1][1])]
+            k = bisect_left(taken, (start,))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                insort(taken, (start, end))
+                chars = (int(before[places[start][0]]), int(before[places[end - 1][1]]))
                 out.append((name, -minus, round(coverage, 4), *chars))
         return sorted(out, key=lambda x: x[3])
 
