@@ -25,8 +25,9 @@ from trailweave.llm.common import free_memory, settle
 from trailweave.llm.components import components
 from trailweave.llm.shingles import bitmap, lists, parts
 
-#: How many of the nearest each member names in the first round, and how many times more in each later one.
-NEAREST, GROWTH = 4, 16
+#: How many of the nearest each member names in the first round, and how many times more in each later one: in the
+#: second, all of a block.
+NEAREST, GROWTH = 4, 1024
 #: Members of a block.
 BLOCK = 2048
 
