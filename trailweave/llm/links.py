@@ -177,5 +177,5 @@ def groups(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) ->
         if not new.isEmpty():
             links = settle(links.unionByName(new))
             labels = components(links)
-        rows = named.select("tok", "t").join(found.where("a is null").select("tok").distinct(), "tok", "left_semi")
+        rows = settle(named.select("tok", "t").join(found.where("a is null").select("tok").distinct(), "tok", "left_semi"))
         nearest *= GROWTH
