@@ -177,6 +177,100 @@ def test_nearest_edges_are_the_mutual_best_pairs(spark, stage):
     assert plain == {tuple(r)[:3] for r in heal.mutual_best(heal.candidates(f, stage)).collect()}
 
 
+ZONES = ["Z_E1", "Z_N1", "Z_S1", "Z_C1", "Z_CK", "Z_E2"]
+
+
+def crowd(seed, n=400, span=20_000):
+    """Random fragments: (id, start, end, first zone, last zone, visits, gender, age), times in seconds."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        start = rng.randrange(0, span, 5)
+        rows.append((i, start, start + rng.randrange(0, 600, 5), rng.choice(ZONES), rng.choice(ZONES), rng.randrange(1, 4), rng.choice("FM"), rng.randrange(6)))
+    return rows
+
+
+def in_sequence(rows, stage, near):
+    """One stage as the published method does it: heads one after another, merged as they choose."""
+    exits, checkouts = ("Z_E1", "Z_E2", "Z_CK"), ("Z_C1", "Z_C2", "Z_C3", "Z_CK")
+    window = {"A": 600, "B": 240, "C": 600, "D": 7200, "E": 7200}[stage]
+    people = [dict(zip(("id", "start", "end", "birth", "last", "n", "gender", "age", "complete"), (*r[:8], len(r) > 8 and r[8]))) for r in rows]
+    people.sort(key=lambda p: (p["start"], p["id"]))
+
+    def orphan(p):
+        return p["birth"] in ("Z_E1", "Z_E2") and not p["complete"] and p["last"] not in exits
+
+    heads = [p for p in people if p["last"] not in exits and (stage in "AB" or orphan(p) or (stage == "E" and p["n"] >= 2))]
+    if stage in "CD":
+        heads.sort(key=lambda p: (p["end"], p["id"]))
+    tails = [p for p in people if stage != "C" or (p["last"] in checkouts and not p["complete"] and not orphan(p))]
+    gone, edges = set(), set()
+    for a in heads:
+        if a["id"] in gone:
+            continue
+        best, most = None, -1.0
+        for b in tails:
+            gap = b["start"] - a["end"]
+            step = abs(a["age"] - b["age"])
+            if b["id"] in gone or b is a or b["gender"] != a["gender"] or not 0 < gap <= window or (gap == window and stage != "B"):
+                continue
+            close = (a["last"], b["birth"]) in near
+            if stage in "ABC" and (step > 1 or not (close or a["last"] == b["birth"])) or stage == "E" and a["last"] != b["birth"]:
+                continue
+            person = 0.5 + 0.5 * max(0.0, 1 - step / 2)
+            time = 1.0 - gap / window
+            score = {"A": (2.0 if a["last"] == b["birth"] else 1.0) + 0.5 * time + 0.3 * person, "C": 0.6 * person + 0.4 * time, "D": 0.5 * person + 0.5 * time}.get(stage, time)
+            if score > most:
+                best, most = b, score
+        if best is not None:
+            gone.add(best["id"])
+            edges.add((a["id"], best["id"]))
+    return edges
+
+
+@pytest.mark.parametrize("stage, seed", [(s, k) for s in "ABCDE" for k in (1, 2)])
+def test_reference_order_is_the_sequence(spark, stage, seed):
+    rows = crowd(seed, 400 if seed == 1 else 250, 20_000 if seed == 1 else 4_000)
+    near = {(a, b) for x, y, _ in DEMO_ZONES.edges for a, b in ((x, y), (y, x))}
+    want = in_sequence(rows, stage, near)
+    f, edges = frags(spark, *rows), readers.zone_edges(spark, DEMO_ZONES)
+    got = {tuple(r)[:2] for r in heal.greedy_edges(f, stage, edges).collect()}
+    assert got == want and len(want) > 5
+    mutual = {tuple(r)[:2] for r in heal.nearest_edges(f, stage, edges).collect()}
+    assert mutual != want or stage == "C"
+
+
+def healed_in_sequence(rows, near, passes=15):
+    people = [list(r[:8]) + [False] for r in rows]
+    for _ in range(passes):
+        merged = 0
+        for stage in "ABCDE":
+            edges = dict(in_sequence(people, stage, near))
+            by, inner = {p[0]: p for p in people}, set(edges.values())
+            people = []
+            for p in by.values():
+                if p[0] in inner:
+                    continue
+                q, at = list(p), p[0]
+                while at in edges:
+                    at = edges[at]
+                    q[2], q[4], q[5] = by[at][2], by[at][4], min(q[5] + by[at][5], 50)
+                q[8] = q[8] or (q[3] in ("Z_E1", "Z_E2") and q[4] in ("Z_E1", "Z_E2", "Z_CK"))
+                people.append(q)
+            merged += len(edges)
+        if not merged:
+            break
+    return {tuple(p[:6]) for p in people}
+
+
+def test_whole_healing_in_reference_order(spark):
+    rows = crowd(5, 120, 9_000)
+    near = {(a, b) for x, y, _ in DEMO_ZONES.edges for a, b in ((x, y), (y, x))}
+    f = frags(spark, *rows)
+    healed, merged = heal.heal(f, readers.zone_edges(spark, DEMO_ZONES), order="reference")
+    got = {(r.frag_id, r.start_us // 10**6, r.end_us // 10**6, r.birth_zone, r.last_zone, r.n_visits) for r in healed.collect()}
+    assert got == healed_in_sequence(rows, near) and sum(merged.values()) == len(rows) - len(got) > 20
+
+
 def test_merge_joins_visits(spark):
     visit = "struct<zone:string,entry_ns:bigint,exit_ns:bigint,dwell_s:bigint,age:string,ghost:boolean>"
     f = frags(spark, (1, 0, 10, "Z_E1", "Z_N1", 2, "F", 3), (2, 20, 30, "Z_S1", "Z_CK", 1, "F", 3), (3, 90, 95, "Z_N1", "Z_N1", 1, "F", 3))

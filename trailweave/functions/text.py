@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as a number when claims are checked, and when they are scrubbed; the white space and
@@ -67,14 +67,46 @@ def tidied(text: str) -> str:
     return re.sub(r"\s+" + TIDIED_MARKS, r"\1", re.sub(r"\s{2,}", " ", text)).strip()
 
 
-def sanitize_column(text: Column, values: list[float], whole_tokens: bool = False) -> Column:
-    """The scrubber needs a decision for each token, which no built-in replacement offers: Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: sanitize(t, values, whole_tokens) if t else t)
-
-    return run(text)
+def sanitize_column(text: Column, values: Iterable[float], whole_tokens: bool = False) -> Column:
+    """``sanitize`` as built-ins: the text is split at its number tokens, those that stay go back to their places.
+    Digits are ASCII digits."""
+    tokens, between = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
+
+    def piece(token: Column, i: Column) -> Column:
+        before = F.get(between, i)
+        keep = verified(F.replace(token, F.lit(","), F.lit(".")).cast("double"), list(values))
+        if whole_tokens:
+            keep = keep | before.rlike(r"[\p{L}\p{N}_]$")
+        return F.concat(before, F.when(keep, token).otherwise(""))
+
+    joined = F.concat(F.array_join(F.transform(tokens, piece), ""), F.get(between, F.size(tokens)))
+    return F.regexp_replace(tidy(joined), f"^{SPACES}+|{SPACES}+$", "")
+
+
+def first_object(text: Column) -> Column:
+    """The first JSON object in an answer that parses and is not empty, as JSON text, whatever stands around it: a
+    fence, chatter, braces that are none. Null if there is none."""
+    starts = F.regexp_extract_all(text, F.lit(r"(?s)(?=(\{.*))"), 1)
+    return F.get(F.filter(F.transform(starts, lambda x: F.get_json_object(x, "$")), lambda x: x.isNotNull() & (x != "{}")), 0)
+
+
+def flat_numbers(docs: DataFrame, document: str, depth: int = 64) -> DataFrame:
+    """One row (the other columns and ``number``) for each number in a JSON text, nested ones and those inside strings
+    included; truth values, nulls and keys are none. Text that is no JSON gives no rows. Each step opens one
+    level of all documents, so there are as many steps as the deepest has levels, at most ``depth``."""
+    keys = [c for c in docs.columns if c != document]
+    v, found = docs.select(*keys, F.try_parse_json(document).alias("_v")).where("_v is not null"), None
+    for _ in range(depth):
+        v = v.withColumn("_kind", F.schema_of_variant("_v"))
+        text = F.when(F.col("_kind") == "STRING", F.try_variant_get("_v", "$", "string"))
+        number = F.when(F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("_v", "$", "double"))
+        leaf = v.where(text.isNotNull() | number.isNotNull()).select(*keys, F.explode(F.coalesce(numbers(text), F.array(number))).alias("number"))
+        found = leaf if found is None else found.unionByName(leaf)
+        inner = v.where(F.col("_kind").rlike("^(OBJECT|ARRAY)")).select(*keys, "_v")
+        if inner.isEmpty():
+            return found
+        v = inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keys, F.col("value").alias("_v"))
+    raise ValueError(f"documents are nested deeper than {depth} levels")
 
 
 def bullets(text: Column, n: int = 3) -> Column:

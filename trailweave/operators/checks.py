@@ -56,6 +56,12 @@ def with_fallback(items: DataFrame, chosen: DataFrame, doc: str, least: float =
     return out.withColumn("text", text).withColumn("stripped", F.col("precision") < least)
 
 
+def of_section(items: DataFrame, doc: str, section: str, sections: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+    """The items that one section of a report shows, with all their columns."""
+    wanted = tuple(x for x in sections if x[0] == section)
+    return items.join(section_items(items, doc, wanted).select(doc, "item"), [doc, "item"], "left_semi")
+
+
 def section_items(items: DataFrame, doc: str, sections: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
     """Items of each report section: those whose category is one of its words or, if a document has none such,
     those whose category or title holds one. ``items``: doc, item, category, title. Adds ``section``."""

@@ -1,8 +1,9 @@
 """Healing of journey fragments: five stages of candidate search, mutual choice and merging.
 
-An edge stands if both sides choose each other, which makes the result independent of processing order and
-partitions; losers try again in the next pass. This replaces a sequential greedy choice, with which it agrees
-where no two heads want one tail.
+By default an edge stands if both sides choose each other; losers try again in the next pass. With
+``order="reference"`` heads choose one after another in the published order, each the best tail that is left, and
+a head that an earlier one has taken chooses no more; ``greedy_edges`` finds that sequential result in parallel
+rounds. Both are independent of partitions; they agree where no two heads want one tail.
 
 Within a class of pairs (zone relation and age step) the score falls with the gap, so the best partner of a
 class is the nearest one. ``nearest_edges`` finds it by as-of windows over (gender, zone, age, time bucket), in
@@ -136,13 +137,45 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return best_tail(pairs).join(best_head, ["head_id", "tail_id"]).select("head_id", "tail_id", "gap_us", "score")
 
 
+def greedy_edges(f: DataFrame, stage: str, edges: DataFrame | None = None, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """The edges of a sequential greedy choice: heads in turn (stages C and D by their end, the others by their start,
+    then by id) take their best tail (score, then the nearer, then the lesser id) that no earlier head has taken,
+    unless an earlier one has taken them.
+
+    Each round all heads choose at once, knowing the choices of the round before: a tail is gone if an earlier
+    head chose it, and a head is out if an earlier one chose it. Once all earlier heads have settled, so has a
+    head; so after round k at least the first k are as in the sequence, and choices that repeat are its result. In
+    practice conflicts are local in time and a few rounds do.
+    """
+    f = settle(f.select(*COLUMNS))
+    turn = F.struct(F.col("end_us" if stage in "CD" else "start_us").alias("at"), F.col("frag_id").alias("id"))
+    turns = f.select(F.col("frag_id").alias("head_id"), turn.alias("turn"))
+    pairs = settle(candidates(f, stage, edges, c).join(turns, "head_id"))
+    wish = F.struct((-F.col("score")).alias("s"), F.col("gap_us").alias("g"), F.col("tail_id").alias("t"))
+
+    def choose(free: DataFrame) -> tuple[DataFrame, tuple]:
+        best = F.min_by(F.struct("tail_id", "gap_us", "score", "turn"), wish)
+        out = settle(free.groupBy("head_id").agg(best.alias("x")).select("head_id", "x.*"))
+        return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("head_id", "tail_id"))).first())
+
+    chosen, state = choose(pairs)
+    while True:
+        first = chosen.groupBy("tail_id").agg(F.min("turn").alias("first"))
+        free = pairs.join(first, "tail_id", "left").where("first is null or first >= turn").drop("first")
+        out = first.select(F.col("tail_id").alias("head_id"), F.col("first").alias("taken"))
+        free = free.join(out, "head_id", "left").where("taken is null or taken > turn").drop("taken")
+        chosen, now = choose(free)
+        if now == state:
+            return chosen.drop("turn")
+        state = now
+
+
 def chains(edges: DataFrame) -> DataFrame:
-    """(node, root) of paths head -> tail, roots included, by pointer doubling."""
-    tails = edges.select(F.col("tail_id").alias("root"))
-    heads = edges.select(F.col("head_id").alias("node")).join(tails.withColumnRenamed("root", "node"), "node", "left_anti")
+    """(node, root) of paths head -> tail, roots included, by pointer doubling. ``edges`` are settled."""
+    tails = edges.select(F.col("tail_id").alias("root"), F.lit(1).alias("inner"))
+    heads = edges.select(F.col("head_id").alias("node")).join(tails.select(F.col("root").alias("node")), "node", "left_anti")
     up = edges.select(F.col("tail_id").alias("node"), F.col("head_id").alias("root")).unionByName(heads.select("node", F.col("node").alias("root")))
-    up = settle(up)
-    while not up.join(tails, "root", "left_semi").isEmpty():
+    while up.join(tails, "root").agg(F.count("*")).first()[0]:
         up = settle(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")))
     return up
 
@@ -158,16 +191,10 @@ def _closed(visits: Column) -> Column:
     return F.transform(visits, close)
 
 
-def merge(f: DataFrame, edges: DataFrame, c: StitchConfig = StitchConfig()) -> DataFrame:
-    """Fragments after merging along ``edges``. ``f`` may hold ``visits`` (array of struct with entry_us),
-    which are joined in order and cut at the cap, while end and last zone are the last part's."""
-    root = chains(edges)
-    has = "visits" in f.columns
-    marked = f.join(root, f["frag_id"] == root["node"], "left").withColumn("root", F.coalesce("root", "frag_id")).drop("node")
-    if has:  # a column of its own, since an aggregate's aliases hide the columns of their names
-        marked = marked.withColumn("part", F.struct("start_us", "frag_id", "visits"))
+def _merged(marked: DataFrame, c: StitchConfig, *more: Column) -> DataFrame:
+    """Fragments of one ``root`` as one, with further aggregates over its parts in order of their start."""
     order = F.struct("start_us", "frag_id")
-    out = [
+    merged = marked.groupBy(F.col("root").alias("frag_id")).agg(
         F.min("start_us").alias("start_us"),
         F.max_by("end_us", order).alias("end_us"),
         F.min_by("birth_zone", order).alias("birth_zone"),
@@ -177,34 +204,69 @@ def merge(f: DataFrame, edges: DataFrame, c: StitchConfig = StitchConfig()) -> D
         F.min_by("age_code", order).alias("age_code"),
         F.min_by("born_at_entrance", order).alias("born_at_entrance"),
         F.min_by("is_complete", order).alias("_was"),
-    ]
-    if has:
-        out.append(F.sort_array(F.collect_list("part")).alias("parts"))
-    merged = marked.groupBy(F.col("root").alias("frag_id")).agg(*out)
-    if has:
-        merged = merged.withColumn("visits", F.flatten(F.transform("parts", lambda x: x["visits"]))).drop("parts")
-        merged = merged.withColumn("visits", F.slice(_closed(F.col("visits")), 1, c.most_visits))
+        *more,
+    )
     done = F.col("_was") | completed(F.col("birth_zone"), F.col("last_zone"))  # stays once reached
     return merged.withColumn("is_complete", done).drop("_was")
 
 
-def heal(f: DataFrame, edges: DataFrame | None, c: StitchConfig = StitchConfig()) -> tuple[DataFrame, dict[str, int]]:
-    """Passes of stages A to E until nothing merges or the passes end; and the merges of each stage."""
-    f, merged = settle(f), dict.fromkeys("ABCDE", 0)
+def _marked(f: DataFrame, edges: DataFrame) -> DataFrame:
+    root = chains(edges)
+    return f.join(root, f["frag_id"] == root["node"], "left").withColumn("root", F.coalesce("root", "frag_id")).drop("node")
+
+
+def _parts(marked: DataFrame, c: StitchConfig, part: Column) -> tuple[DataFrame, Column]:
+    """Rows with ``part`` where it is among its root's first, and their list in order. No more parts than visits count,
+    so a chain of any length leaves a short list."""
+    order = Window.partitionBy("root").orderBy("start_us", "frag_id")
+    marked = marked.withColumn("nth", F.row_number().over(order))
+    marked = marked.withColumn("part", F.when(F.col("nth") <= c.most_visits, F.struct("nth", part.alias("x"))))
+    return marked, F.transform(F.sort_array(F.collect_list("part")), lambda p: p["x"])
+
+
+def merge(f: DataFrame, edges: DataFrame, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """Fragments after merging along ``edges``. ``f`` may hold ``visits`` (array of struct with entry_us),
+    which are joined in order and cut at the cap, while end and last zone are the last part's."""
+    marked = _marked(f, edges)
+    if "visits" not in f.columns:
+        return _merged(marked, c)
+    marked, listed = _parts(marked, c, F.col("visits"))
+    return _merged(marked, c, F.slice(_closed(F.flatten(listed)), 1, c.most_visits).alias("visits"))
+
+
+def with_visits(healed: DataFrame, visits: DataFrame, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """``healed`` with ``parts``; ``visits``: frag_id and visits of the parts. Visits move once, whatever was merged."""
+    each = healed.select(F.col("frag_id").alias("root"), F.posexplode("parts").alias("nth", "frag_id"))
+    found = each.join(visits, "frag_id").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("nth", "visits"))).alias("v"))
+    found = found.select(F.col("root").alias("frag_id"), F.flatten(F.transform("v", lambda x: x["visits"])).alias("visits"))
+    return healed.drop("parts").join(found.withColumn("visits", F.slice(_closed(F.col("visits")), 1, c.most_visits)), "frag_id")
+
+
+def heal(f: DataFrame, edges: DataFrame | None, c: StitchConfig = StitchConfig(), order: str = "mutual") -> tuple[DataFrame, dict[str, int]]:
+    """Passes of stages A to E until nothing merges or the passes end; and the merges of each stage. ``order``:
+    ``mutual`` or ``reference``. Visits stay out of the passes: fragments carry the ids of their parts, at most as
+    many as visits count, and the visits are joined once at the end."""
+    if order not in ("mutual", "reference"):
+        raise ValueError(f"no such order: {order}")
+    find, visits = nearest_edges if order == "mutual" else greedy_edges, None
+    if "visits" in f.columns:
+        f = settle(f)
+        visits, f = f.select("frag_id", "visits"), f.drop("visits")
+    f, merged = settle(f.select(*COLUMNS, F.array("frag_id").alias("parts"))), dict.fromkeys("ABCDE", 0)
     done: set[str] = set()  # stages that found nothing since the last merge
     for _ in range(c.heal_passes):
         for stage in "ABCDE":
             if stage in done:
                 continue
-            found = settle(nearest_edges(f, stage, edges, c))
+            found = settle(find(f, stage, edges, c))
             n = found.count()
             if n:
                 merged[stage] += n
-                f = settle(merge(f, found, c))
+                marked, listed = _parts(_marked(f, found), c, F.col("parts"))
+                f = settle(_merged(marked, c, F.slice(F.flatten(listed), 1, c.most_visits).alias("parts")))
                 done = set()
             else:
                 done.add(stage)
         if len(done) == 5:
             break
-    return f, merged
-
+    return (f.drop("parts") if visits is None else with_visits(f, visits, c)), merged

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions.scalar import age_code
-from trailweave.operators.temporal import islands
+from trailweave.operators.temporal import dense_numbers, islands
 from trailweave.schema import ENTRANCES, EXITS, SECOND, ZONE_KINDS, StitchConfig, TRAJECTORY, Zones
 
 
@@ -61,7 +61,10 @@ class Kernel:
     def _score(self, t: Live, at: int, zone: str, age: int) -> float:
         step, gap = abs(t.age - age), at - t.seen
         most = (self.c.walk_gap if t.moving else self.c.still_gap) * SECOND
-        if step > 1 or not 0 <= gap <= most:
+        if not 0 <= gap <= most:
+            return 0.0
+        if step > 1:
+            self.count("refused_age")
             return 0.0
         place = 0.5 if t.zone is None else float(t.zone == zone or (t.zone, zone) in self.adjacent)
         person = 0.5 + 0.5 * max(0.0, 1 - step / 2)
@@ -100,6 +103,8 @@ class Kernel:
         if zone not in self.zones:
             return self._drop(event, at, zone, gender, "zone")
         mine = [t for t in self.live if t.gender == gender] if gender is not None else []
+        if gender is None:
+            self.count("refused_gender")
         if kind == "entry":
             score, t = self._best(mine, at, zone, age)
             floor = self.c.entrance_floor if zone in ENTRANCES else self.c.interior_floor
@@ -231,9 +236,11 @@ def telemetry(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfi
 
 
 def as_fragments(trajectories: DataFrame) -> DataFrame:
-    """Trajectories in the healer's shape; ids keep their order through the event number."""
-    return trajectories.select(
-        F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("frag_id"),
+    """Trajectories in the healer's shape, numbered from 1 by birth: by first sighting, then by event number."""
+    born = trajectories.withColumn("event", F.regexp_extract("id", r"(\d+)$", 1).cast("long"))
+    born = dense_numbers(born, "start_ns", "event", "frag_id", 60 * SECOND, 86_400 * SECOND)
+    return born.select(
+        "frag_id",
         F.call_function("div", F.col("start_ns"), F.lit(1000).cast("long")).alias("start_us"),
         F.call_function("div", F.col("end_ns"), F.lit(1000).cast("long")).alias("end_us"),
         "birth_zone",

@@ -69,3 +69,19 @@ def islands(events: DataFrame, keys: list[str], at: str, gap: int, day: int = 86
     e = e.join(starts, [*keys, "_day"])
     island = F.col("_base") + F.sum("_new").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return e.withColumn("island", island).drop("_day", "_prev", "_prev_last", "_new", "_base")
+
+
+def dense_numbers(df: DataFrame, at: str, key: str, name: str, width: int = 60_000_000, day: int = 86_400_000_000) -> DataFrame:
+    """Adds ``name``: 1, 2, 3, ... in order of (``at``, ``key``) over the whole table.
+
+    Rows are numbered within time buckets, and a bucket's offset is the number of rows before it: of earlier days,
+    then of earlier buckets of its day. The only window over everything has one row for each day.
+    """
+    d = df.withColumn("_bin", bucket(F.col(at), width)).withColumn("_day", bucket(F.col(at), day))
+    bins = d.groupBy("_day", "_bin").agg(F.count("*").alias("_n"))
+    days = bins.groupBy("_day").agg(F.sum("_n").alias("_n"))
+    days = days.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_base"))
+    bins = bins.join(days, "_day")
+    bins = bins.select("_bin", (F.col("_base") + F.sum("_n").over(Window.partitionBy("_day").orderBy("_bin")) - F.col("_n")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_bin").orderBy(at, key))
+    return d.withColumn("_nth", inside).join(bins, "_bin").withColumn(name, F.col("_base") + F.col("_nth")).drop("_bin", "_day", "_nth", "_base")

@@ -12,9 +12,9 @@ from trailweave.functions import text as tx
 from trailweave.operators import audit as au
 from trailweave.operators import checks, graph, heal, metrics, stitch, sweep
 from trailweave.operators.common import shared_folder
-from trailweave.operators.temporal import forward, islands
+from trailweave.operators.temporal import dense_numbers, forward, islands
 from trailweave.plans import documents, journey
-from trailweave.schema import DEMO_ZONES, StitchConfig
+from trailweave.schema import DEMO_ZONES, STORE_ZONES, StitchConfig
 from trailweave.sources import readers as rd
 from trailweave.streaming.stitch import run_files, trajectories
 
@@ -471,6 +471,35 @@ for _stage in "ABCDE":
     _heal_query(_stage)
 
 
+def _edge_query(stage: str):
+    def run(spark, d):
+        """Edges that both sides choose, by as-of windows, without a pair table."""
+        return heal.nearest_edges(rd.fragments(spark, d), stage, rd.zone_edges(spark, DEMO_ZONES)).withColumn("score", sc.round_even(F.col("score"), 6))
+
+    run.__name__ = f"heal_{stage.lower()}_edges"
+    query("SELECT head_id, tail_id, gap_us, score FROM best WHERE n = 1 AND m = 1", heal_sql(stage))(run)
+
+
+for _stage in "ABCDE":
+    _edge_query(_stage)
+
+
+@query()
+def heal_sequence_edges(spark, d):
+    """What heads choose one after another in the published order, for the stage in which they compete most."""
+    return heal.greedy_edges(rd.fragments(spark, d), "D", rd.zone_edges(spark, DEMO_ZONES)).select("head_id", "tail_id", "gap_us")
+
+
+@query(
+    "SELECT frag_id, 'P_' || lpad(CAST(row_number() OVER (ORDER BY start_us, frag_id) AS VARCHAR), 6, '0') AS person FROM fragments",
+    FRAGMENTS,
+)
+def birth_numbers(spark, d):
+    """Persons numbered from 1 without a gap, in order of their first sighting."""
+    numbered = dense_numbers(rd.fragments(spark, d).select("frag_id", "start_us"), "start_us", "frag_id", "nth")
+    return numbered.select("frag_id", F.format_string("P_%06d", "nth").alias("person"))
+
+
 @query("SELECT head_id, tail_id, gap_us, score FROM best WHERE n = 1 AND m = 1", heal_sql("E"))
 def mutual_best_edges(spark, d):
     return heal.mutual_best(_stage_pairs(spark, d, "E"))
@@ -596,19 +625,26 @@ def purity_corrections(spark, d):
 
 # --- graph
 
+SEEN = f"""{VISITS}, steps AS (SELECT lag(zone_id) OVER w AS a, zone_id AS b, entry_us - lag(exit_us) OVER w AS us FROM visits
+    WINDOW w AS (PARTITION BY person_id ORDER BY entry_us, event_id)),
+  least_walk AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(min(ceil(us / 1000000.0::DOUBLE)) AS INTEGER) AS walk_s FROM steps WHERE us >= 0 AND a <> b GROUP BY ALL),
+  seen AS (SELECT a, b, walk_s FROM least_walk UNION ALL SELECT b, a, walk_s FROM least_walk)"""
+
 
 @query(
-    """, way(a, b, w, hops) AS (SELECT DISTINCT a, a, 0, 0 FROM edges UNION ALL SELECT way.a, edges.b, way.w + edges.w, hops + 1 FROM way JOIN edges ON edges.a = way.b WHERE hops < 6)
+    """, way(a, b, w, hops) AS (SELECT DISTINCT a, a, 0, 0 FROM seen UNION ALL SELECT way.a, seen.b, min(way.w + seen.walk_s), hops + 1 FROM way JOIN seen ON seen.a = way.b
+      WHERE hops < 6 GROUP BY way.a, seen.b, hops)
     SELECT a, b, CAST(min(w) AS INTEGER) AS min_s FROM way GROUP BY a, b""",
-    EDGES,
+    SEEN,
 )
 def zone_shortest_paths(spark, d):
-    return graph.shortest_paths(spark, DEMO_ZONES)
+    """Least walks between zones over the ways that persons were seen to take."""
+    return graph.shortest(graph.observed_edges(rd.visits(spark, d)))
 
 
-@query("SELECT DISTINCT a, b FROM edges", EDGES)
+@query("SELECT a, b, walk_s FROM seen", SEEN)
 def zone_adjacent_pairs(spark, d):
-    return graph.adjacent_pairs(spark, DEMO_ZONES)
+    return graph.observed_edges(rd.visits(spark, d))
 
 
 # --- numbers and claims in texts
@@ -718,6 +754,17 @@ def report_sections(spark, d):
     return checks.section_items(rd.answers(spark, d), "doc", documents.SECTIONS)
 
 
+@query(
+    """, own AS (SELECT doc, item FROM items WHERE lower(category) IN (SELECT unnest(words) FROM sections WHERE section = 'Conversion'))
+    SELECT doc, item, strategy, category FROM items i WHERE (doc, item) IN (SELECT (doc, item) FROM own) OR (NOT EXISTS (SELECT 1 FROM own WHERE own.doc = i.doc)
+      AND EXISTS (SELECT 1 FROM sections WHERE section = 'Conversion' AND len(list_filter(words, lambda w: contains(lower(category || ' ' || title), w))) > 0))""",
+    f"{CHECKED}, sections(section, words) AS (VALUES {SECTION_ROWS})",
+)
+def insight_filter(spark, d):
+    """The insights that a report's section on conversion shows."""
+    return checks.of_section(rd.answers(spark, d), "doc", "Conversion", documents.SECTIONS).select("doc", "item", "strategy", "category")
+
+
 @query(
     f"""SELECT event_id, CASE event_id % 5 WHEN 4 THEN 0.0::DOUBLE WHEN 3 THEN 100.0::DOUBLE WHEN 2 THEN 25.0::DOUBLE ELSE {R2('CAST(CAST(value / 100 AS VARCHAR) AS DOUBLE) * 100.0::DOUBLE')} END AS numeric_precision_pct FROM events""",
     None,
@@ -742,9 +789,18 @@ def strip_numbers(spark, d):
     return rd.table(spark, d, "conversations").select("conv_id", "turn", tx.strip_numbers(F.col("text")).alias("stripped"))
 
 
-@query()
+KEPT = "(x = 0 OR " + " OR ".join(f"abs(x - {k}) / {k} <= 0.1::DOUBLE" for k in KNOWN) + ")"
+
+
+@query(
+    rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(tokens, lambda t, i: between[i] ||
+        CASE WHEN regexp_matches(between[i], '[\p{{L}}\p{{N}}_]$') OR list_any_value(list_transform([CAST(replace(t, ',', '.') AS DOUBLE)], lambda x: {KEPT})) THEN t ELSE '' END), '')
+        || between[len(tokens) + 1], '{WS}{{2,}}', ' ', 'g'), '{WS}+([.,;:%])', '\1', 'g'), '^{WS}+|{WS}+$', '', 'g') AS text FROM
+      (SELECT conv_id, turn, regexp_extract_all(text, '\d+(?:[.,]\d+)?') AS tokens, regexp_split_to_array(text, '\d+(?:[.,]\d+)?') AS between FROM conversations)""",
+    None,
+)
 def sanitize_claims(spark, d):
-    return rd.table(spark, d, "conversations").select("conv_id", "turn", tx.sanitize_column(F.col("text"), list(KNOWN), True).alias("text"))
+    return rd.table(spark, d, "conversations").select("conv_id", "turn", tx.sanitize_column(F.col("text"), KNOWN, True).alias("text"))
 
 
 SENTENCES = r"""b AS (SELECT conv_id, turn, list_concat(list_filter(list_transform(
@@ -808,12 +864,6 @@ def context_section(spark, d):
     return e.groupBy("category", "section").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT c AS category, count(*) AS n FROM (SELECT lower(event_type) AS c FROM events) WHERE c = 'view' OR contains(c, 'click') GROUP BY c", None)
-def insight_filter(spark, d):
-    c = F.lower("event_type")
-    return rd.table(spark, d, "events").where((c == "view") | c.contains("click")).groupBy(c.alias("category")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT conv_id, turn, replace(text, '|', '\\|') AS cell FROM conversations", None)
 def pipe_escape(spark, d):
     return rd.table(spark, d, "conversations").select("conv_id", "turn", tx.escape_pipes(F.col("text")).alias("cell"))
@@ -826,16 +876,28 @@ def json_props(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events", None)
 def json_repair(spark, d):
-    """Answers parsed by built-ins: plain, fenced with and without a name, between chatter, both, and no JSON at
-    all. The fence goes, else the outermost braces count, else there is nothing."""
+    """Answers with their JSON plain, fenced with and without a name, between chatter, behind braces that are none or
+    are empty, and without any."""
     props, fence = F.col("props"), "```"
     forms = [props, F.concat(F.lit(f"{fence}json\n"), props, F.lit(f"\n{fence}")), F.concat(F.lit(f"{fence}\n"), props, F.lit(f"\n{fence}\n"))]
-    forms += [F.concat(F.lit("Here it is: "), props, F.lit(" - as asked.")), F.concat(F.lit(f"Sure!\n{fence}json\n"), props, F.lit(f"\n{fence}\nAnything else?")), F.lit("I have no answer, sorry {not JSON}.")]
+    forms += [F.concat(F.lit("Here {it} is, not {}: "), props, F.lit(" - as asked {really}.")), F.concat(F.lit(f"Sure!\n{fence}json\n"), props, F.lit(f"\n{fence}\nAnything else?")), F.lit("I have no answer, sorry {not JSON}.")]
     e = rd.table(spark, d, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
-    clean = F.trim(F.regexp_replace("raw", r"(?m)^```(?:json)?\s*|\s*```$", ""))
-    block = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
-    whole = F.when(clean.startswith("{"), F.from_json(clean, "k bigint"))
-    return e.select("event_id", F.coalesce(whole, F.from_json(block, "k bigint"))["k"].alias("k"))
+    return e.select("event_id", F.get_json_object(tx.first_object(F.col("raw")), "$.k").cast("long").alias("k"))
+
+
+DOCUMENT = """'{"k": ' || json_extract(props, '$.k') || ', "flag": true, "none": null, "note": "zone 7 saw ' || user_id || ' of 1,250", "deep": {"list": [' || user_id || ', {"x": [' || event_id || ', "-3.5 %"]}, []]}}'"""
+
+
+@query(
+    rf"""SELECT event_id, unnest(CASE WHEN t.type = 'VARCHAR' THEN list_transform(regexp_extract_all(t.atom ->> '$', '{NUM}'), lambda x: CAST(replace(x, ',', '') AS DOUBLE))
+        ELSE [CAST(t.atom AS DOUBLE)] END) AS number FROM (SELECT event_id, {DOCUMENT} AS doc FROM events) e, json_tree(e.doc) t WHERE t.type IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE')""",
+    None,
+)
+def flatten_values(spark, d):
+    """All numbers of nested documents, those inside their texts included."""
+    k = F.get_json_object("props", "$.k")
+    doc = F.format_string('{"k": %s, "flag": true, "none": null, "note": "zone 7 saw %s of 1,250", "deep": {"list": [%s, {"x": [%s, "-3.5 %%"]}, []]}}', k, F.col("user_id").cast("string"), F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    return tx.flat_numbers(rd.table(spark, d, "events").select("event_id", doc.alias("doc")), "doc")
 
 
 # --- stateful queries, without SQL
@@ -843,17 +905,17 @@ def json_repair(spark, d):
 
 @query()
 def stitch_pass1(spark, d):
-    return stitch.stitch(rd.detections(spark, d), DEMO_ZONES).drop("visits")
+    return stitch.stitch(rd.walks(spark, d), STORE_ZONES).drop("visits")
 
 
 @query()
 def dropped_events(spark, d):
-    return stitch.dropped(rd.detections(spark, d), DEMO_ZONES)
+    return stitch.dropped(rd.walks(spark, d), STORE_ZONES)
 
 
 @query()
 def telemetry(spark, d):
-    return stitch.telemetry(rd.detections(spark, d), DEMO_ZONES)
+    return stitch.telemetry(rd.walks(spark, d), STORE_ZONES)
 
 
 @query()
@@ -864,13 +926,13 @@ def heal_fixpoint(spark, d):
 
 @query()
 def stitch_full(spark, d):
-    return journey.run(spark, rd.detections(spark, d), DEMO_ZONES)["journeys"]
+    return journey.run(spark, rd.walks(spark, d), STORE_ZONES)["journeys"]
 
 
 @query()
 def stream_stitch(spark, d):
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return trajectories(run_files(spark, f"{d}/events.parquet*", out, DEMO_ZONES)).drop("visits")
+    return trajectories(run_files(spark, f"{d}/events.parquet*", out, STORE_ZONES)).drop("visits")
 
 
 ORACLES.update({name: sql() for name, sql in ORACLES.items() if callable(sql)})

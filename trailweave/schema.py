@@ -131,3 +131,11 @@ class Zones:
 
 #: The graph of the demonstration data, whose zones come from event types.
 DEMO_ZONES = Zones((("Z_E1", "Z_N1", 10), ("Z_N1", "Z_S1", 20), ("Z_S1", "Z_C1", 15), ("Z_C1", "Z_CK", 5), ("Z_E2", "Z_N1", 12)))
+#: The graph of the demonstration walks: a store of two wings that meet at the checkouts.
+STORE_ZONES = Zones(
+    (
+        ("Z_E1", "Z_N1", 10), ("Z_E2", "Z_N2", 12), ("Z_N1", "Z_S1", 20), ("Z_N1", "Z_S2", 22), ("Z_N1", "Z_S3", 25), ("Z_N2", "Z_S4", 18),
+        ("Z_N2", "Z_S5", 20), ("Z_N2", "Z_S6", 24), ("Z_S1", "Z_C1", 15), ("Z_S2", "Z_C1", 16), ("Z_S3", "Z_C2", 15), ("Z_S4", "Z_C2", 14),
+        ("Z_S5", "Z_C3", 15), ("Z_S6", "Z_C3", 15), ("Z_C1", "Z_CK", 5), ("Z_C2", "Z_CK", 5), ("Z_C3", "Z_CK", 5),
+    )
+)

@@ -133,6 +133,57 @@ def detections_of(v: DataFrame) -> DataFrame:
     )
 
 
+#: A demonstration walk: 16 detections in five zones. Kind, place in the order of zones, and seconds since its start.
+WALK = (
+    ("entry", 1, 0), ("linger", 1, 4), ("exit", 1, 6), ("entry", 2, 12), ("linger", 2, 16), ("exit", 2, 19),
+    ("entry", 3, 30), ("linger", 3, 36), ("linger", 3, 42), ("exit", 3, 46), ("entry", 4, 56), ("linger", 4, 60),
+    ("exit", 4, 63), ("entry", 5, 70), ("linger", 5, 74), ("exit", 5, 77),
+)
+#: Ways of walking: the zones, the step from which on sensors saw the person late, and by how many seconds.
+WAYS = (
+    (("Z_E1", "Z_N1", "Z_S1", "Z_C1", "Z_CK"), 16, 0),
+    (("Z_E2", "Z_N2", "Z_S4", "Z_C2", "Z_CK"), 6, 300),
+    (("Z_E1", "Z_N1", "Z_S2", "Z_N1", "Z_E1"), 5, 215),
+    (("Z_E2", "Z_N2", "Z_S5", "Z_C3", "Z_CK"), 10, 1500),
+    (("Z_N1", "Z_S3", "Z_S3", "Z_C2", "Z_CK"), 6, 1500),
+    (("Z_E2", "Z_N2", "Z_S6", "Z_C3", "Z_CK"), 10, 420),
+    (("Z_E1", "Z_N1", "Z_S1", "Z_C1", "Z_CK"), 10, 400),
+)
+WALK_BEGINS_US, WALK_EVERY_US = 1_704_099_600_000_000, 2_200_000
+
+
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks_of(table(spark, sf_dir, "events"))
+
+
+def walks_of(events: DataFrame) -> DataFrame:
+    """The event table as a busy store's detections, row by row: 16 neighbouring events are one person's walk, a
+    new one begins every 2.2 seconds, and some walks break off for minutes. Users add up to two seconds to a
+    time and values are stays. Now and then a sensor misreads an age, a gender, a kind or a zone."""
+    walker, step = F.floor(F.col("event_id") / 16), (F.col("event_id") % 16).cast("int")
+    way = (walker % len(WAYS)).cast("int")
+
+    def pick(values: list, at: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in values]), at + 1)
+
+    zones = F.element_at(F.array(*[F.array(*[F.lit(z) for z in names]) for names, _, _ in WAYS]), way + 1)
+    late = F.when(step >= pick([x for _, x, _ in WAYS], way), pick([x for _, _, x in WAYS], way)).otherwise(0)
+    seconds = pick([x for _, _, x in WALK], step) + late + F.col("user_id") % 3
+    group = walker % 6  # two genders and three ages, neighbours apart, so that a crowd can be told apart
+    age = (F.floor(group / 2) * 2 + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0)).cast("int")
+    e = events.select(
+        "event_id",
+        (F.lit(WALK_BEGINS_US) + walker * WALK_EVERY_US + seconds * 1_000_000).cast("long").alias("entry_us"),
+        F.when(F.col("event_id") % 103 == 0, "Z_X9").otherwise(F.element_at(zones, pick([x for _, x, _ in WALK], step))).alias("zone_id"),
+        F.when(F.col("event_id") % 101 == 0, "blink").otherwise(pick([x for x, _, _ in WALK], step)).alias("kind"),
+        F.floor("value").cast("long").alias("duration_s"),
+        F.when(F.col("event_id") % 97 == 0, F.lit(None)).when(group % 2 == 0, "F").otherwise("M").alias("gender"),
+        F.least(age, F.lit(5)).alias("age_code"),
+    )
+    labels = F.array(*[F.lit(x) for x in AGE_CODES])
+    return e.select("event_id", "entry_us", (F.col("entry_us") * 1000).alias("ts_ns"), "zone_id", "kind", "duration_s", "gender", "age_code", F.element_at(labels, F.col("age_code") + 1).alias("age_range"))
+
+
 def noisy_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits whose gender and age are misread now and then."""
     other = F.when(F.col("gender") == "F", "M").otherwise("F")
