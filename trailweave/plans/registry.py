@@ -11,11 +11,13 @@ from trailweave.functions import scalar as sc
 from trailweave.functions import text as tx
 from trailweave.operators import audit as au
 from trailweave.operators import checks, graph, heal, metrics, stitch, sweep
-from trailweave.operators.common import shared_folder
+from trailweave.operators.common import remove, settle, shared_folder
 from trailweave.operators.temporal import dense_numbers, forward, islands
 from trailweave.plans import documents, journey
 from trailweave.schema import DEMO_ZONES, STORE_ZONES, StitchConfig
 from trailweave.sources import readers as rd
+from trailweave.streaming import windows
+from trailweave.streaming.common import run_to_end
 from trailweave.streaming.stitch import run_files, trajectories
 
 QUERIES, ORACLES = {}, {}
@@ -929,10 +931,73 @@ def stitch_full(spark, d):
     return journey.run(spark, rd.walks(spark, d), STORE_ZONES)["journeys"]
 
 
+# --- streams
+
+
+def _streamed(spark, run) -> DataFrame:
+    """What ``run(folder)`` returns, kept apart from the folder of the stream's state and files, which goes."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = settle(run(out))
+    remove(spark, out)
+    return rows
+
+
 @query()
 def stream_stitch(spark, d):
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return trajectories(run_files(spark, f"{d}/events.parquet*", out, STORE_ZONES)).drop("visits")
+    return _streamed(spark, lambda out: trajectories(run_files(spark, f"{d}/events.parquet*", out, STORE_ZONES)).drop("visits"))
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS hour_start_us, count(DISTINCT user_id) AS unique_visitors, count(*) AS total_visits FROM events GROUP BY ALL", None)
+def stream_hourly_traffic(spark, d):
+    """Watermarked hourly windows over the event stream."""
+    schema = "hour_start timestamp, unique_visitors long, total_visits long"
+    rows = _streamed(spark, lambda out: windows.run_events(spark, f"{d}/events.parquet*", out, windows.hourly_traffic, schema))
+    return rows.select(F.unix_micros("hour_start").alias("hour_start_us"), "unique_visitors", "total_visits")
+
+
+@query("SELECT person_id, start_us, max(entry_us) AS last_us, count(*) AS n_visits FROM (SELECT person_id, session, entry_us, min(entry_us) OVER (PARTITION BY person_id, session) AS start_us FROM numbered) GROUP BY ALL", FRAGMENTS)
+def stream_sessions(spark, d):
+    """Session windows over the event stream: a person's visits until eight hours pass without one."""
+    schema = "person_id long, start timestamp, last timestamp, n_visits long"
+    rows = _streamed(spark, lambda out: windows.run_events(spark, f"{d}/events.parquet*", out, windows.sessions, schema))
+    return rows.select("person_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n_visits")
+
+
+@query("SELECT v.event_id AS visit_id, count(*) AS n_events FROM visits e JOIN visits v ON e.zone_id = v.zone_id AND e.entry_us BETWEEN v.entry_us AND v.exit_us GROUP BY ALL")
+def stream_coverage(spark, d):
+    """Stream-stream join of visits with the events in them."""
+
+    def make(v):
+        return windows.covered(v.withColumn("visit_id", F.col("event_id")), v.select("event_id", "zone_id", "ts", F.col("entry_us").alias("at_us")))
+
+    rows = _streamed(spark, lambda out: windows.run_events(spark, f"{d}/events.parquet*", out, make, "visit_id long, event_id long"))
+    return rows.groupBy("visit_id").agg(F.count("*").alias("n_events"))
+
+
+@query(f"SELECT event_id FROM dropped d WHERE NOT {SAME} AND NOT {ADJ} AND NOT {TELE}", DROPPED)
+def stream_residual(spark, d):
+    """Stream-stream left outer join of dropped detections with trajectory ends: those that no rule recovers."""
+    kinds = {"d": "event_id long, entry_us long, zone_id string, gender string", "f": "start_us long, end_us long, last_zone string, gender string"}
+    at, edges = {"d": "entry_us", "f": "end_us"}, rd.zone_edges(spark, DEMO_ZONES)
+    tables = {"d": _dropped(spark, d), "f": rd.fragments(spark, d)}
+
+    def run(out):
+        for k, table in tables.items():
+            table.select(*[x.split()[0] for x in kinds[k].split(", ")]).write.parquet(f"{out}/{k}")
+        ends = spark.read.parquet(f"{out}/d").agg(F.max("entry_us").alias("x")).union(spark.read.parquet(f"{out}/f").agg(F.max("end_us").alias("x")))
+        end = ends.agg(F.max("x") + 86_400_000_000).first()[0]
+
+        def build(_):
+            read = {k: spark.readStream.schema(kinds[k]).parquet(f"{out}/{k}").withColumn("ts", F.timestamp_micros(at[k])) for k in kinds}
+            return windows.recovered(read["d"], read["f"], edges)
+
+        run_to_end(spark, build, f"{out}/s", "event_id long, rule string", "x long", "x", None, 0)
+        for k in kinds:  # one row each far ahead, so that what waits for a partner is told
+            spark.createDataFrame([()], "").select(*[(F.lit(end) if n.endswith("_us") else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in kinds[k].split(", "))]).write.mode("append").parquet(f"{out}/{k}")
+        return run_to_end(spark, build, f"{out}/s", "event_id long, rule string", "x long", "x", None, 0)
+
+    rows = _streamed(spark, run).where("event_id is not null")
+    return rows.groupBy("event_id").agg(F.max("rule").alias("rule")).where("rule is null").select("event_id")
 
 
 ORACLES.update({name: sql() for name, sql in ORACLES.items() if callable(sql)})

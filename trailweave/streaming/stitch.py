@@ -1,62 +1,98 @@
-"""Pass 1 over a stream of detections: the batch kernel as keyed state.
+"""Pass 1 over a stream of detections, as a stateful processor of one key for each gender.
 
-Detections within the watermark's delay are held back and fed in order of time. A trajectory is emitted once
-nothing can continue it: when the watermark passes its last sighting by the still gap, by timer if its key is
-quiet. Detections that can't be placed are emitted as well, tagged as in the batch form. Detections without a
-gender match nobody and are spread over keys of their own.
+Detections wait in state until the watermark passes them and are then fed in order of time, when a timer of their
+own fires. Each live trajectory is an entry of a map, and only those that changed are written again. A trajectory
+is emitted and leaves the state once nothing can continue it: when the watermark passes its last sighting by the
+still gap, by timer if its key is quiet. Detections that can't be placed are emitted as well, tagged as in the
+batch form. Detections without a gender match nobody and are spread over keys of their own.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trailweave.operators.stitch import DETECTION, TAGGED, TAGGED_REST, Kernel, dropped_row, parts, trajectory_row
+from trailweave.operators.stitch import DETECTION, TAGGED, TAGGED_REST, Kernel, Live, dropped_row, parts, trajectory_row
 from trailweave.schema import SECOND, StitchConfig, Zones
-from trailweave.sources.readers import detections_of, visits_of
+from trailweave.sources.readers import walks_of
+from trailweave.streaming.common import EVENTS, rocks, run_to_end
 
 LONE_KEYS = 64
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+DETECTIONS = "event_id long, entry_us long, ts_ns long, zone_id string, kind string, duration_s long, gender string, age_code int, age_range string"
+WAITING_KEY, WAITING = "at long, event long", "zone string, kind string, duration long, gender string, age int, label string"
+LIVE_KEY, LIVE = "id string", "gender string, age int, zone string, seen long, moving boolean, complete boolean, visits string"
 
 
-def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig(), delay_s: int = 600) -> DataFrame:
-    """``detections``: the batch columns and ``ts`` (timestamp), as a stream. Append mode, tagged rows. A row
-    without an event_id only moves the watermark on."""
+class StitchProcessor(StatefulProcessor):
+    def __init__(self, zones: Zones, c: StitchConfig):
+        self.zones, self.c = zones, c
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel, waiting = pickle.loads(state.get[0]) if state.exists else (Kernel(zones, c), [])
-        mark = state.getCurrentWatermarkMs() * 1_000_000
-        for pdf in batches:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", WAITING_KEY, WAITING)
+        self.live = handle.getMapState("live", LIVE_KEY, LIVE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
             for event, at, zone, kind, duration, gender, age, label in pdf[DETECTION].itertuples(index=False, name=None):
-                if not pd.isna(event):
-                    waiting.append((int(at), str(int(event)), zone, kind, None if pd.isna(duration) else int(duration), None if pd.isna(gender) else gender, int(age), label))
-        waiting.sort(key=lambda x: (x[0], int(x[1])))  # as the batch form orders them
-        out, ready = [], [x for x in waiting if x[0] <= mark]
-        waiting = waiting[len(ready) :]
-        for at, event, *rest in ready:
-            out += [trajectory_row(t.row()) for t in kernel.feed(event, at, *rest)]
-        if not waiting:
-            over = [t for t in kernel.live if mark - t.seen > c.still_gap * SECOND]
+                if pd.isna(event):
+                    continue
+                at = int(at)
+                values = (zone, kind, None if pd.isna(duration) else int(duration), None if pd.isna(gender) else gender, int(age), label)
+                self.waiting.updateValue((at, int(event)), values)
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self._wake(first // 1_000_000 + 1, timerValues)
+        yield pd.DataFrame([], columns=["tag", *TAGGED_REST], dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        kernel, before = Kernel(self.zones, self.c), {}
+        for (ident,), values in self.live.iterator():
+            before[ident] = tuple(values)
+            kernel.live.append(Live(ident, *before[ident][:6], visits=json.loads(before[ident][6])))
+        waiting = sorted(tuple(k) for k in self.waiting.keys())
+        out, ready = [], [k for k in waiting if k[0] <= mark]
+        for at, event in ready:
+            zone, kind, duration, gender, age, label = self.waiting.getValue((at, event))
+            out += [trajectory_row(t.row()) for t in kernel.feed(str(event), at, zone, kind, duration, gender, age, label)]
+            self.waiting.removeKey((at, event))
+        later = waiting[len(ready) :]
+        if not later:
+            over = [t for t in kernel.live if mark - t.seen > self.c.still_gap * SECOND]
             out += [trajectory_row(t.row()) for t in over]
-            kernel.live = [t for t in kernel.live if mark - t.seen <= c.still_gap * SECOND]
+            kernel.live = [t for t in kernel.live if mark - t.seen <= self.c.still_gap * SECOND]
         out += map(dropped_row, kernel.dropped)
-        kernel.dropped = []
-        if waiting or kernel.live:
-            state.update((pickle.dumps((kernel, waiting)),))
-            due = [x[0] for x in waiting[:1]] + [t.seen + c.still_gap * SECOND for t in kernel.live]
-            state.setTimeoutTimestamp(max(min(due) // 1_000_000, state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
+        after = {t.id: (t.gender, t.age, t.zone, t.seen, t.moving, t.complete, json.dumps(t.visits)) for t in kernel.live}
+        for ident in before.keys() - after.keys():
+            self.live.removeKey((ident,))
+        for ident, values in after.items():
+            if before.get(ident) != values:
+                self.live.updateValue((ident,), values)
+        due = [at // 1_000_000 + 1 for at, _ in later[:1]] + [(t.seen + self.c.still_gap * SECOND) // 1_000_000 + 1 for t in kernel.live]
+        if due:
+            self._wake(min(due), timerValues)
         yield pd.DataFrame(out, columns=["tag", *TAGGED_REST], dtype=object)
 
+    def _wake(self, at_ms: int, timerValues) -> None:
+        self.handle.registerTimer(max(at_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        pass
+
+
+def stitch_stream(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig(), delay_s: int = 600) -> DataFrame:
+    """``detections``: the batch columns and ``ts`` (timestamp), as a stream. Append mode, tagged rows. A row
+    without an event_id only moves the watermark on. The session must keep state in RocksDB (``rocks``)."""
     lone = F.when(F.col("gender").isNull(), F.pmod(F.xxhash64("event_id"), F.lit(LONE_KEYS))).otherwise(-1)
     keyed = detections.withWatermark("ts", f"{delay_s} seconds").withColumn("key", F.coalesce("gender", F.lit(""))).withColumn("lone", lone)
-    return keyed.groupBy("key", "lone").applyInPandasWithState(run, TAGGED, "kernel binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("key", "lone").transformWithStateInPandas(StitchProcessor(zones, c), TAGGED, "append", "eventTime")
 
 
 def run_files(spark: SparkSession, source: str, out: str, zones: Zones, c: StitchConfig = StitchConfig(), close: bool = True) -> DataFrame:
@@ -64,20 +100,19 @@ def run_files(spark: SparkSession, source: str, out: str, zones: Zones, c: Stitc
     ``close``: the files are all there is, so a last row far ahead moves the watermark on and nothing stays in
     state; else only what is final by the last watermark is returned. Restarting with the same ``out`` goes on
     where it stopped."""
-    closing, delay_s = f"{out}/closing", 600
-    spark.createDataFrame([], EVENTS).write.mode("ignore").parquet(closing)
-    streams = [spark.readStream.schema(EVENTS).parquet(x) for x in (source, closing)]
-    found = detections_of(visits_of(streams[0].unionByName(streams[1]))).withColumn("ts", F.timestamp_micros("entry_us"))
-    job = stitch_stream(found, zones, c, delay_s).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
-    job = job.outputMode("append").trigger(availableNow=True)
-    job.start().awaitTermination()
-    if close:
-        last = spark.read.schema(EVENTS).parquet(source).agg(F.max("ts").alias("ts")).where("ts is not null")
-        ahead = (F.col("ts") + F.make_dt_interval(secs=F.lit(delay_s + 2 * c.still_gap + 60))).cast("timestamp_ntz")
-        nulls = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in EVENTS.split(", ")) if name != "ts"]
-        last.select(ahead.alias("ts"), *nulls).select(*[x.split()[0] for x in EVENTS.split(", ")]).write.mode("append").parquet(closing)
-        job.start().awaitTermination()
-    return spark.read.schema(TAGGED).parquet(f"{out}/rows")
+
+    def timed(d: DataFrame) -> DataFrame:
+        return d.withColumn("ts", F.timestamp_micros("entry_us"))
+
+    def build(closing: DataFrame) -> DataFrame:
+        found = walks_of(spark.readStream.schema(EVENTS).parquet(source))
+        return stitch_stream(timed(found.unionByName(closing)), zones, c)
+
+    def last() -> DataFrame:
+        return walks_of(spark.read.schema(EVENTS).parquet(source)).agg(F.max("entry_us").alias("entry_us")).where("entry_us is not null")
+
+    with rocks(spark):
+        return run_to_end(spark, build, out, TAGGED, DETECTIONS, "entry_us", last if close else None, (600 + 2 * c.still_gap + 60) * 1_000_000)
 
 
 def trajectories(rows: DataFrame) -> DataFrame:
