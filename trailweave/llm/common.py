@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
 from collections.abc import Callable
 from typing import Any
 
@@ -15,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.operators.common import remove, settle, shared_folder
+
+__all__ = ["fold_ascii", "free_memory", "fresh", "remove", "resident", "settle", "shared_folder", "table", "text_or_empty"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,44 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Only a single-machine session without that setting gets a
-    temporary folder; on a cluster its absence is an error, since executors could not read each other's
-    files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="trailweave-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return _LOCAL[0]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this session has written, on whatever file system it lies."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage through the shared folder.
-
-    A checkpoint keeps the plan's size estimate, which joins multiply, so that over the steps of a loop it
-    becomes a number of millions of digits; a new DataFrame over the rows starts without it.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out, spark = df.checkpoint(eager=True)._jdf, df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(out.javaRDD(), out.schema()), spark)
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores in front until they clash with no column."""
     taken, out = {c.lower() for c in columns}, []

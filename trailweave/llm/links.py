@@ -5,8 +5,8 @@ are first compared with its least one, whole set against whole set; that settles
 comparison a text, and all buckets of two. Buckets that hold more than one group then are compared within a
 task: sizes and bitmaps bound each overlap from above, and each member names its nearest few of other groups,
 which are checked on whole sets. Where more than a few pass, the bucket comes again, with more of them, until
-none is left out. A bucket with equal members as another one is that other one. Large buckets are cut in blocks,
-and a pair of blocks is a task's work; members of the largest group aren't compared with each other.
+none is left out. A pair that meets in several buckets is named in the first of them alone. Large buckets are cut
+in blocks, and a pair of blocks is a task's work; members of the largest group aren't compared with each other.
 
 Sets are read from the texts once, for members of buckets alone.
 """
@@ -35,9 +35,9 @@ BLOCK = 2048
 def buckets(posted: Callable, percent: int) -> tuple[DataFrame, DataFrame]:
     """``posted(wanted)``: (tok, t), all rows or those whose tok may be in a broadcast filter. Pairs (a, b) of the
     least and each other member, and (tok, t) of buckets with more than two."""
-    found = posted(None).groupBy("tok").agg(F.count("*").alias("size"), F.min("t").alias("a"), F.max("t").alias("b"), F.bit_xor(F.xxhash64("t")).alias("mark"))
-    found = settle(found.where("size > 1 and a <> b").groupBy("size", "a", "b", "mark").agg(F.min("tok").alias("tok")))
-    large = settle(found.where("size > 2").select("tok", "a"))
+    found = posted(None).groupBy("tok").agg(F.count("*").alias("size"), F.min("t").alias("a"), F.max("t").alias("b")).where("size > 1 and a <> b")
+    found = settle(found)
+    large = found.where("size > 2").select("tok", "a")
     rows = settle(posted(filter_of(large.select("tok"))).join(large, "tok"))
     pairs = found.where("size = 2").select("a", "b").union(rows.where("a <> t").select("a", F.col("t").alias("b"))).distinct()
     return pairs, rows.select("tok", "t")
@@ -79,18 +79,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def compared(rows: DataFrame, sets: DataFrame, percent: int, nearest: int) -> DataFrame:
+def compared(rows: DataFrame, sets: DataFrame, percent: int, nearest: int, keys_of: Callable) -> DataFrame:
     """``rows``: tok, t, label, major (the bucket's largest label), n_major and n_minor. (a, b) of other labels whose
-    bitmaps do not rule them out, the nearest of each member; and (tok) where there were more."""
+    bitmaps do not rule them out, the nearest of each member outside the largest label; and (tok) where there were
+    more. ``sets``: t, n, bm and sig, of which ``keys_of`` makes a matrix of the keys of each t, in one order."""
     blocks = {k: F.ceil(F.col(f"n_{k}") / BLOCK).cast("int") for k in ("minor", "major")}
     small = F.col("n_major") + F.col("n_minor") <= BLOCK
     main = F.col("label") == F.col("major")
     spread = F.xxhash64("t")
     part = F.when(small, 0).when(main, blocks["minor"] + F.pmod(spread, blocks["major"])).otherwise(F.pmod(spread, blocks["minor"])).cast("int")
     others = F.when(small, F.array(F.lit(0))).when(main, F.sequence(F.lit(0), blocks["minor"] - 1)).otherwise(F.sequence(F.lit(0), blocks["minor"] + blocks["major"] - 1))
-    every = rows.select("tok", "t", "label", part.alias("part"), F.explode(others).alias("other"))
-    every = every.select("tok", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "t", "label")
-    every = every.join(sets.select("t", "n", "bm"), "t").select("tok", "i", "j", "part", "t", "label", "n", "bm")
+    every = rows.select("tok", "t", "label", part.alias("part"), main.alias("main"), F.explode(others).alias("other"))
+    every = every.select("tok", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "t", "label", "main")
+    every = every.join(sets.select("t", "n", "bm", "sig"), "t").select("tok", "i", "j", "part", "t", "label", "main", "n", "bm", "sig")
     every = every.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "part")
 
     def run(batches):
@@ -101,22 +102,23 @@ def compared(rows: DataFrame, sets: DataFrame, percent: int, nearest: int) -> Da
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
             for s, e in zip(starts, np.r_[starts[1:], len(keys)]):
                 if key is not None and (keys[s] != key).any():
-                    yield near_members(held, int(key[0]), percent, nearest)
+                    yield near_members(held, int(key[0]), percent, nearest, keys_of)
                     held = []
                 key = keys[s]
                 held.append(batch.slice(s, e - s))
         if held:
-            yield near_members(held, int(key[0]), percent, nearest)
+            yield near_members(held, int(key[0]), percent, nearest, keys_of)
 
     return every.mapInArrow(run, "a long, b long, tok long")
 
 
-def near_members(batches: list[pa.RecordBatch], tok: int, percent: int, nearest: int) -> pa.RecordBatch:
+def near_members(batches: list[pa.RecordBatch], tok: int, percent: int, nearest: int, keys_of: Callable) -> pa.RecordBatch:
     """Of one pair of blocks the pairs that ``compared`` gives."""
     table = pa.Table.from_batches(batches).combine_chunks()
     column = lambda name: table.column(name).chunk(0)
     part, t, label, n = (column(c).to_numpy() for c in ("part", "t", "label", "n"))
-    bits = column("bm")
+    main = column("main").to_numpy(zero_copy_only=False)
+    keys, bits = keys_of(column("sig").to_pylist()), column("bm")
     ends = bits.offsets.to_numpy()
     data, width = bits.values.to_numpy().view(np.uint64), np.diff(ends)
     two = part[0] != part[-1]
@@ -128,12 +130,16 @@ def near_members(batches: list[pa.RecordBatch], tok: int, percent: int, nearest:
         pool = np.r_[at, wider]
         low = maps[w] if not len(wider) else np.r_[maps[w], maps[2 * w][:, :w] | maps[2 * w][:, w:]]
         narrow = by_width.get(w // 2, np.zeros(0, np.int64)) if w % 2 == 0 else np.zeros(0, np.int64)
-        for k, i in enumerate(at):
+        for k in np.flatnonzero(~main[at]):
+            i = at[k]
             ids, apart = _possible(i, low[k], pool, low, t, label, n, part if two else None, percent)
             if len(narrow):
                 folded = low[k][: w // 2] | low[k][w // 2 :]
                 more_ids, more_apart = _possible(i, folded, narrow, maps[w // 2], t, label, n, part if two else None, percent)
                 ids, apart = np.r_[ids, more_ids], np.r_[apart, more_apart]
+            if len(ids):  # in the first bucket that they share
+                here = keys[i][(keys[ids] == keys[i]).argmax(1)] == tok
+                ids, apart = ids[here], apart[here]
             if len(ids) > nearest:
                 more = True
                 ids = ids[np.lexsort((t[ids], apart))[:nearest]]
@@ -156,9 +162,9 @@ def _possible(i, mine, pool, maps, t, label, n, part, percent):
     return pool[fits[passed]], apart[passed]
 
 
-def groups(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def groups(pairs: DataFrame, rows: DataFrame, sets: DataFrame, signed: DataFrame, percent: int, keys_of: Callable) -> DataFrame:
     """(node, label): components of all pairs in a bucket that overlap by ``percent`` or more. ``pairs`` and ``rows`` as
-    ``buckets`` gives them, settled; what has no link may be absent."""
+    ``buckets`` gives them, settled; ``signed``: t and sig; what has no link may be absent."""
     tried = pairs
     links = settle(verified(pairs, sets, percent))
     labels, nearest = components(links), NEAREST
@@ -170,7 +176,8 @@ def groups(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) ->
         named = settle(named.join(sizes, "tok"))
         if named.isEmpty():
             return labels
-        found = settle(compared(named, sets, percent, nearest))
+        mixed = sets.select("t", "n", "bm").join(signed, "t")
+        found = settle(compared(named, mixed, percent, nearest, keys_of))
         fresh = settle(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         new = settle(verified(fresh, sets, percent))
         tried = settle(tried.unionByName(fresh))

@@ -58,6 +58,10 @@ def keys(symbols: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def keys_of(sigs: list[bytes]) -> np.ndarray:
+    return keys(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, HASHES))
+
+
 def identify(texts: pa.StringArray) -> tuple[list[int], list[np.ndarray]]:
     sets = shingle_ids(texts, WIDTH)
     return [set_id(s) for s in sets], sets
@@ -91,8 +95,7 @@ def postings(texts: DataFrame, wanted=None) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)
-            found, t = keys(symbols).ravel(), np.repeat(batch.column(0).to_numpy(), HASHES)
+            found, t = keys_of(batch.column(1).to_pylist()).ravel(), np.repeat(batch.column(0).to_numpy(), HASHES)
             if wanted is not None:
                 hit = wanted.value.hit(found)
                 found, t = found[hit], t[hit]
@@ -130,7 +133,7 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs, rows = links.buckets(lambda wanted: postings(texts, wanted), percent)
     pairs = settle(under_threshold(pairs, texts))
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).union(rows.select("t")).distinct())
-    labels = links.groups(pairs, rows, links.sets_of(docs, ends, identify), percent)
+    labels = links.groups(pairs, rows, links.sets_of(docs, ends, identify), texts.select("t", "sig"), percent, keys_of)
     named = texts.select("t", "least").join(labels.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("label", "t").alias("label"), "least")
     named = settle(named)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
