@@ -117,3 +117,76 @@ def test_precision_of_a_document():
     assert of()["numeric_precision_pct"] == 100.0
     assert of(numeric_precision_few_shot=0.5, numeric_precision_zero_shot=0.9, unverified_numbers_few_shot=[1.0])["numeric_precision_pct"] == 50.0
     assert of(numeric_precision_zero_shot=0.9)["strategy_used"] == "zero-shot"
+
+
+def test_scrubber_of_built_ins_is_the_plain_one(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from trailweave.functions import text as tx
+
+    rng, known = random.Random(3), [5.0, 12.0, 40.0, 0.0]
+    parts = ["12", "5.5", "5,2", "Z_S1", "x9", " ", "  ", ".", ",", "%", "n\n", "\t", "1,000", "40", "é7", "0", "0.05", "-3", "a", "1.2.3"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(600)] + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for whole in (False, True):
+        got = [r[0] for r in df.select(tx.sanitize_column(F.col("t"), known, whole)).collect()]
+        assert got == [tx.sanitize(t, known, whole) for t in texts]
+    assert df.select(tx.sanitize_column(F.lit(None).cast("string"), known)).first()[0] is None
+
+
+def test_first_object_is_the_plain_one(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from trailweave.functions import text as tx
+    from trailweave.plans.insights import _json
+
+    texts = ['{"k": 1}', 'no {x} then {} and {"a": {"b": "}{"}} - end {"c": 2}', "```json\n{\"k\": [1, 2]}\n```", "nothing", "", '{"open": 1', '{ {"in": 3}']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.first_object(F.col("t"))).collect()]
+    assert [json.loads(x) if x else {} for x in got] == [_json(t) for t in texts] and got[3] is None
+
+
+def test_flat_numbers_are_the_plain_ones(spark):
+    import json
+    from collections import Counter
+
+    from trailweave.functions import text as tx
+    from trailweave.plans.insights import values
+
+    docs = [{"a": 1, "b": [2.5, "3 of 1,000", True, None, {"c": {"d": ["7 %", [], {}]}}]}, [], {}, "12 and 13", 4, True, None, {"5": "x6 7"}]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)] + [(99, "not {json"), (98, None)]
+    got = tx.flat_numbers(spark.createDataFrame(rows, "id int, doc string"), "doc").collect()
+    assert Counter((r.id, r.number) for r in got) == Counter((i, x) for i, d in enumerate(docs) for x in values(d))
+
+
+def test_token_stream_and_its_errors(monkeypatch):
+    """The model's answer comes as lines of JSON; no server, a time-out and an empty answer are told apart."""
+    import io
+    import urllib.error
+    import urllib.request
+
+    from trailweave.plans import insights
+
+    asked = []
+
+    def answer(lines):
+        def opened(request, timeout=None):
+            asked.append((request, timeout))
+            if isinstance(lines, Exception):
+                raise lines
+            return io.BytesIO(lines)
+
+        return opened
+
+    def call(system, text):
+        return insights.http_model("http://localhost:1/api", "small")(system, text)
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer(b'{"response": "Peak "}\n{"response": "12", "done": true}\n'))
+    assert call("be brief", "when?") == "Peak 12" and asked[0][1] == 600
+    for wrong in (urllib.error.URLError("refused"), TimeoutError(), b'{"response": "", "done": true}\n'):
+        monkeypatch.setattr(urllib.request, "urlopen", answer(wrong))
+        with pytest.raises(RuntimeError):
+            call("be brief", "when?")

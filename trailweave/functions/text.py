@@ -76,7 +76,7 @@ def sanitize_column(text: Column, values: Iterable[float], whole_tokens: bool =
         before = F.get(between, i)
         keep = verified(F.replace(token, F.lit(","), F.lit(".")).cast("double"), list(values))
         if whole_tokens:
-            keep = keep | before.rlike(r"[\p{L}\p{N}_]$")
+            keep = keep | before.rlike(r"[\p{L}\p{N}_]\z")
         return F.concat(before, F.when(keep, token).otherwise(""))
 
     joined = F.concat(F.array_join(F.transform(tokens, piece), ""), F.get(between, F.size(tokens)))

@@ -2,12 +2,15 @@
 detections, and its distributed form.
 
 Every match needs equal gender and a gap under the island gap, so (gender, island) groups hold all eligible
-pairs; no group needs another one. Ties go to the higher score, then the later sighting, then the lesser id,
+pairs; no group needs another one. A busy store has islands of days: those of more than ``most_at_once`` detections
+are cut into epochs, which run apart, each on a guess of the trajectories alive at its beginning, and run again
+where the epoch before leaves others than guessed. Ties go to the higher score, then the later sighting, then the lesser id,
 and detections are ordered by (time, id): results do not depend on partitions.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions.scalar import age_code
+from trailweave.operators.common import settle
 from trailweave.operators.temporal import dense_numbers, islands
 from trailweave.schema import ENTRANCES, EXITS, SECOND, ZONE_KINDS, StitchConfig, TRAJECTORY, Zones
 
@@ -172,43 +176,102 @@ def dropped_row(row: tuple) -> tuple:
     return tagged_row("d", **dict(zip(("event_id", "ts_ns", "zone_id", "gender", "why"), row)))
 
 
-def tagged(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
-    """All that pass 1 gives, in one run of the kernel over each (gender, island), in one sorted pass over each
-    partition; only the live trajectories of one island are in memory. Islands need be no coarser than the
-    longest match window. ``parts`` tells the outputs apart."""
+EPOCH = "island long, epoch int, state string"
+
+
+def in_epochs(detections: DataFrame, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """Detections with their island, their epoch in it (of equal length in time, from 0), the last one's number and
+    the time at which the epoch ends."""
     known = islands(detections.where("gender is not null").select(*DETECTION), ["gender"], "ts_ns", (c.still_gap + 1) * SECOND, 86_400 * SECOND)
+    size = known.groupBy("gender", "island").agg(F.count("*").alias("n"), F.min("ts_ns").alias("begin"), (F.max("ts_ns") + 1).alias("end"))
+    size = size.select("gender", "island", "begin", "end", F.ceil(F.col("n") / c.most_at_once).cast("int").alias("n_epochs"))
+    length = F.ceil((F.col("end") - F.col("begin")) / F.col("n_epochs")).cast("long")
+    epoch = F.call_function("div", F.col("ts_ns") - F.col("begin"), length).cast("int")
+    known = known.join(size, ["gender", "island"]).select(
+        *DETECTION, "island", epoch.alias("epoch"), (F.col("n_epochs") - 1).alias("last"), (F.col("begin") + (epoch + 1) * length).alias("until")
+    )
     lone = detections.where("gender is null").select(*DETECTION, F.pmod(F.xxhash64("event_id"), F.lit(1024)).alias("island"))  # they match nobody
-    rows = known.select(*DETECTION, "island").unionByName(lone)
-    rows = rows.repartition("gender", "island").sortWithinPartitions("gender", "island", "ts_ns", "event_id")
-    names = ["tag", *TAGGED_REST]
+    none = F.lit(0)
+    return known.unionByName(lone.select("*", none.alias("epoch"), none.alias("last"), none.cast("long").alias("until")))
+
+
+def _frozen(live: list[Live]) -> str:
+    return json.dumps([[t.id, t.gender, t.age, t.zone, t.seen, t.moving, t.complete, t.visits] for t in sorted(live, key=lambda t: t.id)])
+
+
+def _run_epochs(rows: DataFrame, zones: Zones, c: StitchConfig) -> DataFrame:
+    """The kernel over each (gender, island, epoch), one sorted pass over each partition. A row with a ``state`` comes
+    first and tells who is alive. Of all epochs but an island's last, the state at the end is a row 's'."""
+    keys = ["gender", "island", "epoch"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("state").isNull(), "ts_ns", "event_id")
+    names = ["tag", *TAGGED_REST, "island", "epoch", "state"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernel, key, out, counts = None, None, [], {}
+        kernel, key, over, out = None, None, None, []
+
+        def put(rows: Iterator[tuple]) -> None:
+            out.extend((*row, *key[1:], None) for row in rows)
 
         def close() -> None:
-            out.extend(trajectory_row(t.row()) for t in kernel.flush())
-            for k, n in kernel.counts.items():
-                counts[k] = max(counts.get(k, 0), n) if k.startswith("max_") else counts.get(k, 0) + n
+            last, until = over
+            if last:
+                put(trajectory_row(t.row()) for t in kernel.flush())
+            else:
+                kernel.pruned_at = None
+                put(trajectory_row(t.row()) for t in kernel._prune(until))
+                out.append((*tagged_row("s", gender=key[0]), *key[1:], _frozen(kernel.live)))
+            put(tagged_row("c", gender=key[0], counter=k, n=n) for k, n in sorted(kernel.counts.items()))
 
         for pdf in batches:
-            for event, at, zone, kind, duration, gender, age, label, island in pdf.itertuples(index=False, name=None):
+            for event, at, zone, kind, duration, gender, age, label, island, epoch, last, until, state in pdf.itertuples(index=False, name=None):
                 gender = None if pd.isna(gender) else gender
-                if kernel is None or (gender, island) != key:
+                if kernel is None or (gender, island, epoch) != key:
                     if kernel is not None:
                         close()
-                    kernel, key = Kernel(zones, c), (gender, island)
-                out.extend(trajectory_row(t.row()) for t in kernel.feed(str(event), int(at), zone, kind, None if pd.isna(duration) else int(duration), gender, int(age), label))
-                if kernel.dropped:
-                    out.extend(map(dropped_row, kernel.dropped))
-                    kernel.dropped.clear()
+                    kernel, key, over = Kernel(zones, c), (gender, island, epoch), (epoch == last, until)
+                if not pd.isna(state):
+                    kernel.live = [Live(*x) for x in json.loads(state)]
+                    continue
+                put(trajectory_row(t.row()) for t in kernel.feed(str(event), int(at), zone, kind, None if pd.isna(duration) else int(duration), gender, int(age), label))
+                put(map(dropped_row, kernel.dropped))
+                kernel.dropped.clear()
             yield pd.DataFrame(out, columns=names, dtype=object)
             out.clear()
         if kernel is not None:
             close()
-        out.extend(tagged_row("c", counter=k, n=n) for k, n in sorted(counts.items()))
         yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return rows.select(*DETECTION, "island").mapInPandas(run, TAGGED)
+    return rows.mapInPandas(run, f"{TAGGED}, {EPOCH}")
+
+
+def tagged(detections: DataFrame, zones: Zones, c: StitchConfig = StitchConfig()) -> DataFrame:
+    """All that pass 1 gives; ``parts`` tells the outputs apart.
+
+    The kernel runs over each epoch of each island, at first as if nobody were alive when it begins. Then each
+    epoch is given what the one before has left, and those that were given something else run again, until none
+    was. An island in one epoch, the usual case, runs once. Once an epoch is right, so is what it leaves; so a
+    round settles one more epoch at least, and as trajectories end, a wrong guess is soon forgotten.
+    """
+    keys = ["gender", "island", "epoch"]
+    rows = settle(in_epochs(detections, c).withColumn("state", F.lit(None).cast("string")))
+    every, given = settle(_run_epochs(rows, zones, c)), None
+    while True:
+        left = every.where("tag = 's'").select("gender", "island", (F.col("epoch") + 1).alias("epoch"), "state")
+        if given is None:
+            changed = left.where("state <> '[]'")
+        else:
+            changed = left.join(given.withColumnRenamed("state", "before"), keys, "left").where("coalesce(before, '[]') <> state").select(*left.columns)
+        changed = settle(changed)
+        if changed.isEmpty():
+            return every.where("tag <> 's'").select("tag", *TAGGED_REST)
+        again = rows.join(changed.select(*keys), keys, "left_semi").select(*rows.columns)
+        alive = again.groupBy(*keys).agg(F.first("last").alias("last"), F.first("until").alias("until")).join(changed, keys)
+        blank = {"event_id": -1, "ts_ns": -1, "age_code": 0}  # no nulls among numbers, which pandas would make floats
+        blanks = [F.lit(blank.get(x)).cast(again.schema[x].dataType).alias(x) for x in DETECTION if x != "gender"]
+        new = _run_epochs(again.unionByName(alive.select(*keys, "last", "until", "state", *blanks)), zones, c)
+        kept = every.join(changed.select(*keys), keys, "left_anti").select(*every.columns)
+        every = settle(kept.unionByName(new))
+        given = changed if given is None else settle(given.join(changed.select(*keys), keys, "left_anti").unionByName(changed))
 
 
 def parts(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

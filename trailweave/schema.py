@@ -103,6 +103,7 @@ class StitchConfig:
     sweep_teleport: int = 120
     sweep_bin: int = 600
     island_gap: int = 7200
+    most_at_once: int = 200_000
     graph_features: bool = True
 
 
