@@ -168,16 +168,22 @@ def slow_chunks(lines):
     return list(zip([0, *ends], [*ends, len(lines)]))
 
 
+def has_words(line):
+    return bool(line.strip(" \t\n\r\x0b\x0c"))
+
+
 def line_oracle(rows):
-    """Lines that go, by id and text, over dictionaries of texts."""
+    """Lines that go, by id and text, over dictionaries of texts: by the definition of chunks."""
     places = sorted({(i, xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63), t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     first, gone = {}, defaultdict(set)
     for i, _, t in places:
         lines = t.split("\n")
-        for start, end in slow_chunks(lines):
-            body = tuple(lines[start:end])
-            if not "".join(body).strip(" \t\n\r\x0b\x0c"):
+        for lo, end in slow_chunks(lines):
+            two = [k for k in range(end) if has_words(lines[k])][-2:]
+            if len(two) < 2 or two[1] < lo:
                 continue
+            start, end = two[0], two[1] + 1
+            body = tuple(lines[start:end])
             if body not in first:
                 first[body] = (lines, start, end)
                 continue
@@ -188,19 +194,32 @@ def line_oracle(rows):
             while down < 8 and end + down < len(lines) and e + down < len(theirs) and theirs[e + down] == lines[end + down]:
                 down += 1
             gone[i, t].update(range(start - up, end + down))
-    out = {}
-    for (i, t), found in gone.items():
-        lines, kept = t.split("\n"), set()
-        for x in found:
-            lo = hi = x
-            while lo - 1 in found:
-                lo -= 1
-            while hi + 1 in found:
-                hi += 1
-            if sum(bool(lines[k].strip(" \t\n\r\x0b\x0c")) for k in range(lo, hi + 1)) > 1:
-                kept.add(x)
-        out[i, t] = kept
-    return out
+    return gone
+
+
+def stands_elsewhere(rows, doc, line):
+    """Plain search: the line lies in a run of two lines with words, blank ones between them at most, that stands at
+    another place as well."""
+    texts = [(i, (t or "").split("\n")) for i, t in rows]
+    lines = next(x for i, x in texts if i == doc)
+    for a in range(line + 1):
+        if not has_words(lines[a]):
+            continue
+        b = next((k for k in range(a + 1, len(lines)) if has_words(lines[k])), None)
+        if b is None or b < line:
+            continue
+        if sum(x[k : k + b - a + 1] == lines[a : b + 1] for _, x in texts for k in range(len(x))) > 1:
+            return True
+    return False
+
+
+def test_lone_repeats_beside_each_other_stay(make):
+    """One document has x, one has y, many have both, in lines of their own or as a passage."""
+    rows = []
+    for k in range(60):
+        x, y = f"the line x of {k} stands here", f"and this is line y of {k}"
+        rows += [(3 * k, f"a{k} own\n{x}\nb{k} own"), (3 * k + 1, f"c{k} own\n{y}\nd{k} own"), (3 * k + 2, f"e{k} own\n{x}\n{y}\nf{k} own")]
+    assert sum(r.n_removed_lines for r in line_dedup.line_dedup(make(rows)).collect()) == 0
 
 
 def test_line_chunks_match_brute_force(make, odd):
@@ -223,6 +242,7 @@ def test_line_chunks_match_brute_force(make, odd):
             told = {x for span in (r.removed_lines or "").split(",") if span for x in range(int(span.split("-")[0]), int(span.split("-")[-1]) + 1)}
             assert told == lost and r.n_removed_lines == len(lost) and r.n_removed_words == sum(len(lines[k].split()) for k in lost), r
             assert (clean[r.doc_id] or "") == "\n".join(x for k, x in enumerate(lines) if k not in lost)
+            assert all(stands_elsewhere(rows, r.doc_id, k) for k in lost if has_words(lines[k]))
     assert sum(r.n_removed_lines for r in got) > 80 and clean[191] == rows[-3][1]  # a line on its own stays
     assert line_dedup.line_dedup(make([])).count() == line_dedup.cleaned(make([])).count() == 0
 
@@ -242,7 +262,7 @@ def test_share_of_passages_found(make):
     whole = {n: sum(got[i] == n for i, m in where.items() if m == n) / sum(m == n for m in where.values()) for n in (3, 5, 10)}
     print(whole)
     assert sum(n for i, n in got.items() if i % 2 == 0) == 0 and all(got[i] in (0, n) for i, n in where.items())
-    assert whole[3] > 0.55 and whole[5] > 0.9 and whole[10] > 0.99, whole
+    assert whole[3] >= 0.9 and whole[5] > 0.97 and whole[10] > 0.99, whole
 
 
 def test_chunks_are_shift_resistant():

@@ -3,11 +3,13 @@
 A document's lines are cut into chunks where a rolling hash over the last WINDOW line hashes leaves less than CUTS
 when divided by OF, or after MOST_LINES lines without such a place (the maximum chunk, which only texts of one repeated line
 reach). The cuts depend on the lines around them alone, so inside a repeated passage they fall on the same lines
-wherever the passage stands. Chunks are counted over the whole corpus by a 128-bit hash; where one repeats, the
-bytes are compared with those of its first place, and all equal ones but the first are repeats. Each repeat is an
-anchor: it grows up and down, line by line and up to GROW lines, while its neighbours equal those of the first
-place, since a passage seldom begins and ends on a cut. Of what is found, runs of two lines or more that have
-words are removed; a line that repeats on its own is no passage and stays.
+wherever the passage stands. A chunk is known by its last two lines with words; one that has fewer takes in the line
+above, so what is counted is always more than one line. It is counted over the whole corpus by a 128-bit hash;
+where it repeats, the bytes are compared with those of its first place, and all equal ones but the first are
+repeats. Each repeat is an anchor: it grows up and down, line by line and up to GROW lines, while its neighbours
+equal those of the first place, since a passage seldom begins and ends on a cut. So every line that is removed lies
+in a run of two lines or more that stands as a whole at another place; a line that repeats on its own is no passage
+and stays, also beside others such.
 
 Texts stay where they are: hashes are shuffled for all chunks; bodies only for those whose hash repeats, one for
 all the copies in a part of a map task.
@@ -35,8 +37,6 @@ MASK = (1 << 64) - 1
 OLDEST = pow(BASE, WINDOW - 1, 1 << 64)
 MOST_LINES = 64
 GROW = 8
-#: Lines with words that a removed run has at least.
-LEAST_LINES = 2
 #: Texts are cut in parts of so many bytes, or one text.
 PART_BYTES = 2_000_000
 WORD_BITS = 16
@@ -60,12 +60,16 @@ def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(first line, line behind the last, text) of the chunks that are not blank."""
+    """(first line, line behind the last, text) of what each chunk is known by: its last two lines with words."""
     lines = text.split("\n")
+    worded = [i for i, x in enumerate(lines) if x.encode().strip()]  # ASCII white space, as everywhere
+    k = 0
     for start, end in chunks(lines):
-        body = "\n".join(lines[start:end])
-        if body.encode().strip():  # ASCII white space, as everywhere
-            yield start, end, body
+        before = k
+        while k < len(worded) and worded[k] < end:
+            k += 1
+        if k > before and k > 1:
+            yield worded[k - 2], worded[k - 1] + 1, "\n".join(lines[worded[k - 2] : worded[k - 1] + 1])
 
 
 def _key(text: str) -> tuple[int, int]:
@@ -167,9 +171,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = lines.select("doc_id", "row", (F.col("from") + F.col("at")).alias("line"), words_in(F.col("code")).alias("words")).distinct()
     doc = Window.partitionBy("doc_id", "row").orderBy("line")  # lines of one document
     starts = (F.coalesce(F.lag("line").over(doc), F.lit(-2)) + 1 != F.col("line")).cast("int")
-    runs = lines.withColumn("starts", starts).withColumn("run", F.sum("starts").over(doc))
-    full = F.sum((F.col("words") > 0).cast("int")).over(Window.partitionBy("doc_id", "row", "run"))
-    return runs.withColumn("full", full).where(F.col("full") >= LEAST_LINES).select("doc_id", "row", "line", "words", "run")
+    return lines.withColumn("starts", starts).withColumn("run", F.sum("starts").over(doc)).select("doc_id", "row", "line", "words", "run")
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
