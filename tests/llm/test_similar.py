@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from trailweave.llm import links, shingles
 from trailweave.llm import simhash_similar as similar
 
 
@@ -34,17 +35,17 @@ def test_a_large_group_gives_few_pairs(make, monkeypatch):
         for _ in range(i % 3):
             copy[rng.randrange(150)] = f"x{i}"
         rows.append((i, " ".join(copy)))
-    compared, overlapping = [], similar.overlapping
-    monkeypatch.setattr(similar, "overlapping", lambda docs, pairs, least: (compared.append(pairs.count()), overlapping(docs, pairs, least))[1])
+    compared, plain = [], links.verified
+    monkeypatch.setattr(links, "verified", lambda pairs, sets, percent: (compared.append(pairs.count()), plain(pairs, sets, percent))[1])
     got = {r.component_id for r in similar.similar_dedup(make(rows)).collect()}
     assert got == {0} and sum(compared) < 4 * len(rows)
 
 
 def test_dense_buckets_are_compared_whole(make, monkeypatch):
-    """Near copies whose buckets stay mixed, with bitmaps from the first round on and few members at a time."""
-    monkeypatch.setattr(similar, "DENSE", 1)
-    monkeypatch.setattr(similar, "MOST_FIRSTS", 16)
-    monkeypatch.setattr(similar, "BUCKET_PART", 20)
+    """Near copies whose buckets stay mixed, in small blocks and with few named at a time."""
+    monkeypatch.setattr(links, "BLOCK", 20)
+    monkeypatch.setattr(links, "NEAREST", 1)
+    monkeypatch.setattr(links, "GROWTH", 4)
     rng = random.Random(9)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
     rows = []
@@ -62,11 +63,11 @@ def test_bitmaps_bound_the_overlap(make, spark):
     rng = random.Random(10)
     sets = [np.unique(np.array([rng.getrandbits(63) for _ in range(n)])) for n in (1, 5, 60, 100, 119)]
     sets += [np.unique(np.r_[s, np.array([rng.getrandbits(63) for _ in range(3)])]) for s in sets]
-    rows = [(k, len(s), similar.bitmap(s).tolist()) for k, s in enumerate(sets)]
+    rows = [(k, len(s), shingles.bitmap(s).tolist()) for k, s in enumerate(sets)]
     texts = spark.createDataFrame(rows, "t long, n long, bm array<long>")
     pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
     near = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
-    got = {tuple(r) for r in similar.possible(spark.createDataFrame(pairs, "a long, b long"), texts, 0.8).collect()}
+    got = {tuple(r) for r in links.possible(spark.createDataFrame(pairs, "a long, b long"), texts, 80).collect()}
     assert near <= got and len(near) == 3 and len(got) < 8
 
 

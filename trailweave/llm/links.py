@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.bits import filter_of
@@ -68,6 +68,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, identify: Callable) -> DataFrame
     return settle(rows.join(wanted, "t", "left_semi").groupBy("t").agg(*[F.first(c).alias(c) for c in ("n", "bm", "sh")]))
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps do not rule out the overlap: a bit that differs needs an element that
+    differs."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("t").alias(side), F.col("n").alias(f"n_{side}"), F.col("bm").alias(f"bm_{side}")), side)
+    to, every = F.least(F.size("bm_a"), F.size("bm_b")), F.col("n_a") + F.col("n_b")
+
+    def folded(bits: Column) -> Column:
+        half = F.zip_with(F.slice(bits, F.lit(1), to), F.slice(bits, to + 1, to), lambda x, y: x.bitwiseOR(y))
+        return F.when(F.size(bits) > to, half).otherwise(bits)
+
+    apart = F.zip_with(folded(F.col("bm_a")), folded(F.col("bm_b")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
+    sized = (F.greatest(F.size("bm_a"), F.size("bm_b")) <= 2 * to) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return pairs.where(sized & (100 * (every - differ) >= percent * (every + differ))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their sets."""
     both = pairs
@@ -82,7 +99,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def compared(rows: DataFrame, sets: DataFrame, percent: int, nearest: int, keys_of: Callable) -> DataFrame:
     """``rows``: tok, t, label, major (the bucket's largest label), n_major and n_minor. (a, b) of other labels whose
     bitmaps do not rule them out, the nearest of each member outside the largest label; and (tok) where there were
-    more. ``sets``: t, n, bm and sig, of which ``keys_of`` makes a matrix of the keys of each t, in one order."""
+    more. ``sets``: t, n, bm and sig; ``keys_of(sigs)`` gives a function (i, ids) that tells the key of the first bucket
+    in which member i meets each of the others, in an order of buckets that is the same for all."""
     blocks = {k: F.ceil(F.col(f"n_{k}") / BLOCK).cast("int") for k in ("minor", "major")}
     small = F.col("n_major") + F.col("n_minor") <= BLOCK
     main = F.col("label") == F.col("major")
@@ -118,7 +136,7 @@ def near_members(batches: list[pa.RecordBatch], tok: int, percent: int, nearest:
     column = lambda name: table.column(name).chunk(0)
     part, t, label, n = (column(c).to_numpy() for c in ("part", "t", "label", "n"))
     main = column("main").to_numpy(zero_copy_only=False)
-    keys, bits = keys_of(column("sig").to_pylist()), column("bm")
+    meet, bits = keys_of(column("sig").to_pylist()), column("bm")
     ends = bits.offsets.to_numpy()
     data, width = bits.values.to_numpy().view(np.uint64), np.diff(ends)
     two = part[0] != part[-1]
@@ -138,7 +156,7 @@ def near_members(batches: list[pa.RecordBatch], tok: int, percent: int, nearest:
                 more_ids, more_apart = _possible(i, folded, narrow, maps[w // 2], t, label, n, part if two else None, percent)
                 ids, apart = np.r_[ids, more_ids], np.r_[apart, more_apart]
             if len(ids):  # in the first bucket that they share
-                here = keys[i][(keys[ids] == keys[i]).argmax(1)] == tok
+                here = meet(i, ids) == tok
                 ids, apart = ids[here], apart[here]
             if len(ids) > nearest:
                 more = True
@@ -166,7 +184,7 @@ def groups(pairs: DataFrame, rows: DataFrame, sets: DataFrame, signed: DataFrame
     """(node, label): components of all pairs in a bucket that overlap by ``percent`` or more. ``pairs`` and ``rows`` as
     ``buckets`` gives them, settled; ``signed``: t and sig; what has no link may be absent."""
     tried = pairs
-    links = settle(verified(pairs, sets, percent))
+    links = settle(verified(settle(possible(pairs, sets, percent)), sets, percent))
     labels, nearest = components(links), NEAREST
     while True:
         named = rows.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))

@@ -62,6 +62,12 @@ def keys_of(sigs: list[bytes]) -> np.ndarray:
     return keys(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, HASHES))
 
 
+def first_shared(sigs: list[bytes]):
+    """For ``links.compared``: the first of the keys, in their order, that two members share."""
+    every = keys_of(sigs)
+    return lambda i, ids: every[i][(every[ids] == every[i]).argmax(1)]
+
+
 def identify(texts: pa.StringArray) -> tuple[list[int], list[np.ndarray]]:
     sets = shingle_ids(texts, WIDTH)
     return [set_id(s) for s in sets], sets
@@ -133,7 +139,7 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs, rows = links.buckets(lambda wanted: postings(texts, wanted), percent)
     pairs = settle(under_threshold(pairs, texts))
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).union(rows.select("t")).distinct())
-    labels = links.groups(pairs, rows, links.sets_of(docs, ends, identify), texts.select("t", "sig"), percent, keys_of)
+    labels = links.groups(pairs, rows, links.sets_of(docs, ends, identify), texts.select("t", "sig"), percent, first_shared)
     named = texts.select("t", "least").join(labels.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("label", "t").alias("label"), "least")
     named = settle(named)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -5,44 +5,33 @@ SimHash comes first: the fingerprints of 5-word shingles go through the operator
 compared, set against set, with one text of its component. That settles groups of close copies, however
 large, at one comparison a text. Fingerprints alone can't find all pairs at 0.8 (about 10 of 64 bits differ
 there), so an exact prefix filter looks for what is left. In one order of all shingles, two sets that overlap
-by ``least`` share a shingle among the first n - ceil(least * n) + 1 of each, so only these are put in
+by 80 percent share a shingle among the first n - ceil(0.8 n) + 1 of each, so only these are put in
 buckets. Shingles seen often come last in the order, which keeps common passages out of the prefixes; the
-order changes the cost, never the result.
+order changes the cost, never the result. ``links`` finds the links among the members of buckets.
 
-In a bucket, members outside its largest group come first, those that share most before others. The first is
-compared with all members of other groups and leaves, then the next four, the next sixteen and so on, until
-one group is left. So a large group of close copies costs about one comparison a text, and no pair is given
-up because it was linked to a text unlike it. Places of the shared shingle, sizes and small bitmaps bound the
-overlap from above and rule out nearly all pairs that are no copies; only the rest has its sets compared.
-
-Shingles are hashed anew from the texts where they are needed, so neither texts nor all sets are shuffled or
-kept: light records are, and the sets of texts that are compared. Texts equal after lower-casing A-Z are one.
+Texts are read a fixed number of times: for fingerprints, three times for prefixes and once for the sets of what
+is in a bucket. Light records are shuffled, and the sets of texts that are compared. Texts equal after
+lower-casing A-Z are one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, simhash
-from trailweave.llm.bits import filter_of
+from trailweave.llm import exact_dedup, links, simhash
+from trailweave.llm.bits import filter_of, may_hold
 from trailweave.llm.common import free_memory, settle
-from trailweave.llm.components import components
-from trailweave.llm.shingles import bitmap, lists, parts, shingle_ids, text_ids
+from trailweave.llm.shingles import parts, shingle_ids, text_ids
 
 WIDTH = 5
-LEAST = 0.8
+PERCENT = 80
 #: A shingle in more prefixes than this goes behind the rarer ones.
 OFTEN = 8
-#: Each round compares so many times more members of a bucket with the rest than the one before.
-GROWTH = 16
-#: A bucket's first members are chosen in so many parts, then among the parts' first.
-PARTS = 32
-#: From this number of first members on, a round compares bitmaps in map tasks; more than MOST_FIRSTS are left
-#: to later rounds. Large buckets are dealt out in parts of about BUCKET_PART members.
-DENSE, MOST_FIRSTS, BUCKET_PART = 256, 4096, 20_000
+
+
 def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
     """Rows that ``row(t, shingles)`` gives for each text, as a list of column arrays."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -58,31 +47,35 @@ def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, t (the text's hash), n (its shingles), fp (the fingerprint of its shingles) and bm (its bitmap)."""
+    """doc_id, t (the text's hash), n (its shingles) and fp (the fingerprint of its shingles)."""
 
     def run(batches):
         free_memory()
         for batch in batches:
             for at, texts in parts(batch.column(1)):
-                sets = shingle_ids(texts, WIDTH)
+                sizes = list(map(len, shingle_ids(texts, WIDTH)))
                 fps = [simhash.fingerprint(t, WIDTH) for t in texts.to_pylist()]
-                columns = [pa.array(x, pa.int64()) for x in (text_ids(texts), list(map(len, sets)), fps)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns, lists(list(map(bitmap, sets)))], ["doc_id", "t", "n", "fp", "bm"])
+                columns = [pa.array(x, pa.int64()) for x in (text_ids(texts), sizes, fps)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], ["doc_id", "t", "n", "fp"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n long, fp long, bm array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n long, fp long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def prefix(n: np.ndarray, least: float) -> np.ndarray:
-    return np.maximum(n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0) * (n > 0)
+def identify(texts: pa.StringArray) -> tuple[list[int], list[np.ndarray]]:
+    return text_ids(texts), shingle_ids(texts, WIDTH)
+
+
+def prefix(n: int, percent: int) -> int:
+    """How many of n shingles one must share with any set that overlaps by ``percent``."""
+    return n + 1 - -(-percent * n // 100) if n else 0
 
 
-def postings(docs: DataFrame, least: float) -> DataFrame:
-    """Buckets of at least two texts: tok, t, n (shingles of t), pos (of tok in t's order) and shared (how
-    large t's buckets are in all)."""
+def postings(docs: DataFrame, percent: int) -> DataFrame:
+    """(tok, t): the prefixes of all texts, without shingles that only one has."""
 
     def plain(ts, sets):
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *[s[: prefix(np.array(len(s)), least)] for s in sets]]))]
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *[s[: prefix(len(s), percent)] for s in sets]]))]
 
     seen = _scan(docs, "tok long", plain).groupBy("tok").agg(F.count("*").alias("n"))
     seen = settle(seen.where("n > 1"))  # of the shingles' number, few
@@ -90,183 +83,52 @@ def postings(docs: DataFrame, least: float) -> DataFrame:
 
     def ordered(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The prefix with frequent shingles last, and which of it the plain order has not."""
-        size = int(prefix(np.array(len(s)), least))
+        size = prefix(len(s), percent)
         late = often.value.hit(s)
         first = np.flatnonzero(~late)[:size]
         at = np.concatenate([first, np.flatnonzero(late)[: size - len(first)]])
         return s[at], at >= size
 
     def moved(ts, sets):
-        parts = [x[new] for x, new in map(ordered, sets)]
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))]
+        found = [x[new] for x, new in map(ordered, sets)]
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *found]))]
 
     more = _scan(docs, "tok long", moved).distinct()
     wanted = filter_of(settle(seen.select("tok").unionByName(more)))
 
     def posted(ts, sets):
-        parts = [(x, wanted.value.hit(x)) for x, _ in map(ordered, sets)]
-        each = np.array([int(hit.sum()) for _, hit in parts], np.int64)
-        none = np.zeros(0, np.int64)
-        columns = [
-            np.concatenate([none, *[x[hit] for x, hit in parts]]),
-            np.repeat(np.array(ts, np.int64), each),
-            np.repeat(np.array([len(s) for s in sets], np.int64), each),
-            np.concatenate([none, *[np.flatnonzero(hit) for _, hit in parts]]),
-        ]
-        return [pa.array(c, pa.int64()) for c in columns]
-
-    rows = settle(_scan(docs, "tok long, t long, n long, pos long", posted).distinct())
-    size = rows.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
-    rows = settle(rows.join(size, "tok"))
-    shared = rows.groupBy("t").agg(F.sum("size").alias("shared"))
-    return settle(rows.drop("size").join(shared, "t"))
-
-
-def first_members(rows: DataFrame, width: int) -> DataFrame:
-    """Of each bucket the ``width`` members to compare with the rest: those of its largest group last."""
-    order = [F.col("label") == F.col("major"), F.desc("shared"), F.col("t")]
-    part = F.pmod(F.xxhash64("t"), F.lit(PARTS))
-    for keys in (["tok", part], ["tok"]):
-        rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("turn") <= width)
-    return rows.drop("turn")
-
-
-def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs``: texts, each once. ``texts``: their t, n, fp, bm. (node, label) of the components of all pairs
-    that overlap by ``least`` or more; what is in no pair may be absent."""
-    spark = docs.sparkSession
-    tried = settle(by_fingerprints(texts))
-    links = settle(overlapping(docs, tried, least))
-    labels = components(links)
-    rows, width = postings(docs, least), 1
-    while True:
-        rows = rows.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
-        sizes = rows.groupBy("tok", "label").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("tok").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"))
-        rows = settle(rows.join(sizes.where("labels > 1").drop("labels"), "tok"))
-        if rows.isEmpty():
-            return labels
-        firsts = settle(first_members(rows, width))
-        pairs = dense_pairs(rows, firsts, texts, least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
-        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        found = settle(overlapping(docs, pairs, least))
-        tried = settle(tried.unionByName(pairs))
-        if not found.isEmpty():
-            links = settle(links.unionByName(found))
-            labels = components(links)
-        rows = rows.drop("label", "major").join(firsts.select("tok", "t"), ["tok", "t"], "left_anti")
-        width = min(width * GROWTH, MOST_FIRSTS)
-
-
-def sparse_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs of first members with members of other groups that places, sizes and bitmaps do not rule out."""
-    one = firsts.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("t", "n", "pos", "label")])
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos"))
-    fits = (F.col("label") != F.col("label_a")) & (most >= (F.col("n_a") + F.col("n")) * (least / (1 + least)) - 1e-9)
-    pairs = one.join(rows, "tok").where(fits)
-    pairs = pairs.select(F.least("t_a", "t").alias("a"), F.greatest("t_a", "t").alias("b")).distinct()
-    return possible(pairs, texts, least)
-
-
-def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """What ``sparse_pairs`` gives, for buckets with many members: they stream past the bucket's first members
-    (MOST_FIRSTS at most are held), and only pairs that pass leave the task."""
-    size = rows.groupBy("tok").agg(F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts"))
-    columns = ["tok", "t", "n", "pos", "label"]
-    every = rows.select(*columns).join(size, "tok").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
-    held = firsts.select(*columns).join(size, "tok").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = held.withColumn("later", F.lit(0)).unionByName(every.withColumn("later", F.lit(1))).drop("parts").join(texts.select("t", "bm"), "t")
-    both = both.select(*columns, "part", "later", "bm").repartition("tok", "part").sortWithinPartitions("tok", "part", "later")
-
-    def run(batches):
-        free_memory()
-        at, held = None, {}
-        for batch in batches:
-            tok, t, n, pos, label, part, later = (batch.column(i).to_numpy() for i in range(7))
-            ends = batch.column(7).offsets.to_numpy()
-            bits = batch.column(7).values.to_numpy()[: ends[-1]].view(np.uint64)
-            longs = np.diff(ends)
-            starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1]) | (later[1:] != later[:-1]) | (longs[1:] != longs[:-1])])
-            found = [np.zeros((0, 2), np.int64)]
-            for s, e in zip(starts, np.r_[starts[1:], len(tok)]):
-                if (tok[s], part[s]) != at:
-                    at, held = (tok[s], part[s]), {}
-                block = (t[s:e], n[s:e], pos[s:e], label[s:e], bits[ends[s] : ends[e]].reshape(e - s, -1))
-                if later[s]:
-                    found += [near_in_blocks(mine, block, least) for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for mine in many]
-                else:
-                    held.setdefault(int(longs[s]), []).append(tuple(x.copy() for x in block))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
-    """Pairs of two blocks of a bucket (t, n, pos, label, bitmaps of one size) that may overlap by ``least``."""
-    t1, n1, pos1, label1, bits1 = ones
-    t2, n2, pos2, label2, bits2 = others
-    width = min(bits1.shape[1], bits2.shape[1])
-    bits1, bits2 = (b if b.shape[1] == width else b[:, :width] | b[:, width:] for b in (bits1, bits2))
-    out = [np.zeros((0, 2), np.int64)]
-    for i in range(len(t1)):
-        every = n1[i] + n2
-        fits = (label2 != label1[i]) & (np.minimum(n1[i] - pos1[i], n2 - pos2) * (1 + least) >= least * every - 1e-6)
-        at = np.flatnonzero(fits)
-        if len(at):
-            differ = np.bitwise_count(bits2[at] ^ bits1[i]).sum(1, dtype=np.int64)
-            at = at[(every[at] - differ) * (1 + least) >= 2 * least * every[at] - 1e-6]
-            out.append(np.stack([np.minimum(t1[i], t2[at]), np.maximum(t1[i], t2[at])], 1))
-    return np.concatenate(out)
-
-
-def by_fingerprints(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each text and the least one of its component of fingerprints at most 2 bits apart."""
-    points = settle(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")))
-    rep = simhash.point_groups(points).withColumnRenamed("component", "a")
-    return texts.where("n > 0").select("fp", F.col("t").alias("b")).join(rep, "fp").where("a <> b").select("a", "b")
+        found = [x[wanted.value.hit(x)] for x, _ in map(ordered, sets)]
+        t = np.repeat(np.array(ts, np.int64), [len(x) for x in found])
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(t)]
 
+    return settle(_scan(docs, "tok long, t long", posted).distinct())
 
-def _fold(bits: Column, to: Column) -> Column:
-    """A bitmap of twice the size brought to ``to`` longs."""
-    half = F.zip_with(F.slice(bits, F.lit(1), to), F.slice(bits, to + 1, to), lambda x, y: x.bitwiseOR(y))
-    return F.when(F.size(bits) > to, half).otherwise(bits)
 
+def first_shared(sigs: list[list[int]]):
+    """For ``links.compared``: the least key that two members share. ``sigs`` are sorted."""
+    every = [np.array(s, np.int64) for s in sigs]
+    return lambda i, ids: np.array([np.intersect1d(every[i], every[k], assume_unique=True)[0] for k in ids], np.int64)
 
-def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose bitmaps do not rule out the overlap: a bit that differs needs a shingle that differs."""
-    for side in "ab":
-        pairs = pairs.join(texts.select(F.col("t").alias(side), F.col("n").alias(f"n_{side}"), F.col("bm").alias(f"bm_{side}")), side)
-    to = F.least(F.size("bm_a"), F.size("bm_b"))
-    apart = F.zip_with(_fold(F.col("bm_a"), to), _fold(F.col("bm_b"), to), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
-    every = F.col("n_a") + F.col("n_b")
-    near = F.greatest(F.size("bm_a"), F.size("bm_b")) <= 2 * to
-    return pairs.where(near & ((every - differ) * (1 + least) >= 2 * least * every - 1e-6)).select("a", "b")
 
+def similar_groups(docs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs``: texts, each once. ``texts``: their t, n, fp. (node, label) of the components of all pairs
+    that overlap by ``percent`` or more; what is in no pair may be absent."""
+    every = postings(docs, percent)
+    pairs, rows = links.buckets(lambda wanted: every if wanted is None else every.where(may_hold(wanted, F.col("tok"))), percent)
+    pairs = settle(by_fingerprints(texts).union(pairs).distinct())
+    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).union(rows.select("t")).distinct())
+    signed = settle(every.join(rows.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sort_array(F.collect_list("tok")).alias("sig")))
+    return links.groups(pairs, rows, links.sets_of(docs, ends, identify), signed, percent, first_shared)
 
-def overlapping(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets of shingles overlap by ``least``, sets compared in full. Only the sets of texts in
-    pairs leave their map tasks."""
-    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
-    wanted = filter_of(ends)
 
-    def row(ts, sets):
-        ts = np.array(ts, np.int64)
-        hit = wanted.value.hit(ts)
-        return [pa.array(ts[hit]), lists([s for s, h in zip(sets, hit) if h])]
-
-    if ends.isEmpty():
-        return pairs
-    sets = settle(_scan(docs, "t long, sh array<long>", row).join(ends, "t", "left_semi"))
-    both = pairs
-    for side in "ab":
-        both = both.join(sets.select(F.col("t").alias(side), F.col("sh").alias(f"sh_{side}")), side)
-    shared = F.size(F.array_intersect("sh_a", "sh_b"))
-    return both.where(shared >= least * (F.size("sh_a") + F.size("sh_b") - shared)).select("a", "b").distinct()
+def by_fingerprints(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text and the least one of its component of fingerprints at most 2 bits apart."""
+    points = settle(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")))
+    rep = simhash.point_groups(points).withColumnRenamed("component", "a")
+    return texts.where("n > 0").select("fp", F.col("t").alias("b")).join(rep, "fp").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def similar_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id and component_id, the least doc_id of those joined by equal texts and similar links.
 
     Null text counts as empty; texts without words form one group with each other only if equal. Texts of any
@@ -274,10 +136,10 @@ def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     on the order of pairs; an empty table gives an empty result; other columns are ignored.
     """
     marked = settle(marks(docs))
-    texts = marked.groupBy("t").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "bm")], F.count("*").alias("copies"))
+    texts = marked.groupBy("t").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp")], F.count("*").alias("copies"))
     texts = settle(texts)
     single = docs if texts.where("copies > 1").isEmpty() else exact_dedup.kept_rows(docs)
-    labels = similar_groups(single, texts.select("t", "n", "fp", "bm"), least)
+    labels = similar_groups(single, texts.select("t", "n", "fp"), percent)
     grouped = texts.select("t", "least").join(labels.withColumnRenamed("node", "t"), "t", "left")
     grouped = settle(grouped.select("t", F.coalesce("label", "t").alias("label"), "least"))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -285,7 +147,7 @@ def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return marked.select("doc_id", "t").join(ids, "t").select("doc_id", "component_id")
 
 
-def kept_rows(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def kept_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of ``similar_dedup``, with all its columns. Rows that repeat a kept id with the
     same text count as one; with other texts they stay. An empty table gives an empty result."""
-    return simhash.one_of_each(docs, similar_dedup(docs, least))
+    return simhash.one_of_each(docs, similar_dedup(docs, percent))
