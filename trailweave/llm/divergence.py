@@ -32,7 +32,7 @@ ROWS, CELLS_A_DOC, LEAST_LOG, MOST_LOG = 3, 16, 16, 24
 #: Cells that are added up and shuffled together.
 SLICE = 1 << 14
 #: A task's counts are passed on when they hold so many terms, or texts of so many bytes are counted.
-MOST_TERMS, MOST_BYTES = 100_000, 16_000_000
+MOST_TERMS, MOST_BYTES = 400_000, 64_000_000
 #: ASCII letters become small, other ASCII characters separate terms, all else is part of them.
 FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 NUL = b"\0"
