@@ -32,7 +32,7 @@ ROWS, CELLS_A_DOC, LEAST_LOG, MOST_LOG = 3, 16, 16, 24
 #: Cells that are added up and shuffled together.
 SLICE = 1 << 14
 #: A task's counts are passed on when they hold so many terms, or texts of so many bytes are counted.
-MOST_TERMS, MOST_BYTES = 400_000, 64_000_000
+MOST_TERMS, MOST_BYTES = 1_000_000, 64_000_000
 #: ASCII letters become small, other ASCII characters separate terms, all else is part of them.
 FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 NUL = b"\0"
@@ -132,12 +132,17 @@ def term_counts(docs: DataFrame, least: int = LEAST, log: int | None = None) ->
         seen, size, read = defaultdict(lambda: (Counter(), Counter())), 0, 0
 
         def passed():
-            for (lang, source), (docs_of, n_of) in seen.items():
-                known = list(docs_of)
-                hit = np.ones(len(known), bool)
-                for cells in _cells(lang.encode(), known, log):
+            vocabulary = defaultdict(set)  # a term is looked up once for all sources of its language
+            for (lang, _), (docs_of, _) in seen.items():
+                vocabulary[lang].update(docs_of)
+            for lang, every in vocabulary.items():
+                every = list(every)
+                hit = np.ones(len(every), bool)
+                for cells in _cells(lang.encode(), every, log):
                     hit &= (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-                known = [t for t, h in zip(known, hit) if h]
+                vocabulary[lang] = {t for t, h in zip(every, hit) if h}
+            for (lang, source), (docs_of, n_of) in seen.items():
+                known = list(vocabulary[lang].intersection(docs_of))
                 if known:
                     columns = [pa.array([lang] * len(known)), pa.array([source] * len(known)), pa.array([t.decode() for t in known])]
                     columns += [pa.array([of[t] for t in known], pa.int64()) for of in (docs_of, n_of)]
