@@ -10,10 +10,11 @@ buckets. Shingles seen often come last in the order, which keeps common passages
 order changes the cost, never the result.
 
 In a bucket, members outside its largest group come first, those that share most before others. The first is
-compared with all members of other groups and leaves, then the next four, the next sixteen and so on, until
+compared with all members of other groups and leaves, then the next 16, the next 256 and so on (GROWTH), until
 one group is left. So a large group of close copies costs about one comparison a text, and no pair is given
 up because it was linked to a text unlike it. Places of the shared shingle, sizes and small bitmaps bound the
-overlap from above and rule out nearly all pairs that are no copies; only the rest has its sets compared.
+overlap from above and rule out nearly all pairs that are no copies; only the rest has its sets compared. Pairs found in one bucket are compared in one place, so
+a text's set goes once to each bucket that names it, not once to each of its pairs.
 
 Shingles are hashed anew from the texts where they are needed, so neither texts nor all sets are shuffled or
 kept: light records are, and the sets of texts that are compared. Texts equal after lower-casing A-Z are one.
@@ -43,6 +44,10 @@ PARTS = 32
 #: From this number of first members on, a round compares bitmaps in map tasks; more than MOST_FIRSTS are left
 #: to later rounds. Large buckets are dealt out in parts of about BUCKET_PART members.
 DENSE, MOST_FIRSTS, BUCKET_PART = 256, 4096, 20_000
+#: Sets that are compared in one place hold about so many shingles on each side, or are one set.
+CELL = 2_000_000
+
+
 def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
     """Rows that ``row(t, shingles)`` gives for each text, as a list of column arrays."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -136,7 +141,7 @@ def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> D
     that overlap by ``least`` or more; what is in no pair may be absent."""
     spark = docs.sparkSession
     tried = settle(by_fingerprints(texts))
-    links = settle(overlapping(docs, tried, least))
+    links = settle(overlapping(docs, tried.withColumn("tok", F.col("a")), least))
     labels = components(links)
     rows, width = postings(docs, least), 1
     while True:
@@ -148,9 +153,9 @@ def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> D
             return labels
         firsts = settle(first_members(rows, width))
         pairs = dense_pairs(rows, firsts, texts, least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
-        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
         found = settle(overlapping(docs, pairs, least))
-        tried = settle(tried.unionByName(pairs))
+        tried = settle(tried.unionByName(pairs.select("a", "b")))
         if not found.isEmpty():
             links = settle(links.unionByName(found))
             labels = components(links)
@@ -159,12 +164,13 @@ def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> D
 
 
 def sparse_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs of first members with members of other groups that places, sizes and bitmaps do not rule out."""
+    """Pairs of first members with members of other groups that places, sizes and bitmaps do not rule out: a, b
+    and tok, the least bucket that names them."""
     one = firsts.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("t", "n", "pos", "label")])
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos"))
     fits = (F.col("label") != F.col("label_a")) & (most >= (F.col("n_a") + F.col("n")) * (least / (1 + least)) - 1e-9)
     pairs = one.join(rows, "tok").where(fits)
-    pairs = pairs.select(F.least("t_a", "t").alias("a"), F.greatest("t_a", "t").alias("b")).distinct()
+    pairs = pairs.groupBy(F.least("t_a", "t").alias("a"), F.greatest("t_a", "t").alias("b")).agg(F.min("tok").alias("tok"))
     return possible(pairs, texts, least)
 
 
@@ -187,19 +193,21 @@ def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: flo
             bits = batch.column(7).values.to_numpy()[: ends[-1]].view(np.uint64)
             longs = np.diff(ends)
             starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1]) | (later[1:] != later[:-1]) | (longs[1:] != longs[:-1])])
-            found = [np.zeros((0, 2), np.int64)]
+            found = [np.zeros((0, 3), np.int64)]
             for s, e in zip(starts, np.r_[starts[1:], len(tok)]):
                 if (tok[s], part[s]) != at:
                     at, held = (tok[s], part[s]), {}
                 block = (t[s:e], n[s:e], pos[s:e], label[s:e], bits[ends[s] : ends[e]].reshape(e - s, -1))
                 if later[s]:
-                    found += [near_in_blocks(mine, block, least) for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for mine in many]
+                    near = [near_in_blocks(mine, block, least) for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for mine in many]
+                    found += [np.c_[x, np.full(len(x), tok[s])] for x in near]
                 else:
                     held.setdefault(int(longs[s]), []).append(tuple(x.copy() for x in block))
             pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = pairs[np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)][: len(pairs)]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["a", "b", "tok"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, tok long").groupBy("a", "b").agg(F.min("tok").alias("tok"))
 
 
 def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
@@ -235,6 +243,7 @@ def _fold(bits: Column, to: Column) -> Column:
 
 def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose bitmaps do not rule out the overlap: a bit that differs needs a shingle that differs."""
+    columns = pairs.columns
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("t").alias(side), F.col("n").alias(f"n_{side}"), F.col("bm").alias(f"bm_{side}")), side)
     to = F.least(F.size("bm_a"), F.size("bm_b"))
@@ -242,28 +251,64 @@ def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     differ = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
     every = F.col("n_a") + F.col("n_b")
     near = F.greatest(F.size("bm_a"), F.size("bm_b")) <= 2 * to
-    return pairs.where(near & ((every - differ) * (1 + least) >= 2 * least * every - 1e-6)).select("a", "b")
+    return pairs.where(near & ((every - differ) * (1 + least) >= 2 * least * every - 1e-6)).select(columns)
 
 
 def overlapping(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets of shingles overlap by ``least``, sets compared in full. Only the sets of texts in
-    pairs leave their map tasks."""
-    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
-    wanted = filter_of(ends)
+    """The pairs (settled a, b and tok, each pair once) whose sets of shingles overlap by ``least``, sets compared
+    in full. Only the sets of texts in pairs leave their map tasks.
+
+    Pairs of one tok are compared together, in as many cells, by hashes of a and b, as bound the sets that a cell
+    holds. A set goes to the cells that name it, so in a group with many pairs it moves far less often than it is
+    compared.
+    """
+    ends = settle(pairs.select("tok", F.explode(F.array("a", "b")).alias("t")).distinct())
+    if ends.isEmpty():
+        return pairs.select("a", "b")
+    wanted = filter_of(settle(ends.select("t").distinct()))
 
     def row(ts, sets):
         ts = np.array(ts, np.int64)
         hit = wanted.value.hit(ts)
         return [pa.array(ts[hit]), lists([s for s, h in zip(sets, hit) if h])]
 
-    if ends.isEmpty():
-        return pairs
     sets = settle(_scan(docs, "t long, sh array<long>", row).join(ends, "t", "left_semi"))
-    both = pairs
-    for side in "ab":
-        both = both.join(sets.select(F.col("t").alias(side), F.col("sh").alias(f"sh_{side}")), side)
-    shared = F.size(F.array_intersect("sh_a", "sh_b"))
-    return both.where(shared >= least * (F.size("sh_a") + F.size("sh_b") - shared)).select("a", "b").distinct()
+    size = ends.join(sets.select("t", F.size("sh").alias("n")), "t").groupBy("tok").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
+    i, j = (F.pmod(F.xxhash64(side), F.col("cells")).cast("int").alias(name) for side, name in (("a", "i"), ("b", "j")))
+    asked = pairs.join(size, "tok").select("tok", i, j, "a", "b")
+    held = asked.select("tok", "i", "j", F.explode(F.array("a", "b")).alias("b")).distinct().join(sets.withColumnRenamed("t", "b"), "b")
+    both = held.withColumn("a", F.lit(None).cast("long")).unionByName(asked.withColumn("sh", F.lit(None).cast("array<long>")))
+    both = both.select("tok", "i", "j", "a", "b", "sh").repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "a")  # sets, without a, come first
+
+    def run(batches):
+        free_memory()
+        at, known = None, {}
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            a, b, sh = batch.column(3), batch.column(4).to_numpy(), batch.column(5)
+            is_set, a = a.is_null().to_numpy(zero_copy_only=False), a.fill_null(0).to_numpy()
+            ends, data = sh.offsets.to_numpy(), sh.values.to_numpy()
+            found = []
+            for k, key in enumerate(map(tuple, keys.tolist())):
+                if key != at:
+                    at, known = key, {}
+                if is_set[k]:
+                    known[b[k]] = data[ends[k] : ends[k + 1]].copy()
+                elif overlap(known[a[k]], known[b[k]], least):
+                    found.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def overlap(one: np.ndarray, other: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets overlap by ``least``."""
+    if len(one) > len(other):
+        one, other = other, one
+    if not len(one) or len(one) < least * len(other):
+        return False
+    shared = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
+    return shared >= least * (len(one) + len(other) - shared)
 
 
 def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
