@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from trailweave.llm import simhash_similar as similar
 
@@ -116,3 +117,18 @@ def test_copies_by_cutting_and_repeating(make):
     expected = brute_groups(rows)
     assert all(expected[k + i] == i for i in range(60) for k in (1000, 2000))
     assert {r.doc_id: r.component_id for r in similar.similar_dedup(make(rows)).collect()} == expected
+
+
+def test_cells_compare_all_pairs(spark, monkeypatch):
+    """Sets dealt over many cells give what whole sets give, also where two buckets name texts alike."""
+    monkeypatch.setattr(similar, "CELL", 100)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:k] + ["x"] * (k % 3) + words[k + k % 5 :]) for k in range(24)]
+    ids, sets = similar.text_ids(pa.array(texts)), similar.shingle_ids(pa.array(texts), similar.WIDTH)
+    known = {t: set(s.tolist()) for t, s in zip(ids, sets)}
+    pairs = [(a, b, (a ^ b) % 3) for a in known for b in known if a < b]
+    want = {(a, b) for a, b, _ in pairs if len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = spark.createDataFrame(pairs, "a long, b long, tok long")
+    got = [tuple(r) for r in similar.overlapping(docs, rows, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(pairs)
