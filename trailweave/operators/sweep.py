@@ -27,11 +27,14 @@ def adjacent_zone(dropped: DataFrame, f: DataFrame, edges: DataFrame, c: StitchC
 
 
 def teleport(dropped: DataFrame, f: DataFrame, c: StitchConfig = StitchConfig(), how: str = "left_semi") -> DataFrame:
-    """Any zone and gender, but within a short time and inside the trajectory's own time bins."""
-    width = c.sweep_bin * US
-    t = f.select("end_us", F.explode(F.sequence(bucket(F.col("start_us"), width), bucket(F.col("end_us"), width))).alias("bin"))
+    """Any zone and gender, but within a short time and inside the trajectory's own time bins. Of these only the last
+    ones can hold a moment that near to its end, however long a trajectory is."""
+    width, reach = c.sweep_bin * US, c.sweep_teleport * US
+    last = bucket(F.col("end_us"), width)
+    t = f.select("end_us", F.greatest(bucket(F.col("start_us"), width), bucket(F.col("end_us") - reach, width)).alias("_low"), last.alias("_high"))
+    t = t.where("_low <= _high").select("end_us", F.explode(F.sequence("_low", "_high")).alias("bin"))
     d = dropped.withColumn("bin", bucket(F.col("entry_us"), width))
-    return near(d, t, ["bin"], "entry_us", "end_us", c.sweep_teleport * US, how).drop("bin")
+    return near(d, t, ["bin"], "entry_us", "end_us", reach, how).drop("bin")
 
 
 def residual(dropped: DataFrame, f: DataFrame, edges: DataFrame, c: StitchConfig = StitchConfig()) -> DataFrame:
