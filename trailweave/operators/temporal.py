@@ -39,15 +39,28 @@ def forward(heads: DataFrame, tails: DataFrame, keys: list[str], end: str, start
 
 
 def near(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, width: int, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join: some row of ``right`` has equal keys and lies within ``width`` on either side."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(right_at).alias("_r_at"))
-    here = bucket(F.col("_r_at"), width)
-    r = r.withColumn("_rb", F.explode(F.array(here - 1, here, here + 1)))
-    l = left.withColumn("_b", bucket(F.col(left_at), width))
-    on = (F.col("_b") == F.col("_rb")) & (F.abs(F.col(left_at) - F.col("_r_at")) <= width)
+    """Semi or anti join: some row of ``right`` has equal keys and lies within ``width`` on either side.
+
+    A row in the same bucket is near enough, of the bucket before only the latest can tell, of the next one the
+    earliest. So ``right`` shrinks to one row for each (keys, bucket), and each row of ``left`` meets at most one.
+    """
+    if how not in ("left_semi", "left_anti"):
+        raise ValueError(f"no such join: {how}")
+    r = right.where(F.col(right_at).isNotNull()).groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys], bucket(F.col(right_at), width).alias("_rb"))
+    r = r.agg(F.min(right_at).alias("_first"), F.max(right_at).alias("_final"))
+    r = r.withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_rb", F.col("_rb") + F.col("_side"))
+    r = r.groupBy(*[f"_r_{k}" for k in keys], "_rb").agg(
+        F.max(F.when(F.col("_side") == 1, F.col("_final"))).alias("_before"),
+        F.bool_or(F.col("_side") == 0).alias("_here"),
+        F.min(F.when(F.col("_side") == -1, F.col("_first"))).alias("_after"),
+    )
+    on = bucket(F.col(left_at), width) == F.col("_rb")
     for k in keys:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    return l.join(r, on, how).drop("_b")
+        on = on & (left[k] == F.col(f"_r_{k}"))
+    at = F.col(left_at)
+    found = F.coalesce(F.col("_here") | (at - F.col("_before") <= width) | (F.col("_after") - at <= width), F.lit(False))
+    joined = left.join(r, on, "inner" if how == "left_semi" else "left")
+    return joined.where(found if how == "left_semi" else ~found).select(*left.columns)
 
 
 def islands(events: DataFrame, keys: list[str], at: str, gap: int, day: int = 86_400_000_000) -> DataFrame:
