@@ -62,24 +62,24 @@ class Kernel:
     def count(self, what: str) -> None:
         self.counts[what] = self.counts.get(what, 0) + 1
 
-    def _score(self, t: Live, at: int, zone: str, age: int) -> float:
-        step, gap = abs(t.age - age), at - t.seen
-        most = (self.c.walk_gap if t.moving else self.c.still_gap) * SECOND
-        if not 0 <= gap <= most:
-            return 0.0
-        if step > 1:
-            self.count("refused_age")
-            return 0.0
-        place = 0.5 if t.zone is None else float(t.zone == zone or (t.zone, zone) in self.adjacent)
-        person = 0.5 + 0.5 * max(0.0, 1 - step / 2)
-        return self.c.weight_time * (1 - gap / most) + self.c.weight_place * place + self.c.weight_person * person
-
     def _best(self, pool: list[Live], at: int, zone: str, age: int) -> tuple[float, Live | None]:
-        best, key = None, (0.0, 0, "")
+        best, key, refused = None, (0.0, 0, ""), 0
+        still, walk = self.c.still_gap * SECOND, self.c.walk_gap * SECOND
         for t in pool:
-            if s := self._score(t, at, zone, age):
-                if best is None or (s, t.seen) > key[:2] or ((s, t.seen) == key[:2] and t.id < key[2]):
-                    best, key = t, (s, t.seen, t.id)
+            gap, most = at - t.seen, walk if t.moving else still
+            if not 0 <= gap <= most:
+                continue
+            step = abs(t.age - age)
+            if step > 1:
+                refused += 1
+                continue
+            place = 0.5 if t.zone is None else float(t.zone == zone or (t.zone, zone) in self.adjacent)
+            person = 0.5 + 0.5 * max(0.0, 1 - step / 2)
+            s = self.c.weight_time * (1 - gap / most) + self.c.weight_place * place + self.c.weight_person * person
+            if s and (best is None or (s, t.seen) > key[:2] or ((s, t.seen) == key[:2] and t.id < key[2])):
+                best, key = t, (s, t.seen, t.id)
+        if refused:
+            self.counts["refused_age"] = self.counts.get("refused_age", 0) + refused
         return key[0], best
 
     def _prune(self, at: int) -> Iterator[Live]:
