@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.operators.common import settle
+
 #: What counts as a number when claims are checked, and when they are scrubbed; the white space and
 #: the marks that are tidied after a number is gone; words of a category and the section it is checked against.
 NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+(?:\.\d+)?\b"
@@ -93,7 +95,8 @@ def first_object(text: Column) -> Column:
 def flat_numbers(docs: DataFrame, document: str, depth: int = 64) -> DataFrame:
     """One row (the other columns and ``number``) for each number in a JSON text, nested ones and those inside strings
     included; truth values, nulls and keys are none. Text that is no JSON gives no rows. Each step opens one
-    level of all documents, so there are as many steps as the deepest has levels, at most ``depth``."""
+    level of all documents, so there are as many steps as the deepest has levels, at most ``depth``. What a step leaves
+    closed is settled, so that no level is opened again for those below it."""
     keys = [c for c in docs.columns if c != document]
     v, found = docs.select(*keys, F.try_parse_json(document).alias("_v")).where("_v is not null"), None
     for _ in range(depth):
@@ -102,7 +105,7 @@ def flat_numbers(docs: DataFrame, document: str, depth: int = 64) -> DataFrame:
         number = F.when(F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("_v", "$", "double"))
         leaf = v.where(text.isNotNull() | number.isNotNull()).select(*keys, F.explode(F.coalesce(numbers(text), F.array(number))).alias("number"))
         found = leaf if found is None else found.unionByName(leaf)
-        inner = v.where(F.col("_kind").rlike("^(OBJECT|ARRAY)")).select(*keys, "_v")
+        inner = settle(v.where(F.col("_kind").rlike("^(OBJECT|ARRAY)")).select(*keys, "_v"))
         if inner.isEmpty():
             return found
         v = inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keys, F.col("value").alias("_v"))
