@@ -4,6 +4,7 @@ from array import array
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import tiktoken
 from tokenizers import Tokenizer
@@ -85,6 +86,14 @@ def test_packing_keeps_every_id_once(make, odd):
     assert packing.pack(make([]), path).count() == 0
 
 
+def test_packing_has_few_rows_as_strings_at_once():
+    rows = [(i, None if i % 7 == 0 else f"text {i}") for i in range(2 * packing.ROWS_AT_ONCE + 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    parts = list(packing.few_at_once(batch))
+    assert [len(k) for k, _ in parts] == [packing.ROWS_AT_ONCE, packing.ROWS_AT_ONCE, 5]
+    assert [x for k, t in parts for x in zip(k, t)] == [(i, t or "") for i, t in rows]
+
+
 def test_best_fit_bounds_its_windows():
     fit, rng = packing.BestFit(100, 5), random.Random(4)
     for i in range(2000):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators.common import remove, settle, shared_folder
 
-__all__ = ["fold_ascii", "free_memory", "fresh", "remove", "resident", "settle", "shared_folder", "table", "text_or_empty"]
+__all__ = ["fold_ascii", "free_memory", "fresh", "remove", "resident", "settle", "shared_folder", "table", "text_or_empty", "trim_memory"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,6 +50,11 @@ def free_memory() -> None:
     if _RESIDENT:
         _RESIDENT.clear()
         gc.collect()
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Returns free memory to the system. A worker that waits for its next task would hold it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import resident, settle
+from trailweave.llm.common import free_memory, resident, settle, trim_memory
 
 WINDOW = 2048
 OPEN = 128
@@ -31,6 +31,8 @@ END_ID = 1
 MOST_WORDS = 800_000
 #: Texts whose words are looked up together, in characters (and the one that goes beyond).
 GROUP_CHARS = 1_000_000
+#: Rows of a batch that a worker has as Python strings at a time.
+ROWS_AT_ONCE = 256
 #: Words in one text for the tokenizer, and what its vocabulary marks a word's last token with.
 JOINED = 128
 WORD_END = "</w>"
@@ -176,6 +178,13 @@ class BestFit:
             yield from held
 
 
+def few_at_once(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, a few rows at a time: a whole batch as Python strings is twice its size again."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        keys, texts = [x.to_pylist() for x in batch.slice(at, ROWS_AT_ONCE).columns]
+        yield keys, [t or "" for t in texts]
+
+
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -210,26 +219,28 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.batch(texts)):
-                ids += tail
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    size = min(window, total - start)
-                    item = (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total)
-                    for held in fit.add(size, item):
-                        told(held, False)
-            if len(rows) > 20_000:
-                yield flushed()
+            for keys, texts in few_at_once(batch):
+                for doc, ids in zip(keys, ids_of.batch(texts)):
+                    ids += tail
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        size = min(window, total - start)
+                        item = (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total)
+                        for held in fit.add(size, item):
+                            told(held, False)
+                if len(rows) > 20_000:
+                    yield flushed()
         if kind is not None:
             for held in fit.rest():
                 told(held, True)
             yield flushed()
+        trim_memory()
 
     schema = PIECES.format(id=id_type)
     pieces = settle(docs.select("doc_id", "text").mapInArrow(run, schema + ", is_open boolean"))
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        free_memory()  # the words are done with
         fit, base = BestFit(window, None), (1 << 62) + (int(key[0]) << 32)
         ends = (pdf["offset"] + pdf["length"]).groupby(pdf["sequence_id"]).max()
         ends = sorted(ends.items(), key=lambda x: (-x[1], x[0]))
