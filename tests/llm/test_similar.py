@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 
 from trailweave.llm import simhash_similar as similar
+from trailweave.operators.common import CLEAN_UP
 
 
 def test_groups_match_brute_force(make, odd):
@@ -132,3 +134,22 @@ def test_cells_compare_all_pairs(spark, monkeypatch):
     rows = spark.createDataFrame(pairs, "a long, b long, tok long")
     got = [tuple(r) for r in similar.overlapping(docs, rows, 0.8).collect()]
     assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(pairs)
+
+
+def test_steps_leave_no_shuffle_files(make, spark):
+    """Files of a step's shuffles go with the step, not when the driver collects its garbage."""
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {x for x in (blocks.apply(k).toString() for k in range(blocks.size())) if x.startswith("shuffle_")}
+
+    words = [f"w{k}" for k in range(90)]
+    docs = make([(k, " ".join(words[k : k + 40])) for k in range(50)])
+    setting, before = spark.conf.get(CLEAN_UP), shuffled()
+    got = similar.similar_dedup(docs)
+    for _ in range(100):  # they go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(CLEAN_UP) == setting
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_groups([(k, " ".join(words[k : k + 40])) for k in range(50)])

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.common import shuffles_go
+
 #: Bits for each key, and the most of all (16 MB, the bound of what is broadcast). With more keys than that many
 #: bits serve well, more passes the filter and is sorted out by the join behind it.
 PER_KEY = 16
@@ -26,15 +28,18 @@ class Bits:
 def filter_of(keys: DataFrame):
     """Broadcast ``Bits`` of a settled table of one long column with spread values. Only the words of the
     filter, at most 2 ** MOST_LOG bits, come to the driver."""
-    name, n = keys.columns[0], keys.count()
+    name, spark = keys.columns[0], keys.sparkSession
+    with shuffles_go(spark):
+        n = keys.count()
     log = min(max((n * PER_KEY - 1).bit_length(), LEAST_LOG), MOST_LOG)
     at = F.col(name).bitwiseAND(F.lit((1 << log) - 1))
     word = F.call_function("shiftright", at, F.lit(5)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
-    found = keys.groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    with shuffles_go(spark):
+        found = keys.groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (log - 5), "<u4")
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return keys.sparkSession.sparkContext.broadcast(Bits(out.tobytes()))
+    return spark.sparkContext.broadcast(Bits(out.tobytes()))
 
 
 def may_hold(shared, key: Column) -> Column:

@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.operators.common import remove, settle, shared_folder
+from trailweave.operators.common import remove, settle, shared_folder, shuffles_go
 
-__all__ = ["fold_ascii", "free_memory", "fresh", "remove", "resident", "settle", "shared_folder", "table", "text_or_empty", "trim_memory"]
+__all__ = ["fold_ascii", "free_memory", "fresh", "remove", "resident", "settle", "shared_folder", "shuffles_go", "table", "text_or_empty", "trim_memory"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import settle
+from trailweave.llm.common import settle, shuffles_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = settle(hooked.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
-        changed = moved.where("label <> old").count()
+        with shuffles_go(moved.sparkSession):
+            changed = moved.where("label <> old").count()
         labels = moved.drop("old")
         if not changed:
             return labels

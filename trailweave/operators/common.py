@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Spark's setting that a finished query's shuffle files go at once, not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +35,20 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside leave no shuffle files: a loop of small steps would pile them up, one for each
+    task of each exchange, until the driver collects its garbage. The session's own setting is back afterwards."""
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared folder and cuts its lineage.
+    """Computes ``df`` once into the shared folder and cuts its lineage; its shuffle files go.
 
     A checkpoint keeps the plan's size estimate, which joins multiply, so that over the steps of a loop it
     becomes a number of millions of digits; a new DataFrame over the rows starts without it.
@@ -40,5 +56,7 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out, spark = df.checkpoint(eager=True)._jdf, df.sparkSession
+    spark = df.sparkSession
+    with shuffles_go(spark):
+        out = df.select("*").checkpoint(eager=True)._jdf  # a new query: one keeps the setting that it was made with
     return DataFrame(spark._jsparkSession.createDataFrame(out.javaRDD(), out.schema()), spark)
