@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from trailweave.llm import simhash_similar as similar
+from trailweave.llm.common import GATHERED, gathered
 from trailweave.operators.common import CLEAN_UP
 
 
@@ -153,3 +154,10 @@ def test_steps_leave_no_shuffle_files(make, spark):
         time.sleep(0.1)
     assert not shuffled() - before and spark.conf.get(CLEAN_UP) == setting
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_groups([(k, " ".join(words[k : k + 40])) for k in range(50)])
+
+
+def test_few_rows_are_gathered(spark):
+    rows = spark.range(0, 1000, 1, 40)
+    assert gathered(rows).rdd.getNumPartitions() == 1 and gathered(rows.where("id < 0")).count() == 0
+    many = gathered(spark.range(0, 2 * GATHERED + 1, 1, 40))
+    assert many.rdd.getNumPartitions() == 3 and many.agg({"id": "sum"}).first()[0] == GATHERED * (2 * GATHERED + 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators.common import remove, settle, shared_folder, shuffles_go
 
-__all__ = ["fold_ascii", "free_memory", "fresh", "remove", "resident", "settle", "shared_folder", "shuffles_go", "table", "text_or_empty", "trim_memory"]
+__all__ = ["fold_ascii", "free_memory", "fresh", "gathered", "remove", "resident", "settle", "shared_folder", "shuffles_go", "table", "text_or_empty", "trim_memory"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,6 +60,19 @@ def trim_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: A settled table of few rows is read on in tasks of about so many.
+GATHERED = 16_384
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``settle`` for narrow tables: few rows do not stay dealt out over a task for each partition of the shuffle
+    that made them. Each task still gets GATHERED rows or so; large tables stay as they are."""
+    out = settle(df)
+    with shuffles_go(df.sparkSession):
+        n = out.count()
+    return out.coalesce(max(1, -(-n // GATHERED)))
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the byte-wise path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

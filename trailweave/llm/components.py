@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import settle, shuffles_go
+from trailweave.llm.common import gathered, shuffles_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     takes about log n rounds. Each round is settled; only the number of changed rows comes to the driver.
     """
     both = edges.select("a", "b").where("a <> b")
-    both = settle(both.union(both.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    both = gathered(both.union(both.select("b", "a")).distinct())
+    labels = gathered(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = settle(hooked.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
+        moved = gathered(hooked.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
         with shuffles_go(moved.sparkSession):
             changed = moved.where("label <> old").count()
         labels = moved.drop("old")

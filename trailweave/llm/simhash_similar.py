@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import exact_dedup, simhash
 from trailweave.llm.bits import filter_of
-from trailweave.llm.common import free_memory, settle
+from trailweave.llm.common import free_memory, gathered, settle
 from trailweave.llm.components import components
 from trailweave.llm.shingles import bitmap, lists, parts, shingle_ids, text_ids
 
@@ -90,8 +90,8 @@ def postings(docs: DataFrame, least: float) -> DataFrame:
         return [pa.array(np.concatenate([np.zeros(0, np.int64), *[s[: prefix(np.array(len(s)), least)] for s in sets]]))]
 
     seen = _scan(docs, "tok long", plain).groupBy("tok").agg(F.count("*").alias("n"))
-    seen = settle(seen.where("n > 1"))  # of the shingles' number, few
-    often = filter_of(settle(seen.where(F.col("n") > OFTEN).select("tok")))
+    seen = gathered(seen.where("n > 1"))  # of the shingles' number, few
+    often = filter_of(gathered(seen.where(F.col("n") > OFTEN).select("tok")))
 
     def ordered(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The prefix with frequent shingles last, and which of it the plain order has not."""
@@ -106,7 +106,7 @@ def postings(docs: DataFrame, least: float) -> DataFrame:
         return [pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))]
 
     more = _scan(docs, "tok long", moved).distinct()
-    wanted = filter_of(settle(seen.select("tok").unionByName(more)))
+    wanted = filter_of(gathered(seen.select("tok").unionByName(more)))
 
     def posted(ts, sets):
         parts = [(x, wanted.value.hit(x)) for x, _ in map(ordered, sets)]
@@ -120,11 +120,11 @@ def postings(docs: DataFrame, least: float) -> DataFrame:
         ]
         return [pa.array(c, pa.int64()) for c in columns]
 
-    rows = settle(_scan(docs, "tok long, t long, n long, pos long", posted).distinct())
+    rows = gathered(_scan(docs, "tok long, t long, n long, pos long", posted).distinct())
     size = rows.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
-    rows = settle(rows.join(size, "tok"))
+    rows = gathered(rows.join(size, "tok"))
     shared = rows.groupBy("t").agg(F.sum("size").alias("shared"))
-    return settle(rows.drop("size").join(shared, "t"))
+    return gathered(rows.drop("size").join(shared, "t"))
 
 
 def first_members(rows: DataFrame, width: int) -> DataFrame:
@@ -140,24 +140,24 @@ def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> D
     """``docs``: texts, each once. ``texts``: their t, n, fp, bm. (node, label) of the components of all pairs
     that overlap by ``least`` or more; what is in no pair may be absent."""
     spark = docs.sparkSession
-    tried = settle(by_fingerprints(texts))
-    links = settle(overlapping(docs, tried.withColumn("tok", F.col("a")), least))
+    tried = gathered(by_fingerprints(texts))
+    links = gathered(overlapping(docs, tried.withColumn("tok", F.col("a")), least))
     labels = components(links)
     rows, width = postings(docs, least), 1
     while True:
         rows = rows.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
         sizes = rows.groupBy("tok", "label").agg(F.count("*").alias("n"))
         sizes = sizes.groupBy("tok").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"))
-        rows = settle(rows.join(sizes.where("labels > 1").drop("labels"), "tok"))
+        rows = gathered(rows.join(sizes.where("labels > 1").drop("labels"), "tok"))
         if rows.isEmpty():
             return labels
-        firsts = settle(first_members(rows, width))
+        firsts = gathered(first_members(rows, width))
         pairs = dense_pairs(rows, firsts, texts, least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = settle(overlapping(docs, pairs, least))
-        tried = settle(tried.unionByName(pairs.select("a", "b")))
+        pairs = gathered(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = gathered(overlapping(docs, pairs, least))
+        tried = gathered(tried.unionByName(pairs.select("a", "b")))
         if not found.isEmpty():
-            links = settle(links.unionByName(found))
+            links = gathered(links.unionByName(found))
             labels = components(links)
         rows = rows.drop("label", "major").join(firsts.select("tok", "t"), ["tok", "t"], "left_anti")
         width = min(width * GROWTH, MOST_FIRSTS)
@@ -230,7 +230,7 @@ def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
 
 def by_fingerprints(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of each text and the least one of its component of fingerprints at most 2 bits apart."""
-    points = settle(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")))
+    points = gathered(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")))
     rep = simhash.point_groups(points).withColumnRenamed("component", "a")
     return texts.where("n > 0").select("fp", F.col("t").alias("b")).join(rep, "fp").where("a <> b").select("a", "b")
 
@@ -262,10 +262,10 @@ def overlapping(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     holds. A set goes to the cells that name it, so in a group with many pairs it moves far less often than it is
     compared.
     """
-    ends = settle(pairs.select("tok", F.explode(F.array("a", "b")).alias("t")).distinct())
+    ends = gathered(pairs.select("tok", F.explode(F.array("a", "b")).alias("t")).distinct())
     if ends.isEmpty():
         return pairs.select("a", "b")
-    wanted = filter_of(settle(ends.select("t").distinct()))
+    wanted = filter_of(gathered(ends.select("t").distinct()))
 
     def row(ts, sets):
         ts = np.array(ts, np.int64)
@@ -324,7 +324,7 @@ def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     single = docs if texts.where("copies > 1").isEmpty() else exact_dedup.kept_rows(docs)
     labels = similar_groups(single, texts.select("t", "n", "fp", "bm"), least)
     grouped = texts.select("t", "least").join(labels.withColumnRenamed("node", "t"), "t", "left")
-    grouped = settle(grouped.select("t", F.coalesce("label", "t").alias("label"), "least"))
+    grouped = gathered(grouped.select("t", F.coalesce("label", "t").alias("label"), "least"))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = grouped.join(ids, "label").select("t", "component_id")
     return marked.select("doc_id", "t").join(ids, "t").select("doc_id", "component_id")
