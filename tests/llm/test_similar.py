@@ -4,8 +4,10 @@ import time
 import numpy as np
 import pyarrow as pa
 
+from trailweave.llm import common
 from trailweave.llm import simhash_similar as similar
 from trailweave.llm.common import GATHERED, gathered
+from trailweave.llm.components import components
 from trailweave.operators.common import CLEAN_UP
 
 
@@ -161,3 +163,34 @@ def test_few_rows_are_gathered(spark):
     assert gathered(rows).rdd.getNumPartitions() == 1 and gathered(rows.where("id < 0")).count() == 0
     many = gathered(spark.range(0, 2 * GATHERED + 1, 1, 40))
     assert many.rdd.getNumPartitions() == 3 and many.agg({"id": "sum"}).first()[0] == GATHERED * (2 * GATHERED + 1)
+
+
+def test_few_rows_are_written_in_few_files(spark, monkeypatch):
+    """Each file of a local folder costs its executor two processes, each for a moment as large as the executor."""
+    files, settle = [], common.settle
+
+    def seen(df):
+        out = settle(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "settle", seen)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(200).selectExpr("id as a", "id + 200 as b")
+        assert {r.label for r in components(edges, 200).collect()} == set(range(200))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 2 and max(files) == 1
+
+
+def test_a_task_passes_pairs_on_before_it_has_many(monkeypatch):
+    t, bits = np.arange(30), np.zeros((30, 2), np.uint64)
+    block = (t, np.full(30, 10), np.zeros(30, np.int64), t, bits)
+    whole = similar.near_in_blocks(block, block, 0.8)
+    monkeypatch.setattr(similar, "PAIRS_HELD", 50)
+    turns = list(similar.near_in_turn(block, block, 0.8))
+    assert len(whole) == 30 * 29 and np.array_equal(np.concatenate(turns), whole) and max(map(len, turns)) < 50 + 30

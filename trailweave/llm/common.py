@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators.common import remove, settle, shared_folder, shuffles_go
 
-__all__ = ["fold_ascii", "free_memory", "fresh", "gathered", "remove", "resident", "settle", "shared_folder", "shuffles_go", "table", "text_or_empty", "trim_memory"]
+__all__ = ["counted", "fold_ascii", "free_memory", "fresh", "gathered", "in_few", "remove", "resident", "settle", "shared_folder", "shuffles_go", "size_of", "table", "text_or_empty", "trim_memory"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -62,15 +62,38 @@ def trim_memory() -> None:
 
 #: A settled table of few rows is read on in tasks of about so many.
 GATHERED = 16_384
+#: One of few rows with texts, bitmaps or sets, or that compares pairs, in tasks of about so many.
+HEAVY = 1024
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``settle`` for narrow tables: few rows do not stay dealt out over a task for each partition of the shuffle
-    that made them. Each task still gets GATHERED rows or so; large tables stay as they are."""
-    out = settle(df)
+def in_few(df: DataFrame, rows: int, each: int = GATHERED) -> DataFrame:
+    """``df`` in tasks of ``each`` rows or so, or as many as it has, if it has about ``rows`` rows."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def size_of(df: DataFrame) -> int:
+    """Rows of a settled table; the query leaves no shuffle files."""
     with shuffles_go(df.sparkSession):
-        n = out.count()
-    return out.coalesce(max(1, -(-n // GATHERED)))
+        return df.count()
+
+
+def counted(df: DataFrame, most: int | None = None, each: int = GATHERED) -> tuple[DataFrame, int]:
+    """``settle`` for narrow tables, and the number of rows: few rows do not stay dealt out over a task for each
+    partition of the shuffle that made them. Each task still gets ``each`` rows or so; large tables stay as they are.
+
+    ``most``: about how many rows at most the caller expects. Then they are written in few tasks and files too: a file on
+    a local disk costs its executor two processes (Hadoop calls chmod), each for a moment as large as the executor.
+    """
+    if most is not None:
+        df = in_few(df, most, each)
+    out = settle(df)
+    n = size_of(out)
+    return in_few(out, n, each), n
+
+
+def gathered(df: DataFrame, most: int | None = None, each: int = GATHERED) -> DataFrame:
+    """The table of ``counted`` alone."""
+    return counted(df, most, each)[0]
 
 
 def fold_ascii(text: Column) -> Column:

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import gathered, shuffles_go
+from trailweave.llm.common import counted, gathered, shuffles_go
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``edges``: two columns a and b of one type, without nulls. Returns (node, label), one row for each
-    node, where label is the least node that it reaches.
+    node, where label is the least node that it reaches. ``most``: about how many edges there are, if it is known.
 
     Each round takes the least label among the neighbours and then the label's label, so a chain of n nodes
     takes about log n rounds. Each round is settled; only the number of changed rows comes to the driver.
     """
     both = edges.select("a", "b").where("a <> b")
-    both = gathered(both.union(both.select("b", "a")).distinct())
-    labels = gathered(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    both, n = counted(both.union(both.select("b", "a")).distinct(), most and 2 * most)
+    labels, n = counted(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), n)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = gathered(hooked.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
+        moved = gathered(hooked.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), n)
         with shuffles_go(moved.sparkSession):
             changed = moved.where("label <> old").count()
         labels = moved.drop("old")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.llm.bits import filter_of, may_hold
-from trailweave.llm.common import fold_ascii, fresh, settle, text_or_empty
+from trailweave.llm.common import HEAVY, counted, fold_ascii, fresh, gathered, in_few, settle, text_or_empty
 
 PREFIX_CHARS = 64
 def digest(text: Column) -> Column:
@@ -41,7 +41,7 @@ def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
         F.sum("n").alias("group_size"),
         F.max(F.struct("doc_id", "n"))["n"].alias("keep_rows"),
     )
-    return settle(groups.where("group_size > 1"))
+    return gathered(groups.where("group_size > 1"))
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -81,18 +81,20 @@ def kept_rows(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     groups = duplicate_groups(docs, prefix_chars)
     mark = fresh(docs.columns, "digest", "keep_id", "group_size", "keep_rows")
     of, keep, size, rows_of = mark
-    shared = filter_of(settle(groups.select(F.xxhash64("digest").alias("key"))))
+    keys, n = counted(groups.select(F.xxhash64("digest").alias("key")))
+    shared = filter_of(keys)
     stay = filter_of(settle(groups.select(F.xxhash64("digest", "keep_id").alias("key"))))
     rows = docs.withColumn(of, digest(text_or_empty("text")))
     copied = may_hold(shared, F.xxhash64(F.col(of)))
     some = rows.where(copied)
     lone = some.where(~may_hold(stay, F.xxhash64(F.col(of), F.col("doc_id"))))
     some = some.where(may_hold(stay, F.xxhash64(F.col(of), F.col("doc_id")))).join(groups.toDF(*mark), of, "left")
-    some = some.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
+    some = in_few(some.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))), n, HEAVY)
     # of those, copies go; the first filter's false ones are found by their digests, which are light
     false = rows.select(of).where(copied).distinct().join(groups.select(F.col("digest").alias(of)), of, "left_anti")
-    lone = lone.where(may_hold(filter_of(settle(false.select(F.xxhash64(of).alias("key")))), F.xxhash64(F.col(of))))
-    lone = lone.join(groups.select(F.col("digest").alias(of)), of, "left_anti")
+    false, n_false = counted(false.select(F.xxhash64(of).alias("key")), n)
+    lone = lone.where(may_hold(filter_of(false), F.xxhash64(F.col(of))))
+    lone = in_few(lone.join(groups.select(F.col("digest").alias(of)), of, "left_anti"), n_false, HEAVY)
     out = rows.where(~copied).select(*docs.columns).unionByName(lone.select(*docs.columns))
     if groups.where("keep_rows > 1").isEmpty():
         return out.unionByName(some.select(*docs.columns))

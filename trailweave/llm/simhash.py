@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.bits import filter_of, may_hold
-from trailweave.llm.common import fresh, settle
+from trailweave.llm.common import HEAVY, counted, fresh, gathered, in_few, settle, size_of
 from trailweave.llm.components import components
 
 SEED = 42
@@ -144,7 +144,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
 def point_groups(points: DataFrame) -> DataFrame:
     """``points``: distinct fp with ``least``, any value of theirs. fp and component, the least value in its
     component of fingerprints at most 2 bits apart."""
-    labels = components(near_links(points.select("fp")))
+    labels = components(near_links(points.select("fp")), size_of(points))
     linked = points.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("label").agg(F.min("least").alias("component"))
     linked = linked.join(least, "label").select("fp", "component")
@@ -160,12 +160,13 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     rest is joined."""
     same, rows = fresh(docs.columns, "same_id", "rows")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = settle(found.groupBy("doc_id").agg(F.count_if(kept).alias(rows), F.count("*").alias("all_rows")))
+    ids = gathered(found.groupBy("doc_id").agg(F.count_if(kept).alias(rows), F.count("*").alias("all_rows")))
     special = ids.where(f"{rows} <> 1 or all_rows > 1")
-    shared = filter_of(settle(special.select(F.xxhash64("doc_id").alias("key"))))
+    keys, n = counted(special.select(F.xxhash64("doc_id").alias("key")))
+    shared = filter_of(keys)
     maybe = may_hold(shared, F.xxhash64("doc_id"))
     some = docs.where(maybe).join(special.select(F.col("doc_id").alias(same), rows), F.col("doc_id").eqNullSafe(F.col(same)), "left")
-    some = some.where(F.col(same).isNull() & F.col(rows).isNull() | (F.col(rows) > 0))
+    some = in_few(some.where(F.col(same).isNull() & F.col(rows).isNull() | (F.col(rows) > 0)), n, HEAVY)
     out = docs.where(~maybe).select(*docs.columns).unionByName(some.where(F.coalesce(F.col(rows), F.lit(1)) == 1).select(*docs.columns))
     if not special.where(F.col(rows) > 1).isEmpty():
         out = out.unionByName(some.where(F.col(rows) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import exact_dedup, simhash
 from trailweave.llm.bits import filter_of
-from trailweave.llm.common import free_memory, gathered, settle
+from trailweave.llm.common import GATHERED, HEAVY, counted, free_memory, gathered, shuffles_go, size_of
 from trailweave.llm.components import components
 from trailweave.llm.shingles import bitmap, lists, parts, shingle_ids, text_ids
 
@@ -46,6 +46,8 @@ PARTS = 32
 DENSE, MOST_FIRSTS, BUCKET_PART = 256, 4096, 20_000
 #: Sets that are compared in one place hold about so many shingles on each side, or are one set.
 CELL = 2_000_000
+#: Pairs that a task holds before it passes them on.
+PAIRS_HELD = 500_000
 
 
 def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
@@ -82,15 +84,16 @@ def prefix(n: np.ndarray, least: float) -> np.ndarray:
     return np.maximum(n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0) * (n > 0)
 
 
-def postings(docs: DataFrame, least: float) -> DataFrame:
+def postings(docs: DataFrame, least: float, most: int | None = None) -> tuple[DataFrame, int]:
     """Buckets of at least two texts: tok, t, n (shingles of t), pos (of tok in t's order) and shared (how
-    large t's buckets are in all)."""
+    large t's buckets are in all); and how many rows there are. ``most``: the size of all prefixes, if it is known."""
+    narrow = 4 * GATHERED
 
     def plain(ts, sets):
         return [pa.array(np.concatenate([np.zeros(0, np.int64), *[s[: prefix(np.array(len(s)), least)] for s in sets]]))]
 
     seen = _scan(docs, "tok long", plain).groupBy("tok").agg(F.count("*").alias("n"))
-    seen = gathered(seen.where("n > 1"))  # of the shingles' number, few
+    seen = gathered(seen.where("n > 1"), most, narrow)  # of the shingles' number, few
     often = filter_of(gathered(seen.where(F.col("n") > OFTEN).select("tok")))
 
     def ordered(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +109,7 @@ def postings(docs: DataFrame, least: float) -> DataFrame:
         return [pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))]
 
     more = _scan(docs, "tok long", moved).distinct()
-    wanted = filter_of(gathered(seen.select("tok").unionByName(more)))
+    wanted = filter_of(gathered(seen.select("tok").unionByName(more), most, narrow))
 
     def posted(ts, sets):
         parts = [(x, wanted.value.hit(x)) for x, _ in map(ordered, sets)]
@@ -120,11 +123,11 @@ def postings(docs: DataFrame, least: float) -> DataFrame:
         ]
         return [pa.array(c, pa.int64()) for c in columns]
 
-    rows = gathered(_scan(docs, "tok long, t long, n long, pos long", posted).distinct())
+    rows, n = counted(_scan(docs, "tok long, t long, n long, pos long", posted).distinct(), most, narrow)
     size = rows.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
-    rows = gathered(rows.join(size, "tok"))
+    rows, n = counted(rows.join(size, "tok"), n)
     shared = rows.groupBy("t").agg(F.sum("size").alias("shared"))
-    return gathered(rows.drop("size").join(shared, "t"))
+    return counted(rows.drop("size").join(shared, "t"), n)
 
 
 def first_members(rows: DataFrame, width: int) -> DataFrame:
@@ -139,26 +142,27 @@ def first_members(rows: DataFrame, width: int) -> DataFrame:
 def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs``: texts, each once. ``texts``: their t, n, fp, bm. (node, label) of the components of all pairs
     that overlap by ``least`` or more; what is in no pair may be absent."""
-    spark = docs.sparkSession
-    tried = gathered(by_fingerprints(texts))
-    links = gathered(overlapping(docs, tried.withColumn("tok", F.col("a")), least))
-    labels = components(links)
-    rows, width = postings(docs, least), 1
+    with shuffles_go(docs.sparkSession):
+        n_texts, shingles = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tried, n_tried = counted(by_fingerprints(texts, n_texts), n_texts)
+    links, n_links = counted(overlapping(docs, tried.withColumn("tok", F.col("a")), least), n_tried, HEAVY)
+    labels = components(links, n_links)
+    (rows, n), width = postings(docs, least, int((1 - least) * shingles) + 2 * n_texts), 1
     while True:
         rows = rows.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
         sizes = rows.groupBy("tok", "label").agg(F.count("*").alias("n"))
         sizes = sizes.groupBy("tok").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"))
-        rows = gathered(rows.join(sizes.where("labels > 1").drop("labels"), "tok"))
-        if rows.isEmpty():
+        rows, n = counted(rows.join(sizes.where("labels > 1").drop("labels"), "tok"), n)
+        if not n:
             return labels
-        firsts = gathered(first_members(rows, width))
+        firsts = gathered(first_members(rows, width), n)
         pairs = dense_pairs(rows, firsts, texts, least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
-        pairs = gathered(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = gathered(overlapping(docs, pairs, least))
-        tried = gathered(tried.unionByName(pairs.select("a", "b")))
-        if not found.isEmpty():
-            links = gathered(links.unionByName(found))
-            labels = components(links)
+        pairs, n_pairs = counted(pairs.join(tried, ["a", "b"], "left_anti"), n)
+        found, n_found = counted(overlapping(docs, pairs, least), n_pairs, HEAVY)
+        tried, n_tried = counted(tried.unionByName(pairs.select("a", "b")), n_tried + n_pairs)
+        if n_found:
+            links, n_links = counted(links.unionByName(found), n_links + n_found)
+            labels = components(links, n_links)
         rows = rows.drop("label", "major").join(firsts.select("tok", "t"), ["tok", "t"], "left_anti")
         width = min(width * GROWTH, MOST_FIRSTS)
 
@@ -193,30 +197,40 @@ def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: flo
             bits = batch.column(7).values.to_numpy()[: ends[-1]].view(np.uint64)
             longs = np.diff(ends)
             starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1]) | (later[1:] != later[:-1]) | (longs[1:] != longs[:-1])])
-            found = [np.zeros((0, 3), np.int64)]
+            found, waiting = [], 0
             for s, e in zip(starts, np.r_[starts[1:], len(tok)]):
                 if (tok[s], part[s]) != at:
                     at, held = (tok[s], part[s]), {}
                 block = (t[s:e], n[s:e], pos[s:e], label[s:e], bits[ends[s] : ends[e]].reshape(e - s, -1))
-                if later[s]:
-                    near = [near_in_blocks(mine, block, least) for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for mine in many]
-                    found += [np.c_[x, np.full(len(x), tok[s])] for x in near]
-                else:
+                if not later[s]:
                     held.setdefault(int(longs[s]), []).append(tuple(x.copy() for x in block))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            pairs = pairs[np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)][: len(pairs)]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["a", "b", "tok"])
+                    continue
+                for mine in [x for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for x in many]:
+                    for near in near_in_turn(mine, block, least):
+                        found.append(np.c_[near, np.full(len(near), tok[s])])
+                        waiting += len(near)
+                        if waiting >= PAIRS_HELD:
+                            yield once(found)
+                            found, waiting = [], 0
+            yield once(found)
+
+    def once(found):
+        """Each pair with its least tok."""
+        pairs = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
+        pairs = pairs[np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)][: len(pairs)]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["a", "b", "tok"])
 
     return both.mapInArrow(run, "a long, b long, tok long").groupBy("a", "b").agg(F.min("tok").alias("tok"))
 
 
-def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
-    """Pairs of two blocks of a bucket (t, n, pos, label, bitmaps of one size) that may overlap by ``least``."""
+def near_in_turn(ones: tuple, others: tuple, least: float):
+    """Pairs of two blocks of a bucket (t, n, pos, label, bitmaps of one size) that may overlap by ``least``, as arrays
+    of little more than PAIRS_HELD."""
     t1, n1, pos1, label1, bits1 = ones
     t2, n2, pos2, label2, bits2 = others
     width = min(bits1.shape[1], bits2.shape[1])
     bits1, bits2 = (b if b.shape[1] == width else b[:, :width] | b[:, width:] for b in (bits1, bits2))
-    out = [np.zeros((0, 2), np.int64)]
+    out, size = [np.zeros((0, 2), np.int64)], 0
     for i in range(len(t1)):
         every = n1[i] + n2
         fits = (label2 != label1[i]) & (np.minimum(n1[i] - pos1[i], n2 - pos2) * (1 + least) >= least * every - 1e-6)
@@ -225,12 +239,21 @@ def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
             differ = np.bitwise_count(bits2[at] ^ bits1[i]).sum(1, dtype=np.int64)
             at = at[(every[at] - differ) * (1 + least) >= 2 * least * every[at] - 1e-6]
             out.append(np.stack([np.minimum(t1[i], t2[at]), np.maximum(t1[i], t2[at])], 1))
-    return np.concatenate(out)
+            size += len(at)
+        if size >= PAIRS_HELD:
+            yield np.concatenate(out)
+            out, size = [np.zeros((0, 2), np.int64)], 0
+    yield np.concatenate(out)
+
+
+def near_in_blocks(ones: tuple, others: tuple, least: float) -> np.ndarray:
+    """What ``near_in_turn`` gives, as one array."""
+    return np.concatenate(list(near_in_turn(ones, others, least)))
 
 
-def by_fingerprints(texts: DataFrame) -> DataFrame:
+def by_fingerprints(texts: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs (a, b) of each text and the least one of its component of fingerprints at most 2 bits apart."""
-    points = gathered(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")))
+    points = gathered(texts.where("n > 0").groupBy("fp").agg(F.min("t").alias("least")), most)
     rep = simhash.point_groups(points).withColumnRenamed("component", "a")
     return texts.where("n > 0").select("fp", F.col("t").alias("b")).join(rep, "fp").where("a <> b").select("a", "b")
 
@@ -262,17 +285,18 @@ def overlapping(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     holds. A set goes to the cells that name it, so in a group with many pairs it moves far less often than it is
     compared.
     """
-    ends = gathered(pairs.select("tok", F.explode(F.array("a", "b")).alias("t")).distinct())
-    if ends.isEmpty():
+    ends, n = counted(pairs.select("tok", F.explode(F.array("a", "b")).alias("t")).distinct(), 2 * size_of(pairs))
+    if not n:
         return pairs.select("a", "b")
-    wanted = filter_of(gathered(ends.select("t").distinct()))
+    texts, n = counted(ends.select("t").distinct(), n)
+    wanted = filter_of(texts)
 
     def row(ts, sets):
         ts = np.array(ts, np.int64)
         hit = wanted.value.hit(ts)
         return [pa.array(ts[hit]), lists([s for s, h in zip(sets, hit) if h])]
 
-    sets = settle(_scan(docs, "t long, sh array<long>", row).join(ends, "t", "left_semi"))
+    sets = gathered(_scan(docs, "t long, sh array<long>", row).join(texts, "t", "left_semi"), n, HEAVY)
     size = ends.join(sets.select("t", F.size("sh").alias("n")), "t").groupBy("tok").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
     i, j = (F.pmod(F.xxhash64(side), F.col("cells")).cast("int").alias(name) for side, name in (("a", "i"), ("b", "j")))
     asked = pairs.join(size, "tok").select("tok", i, j, "a", "b")
@@ -318,13 +342,13 @@ def similar_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     length are hashed whole. Null and repeated ids pass through; ties do not arise, since groups do not depend
     on the order of pairs; an empty table gives an empty result; other columns are ignored.
     """
-    marked = settle(marks(docs))
+    marked, n = counted(marks(docs), each=HEAVY)
     texts = marked.groupBy("t").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "bm")], F.count("*").alias("copies"))
-    texts = settle(texts)
+    texts = gathered(texts, n, HEAVY)
     single = docs if texts.where("copies > 1").isEmpty() else exact_dedup.kept_rows(docs)
     labels = similar_groups(single, texts.select("t", "n", "fp", "bm"), least)
     grouped = texts.select("t", "least").join(labels.withColumnRenamed("node", "t"), "t", "left")
-    grouped = gathered(grouped.select("t", F.coalesce("label", "t").alias("label"), "least"))
+    grouped = gathered(grouped.select("t", F.coalesce("label", "t").alias("label"), "least"), n)
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = grouped.join(ids, "label").select("t", "component_id")
     return marked.select("doc_id", "t").join(ids, "t").select("doc_id", "component_id")
