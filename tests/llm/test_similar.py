@@ -7,7 +7,7 @@ import pyarrow as pa
 from trailweave.llm import common
 from trailweave.llm import simhash_similar as similar
 from trailweave.llm.common import GATHERED, gathered
-from trailweave.llm.components import components
+from trailweave.llm.components import components, joining
 from trailweave.operators.common import CLEAN_UP
 
 
@@ -194,3 +194,21 @@ def test_a_task_passes_pairs_on_before_it_has_many(monkeypatch):
     monkeypatch.setattr(similar, "PAIRS_HELD", 50)
     turns = list(similar.near_in_turn(block, block, 0.8))
     assert len(whole) == 30 * 29 and np.array_equal(np.concatenate(turns), whole) and max(map(len, turns)) < 50 + 30
+
+
+def test_a_task_gives_fewer_links_than_it_has_texts(spark):
+    """All 1,225 pairs of a group and a chain beside it: the same components by 49 and 9 links."""
+    pairs = [(i, j) for i in range(50) for j in range(i)] + [(100 + k, 101 + k) for k in range(9)]
+    few = joining(spark.createDataFrame(pairs, "a long, b long").coalesce(1))
+    found = {tuple(r) for r in few.collect()}
+    assert found <= set(pairs) and len(found) == 49 + 9
+    assert {r.node: r.label for r in components(few).collect()} == {k: 0 for k in range(50)} | {100 + k: 100 for k in range(10)}
+
+
+def test_a_pair_is_named_in_its_first_bucket_alone():
+    t, bits = np.arange(20), np.zeros((20, 2), np.uint64)
+    toks = [np.array([5, 9, 2] if k % 2 else [9, 2]) for k in range(20)]
+    block = (t, np.full(20, 10), np.zeros(20, np.int64), t, bits, toks)
+    named = {tok: {tuple(p) for near in similar.near_in_turn(block, block, 0.8, tok) for p in near.tolist()} for tok in (9, 2)}
+    odd = {(i, j) for i, j in named[9] if i % 2 and j % 2}
+    assert not odd and not named[2] and len(named[9]) == 190 - 45

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trailweave.llm import exact_dedup, simhash
 from trailweave.llm.bits import filter_of
 from trailweave.llm.common import GATHERED, HEAVY, counted, free_memory, gathered, shuffles_go, size_of
-from trailweave.llm.components import components
+from trailweave.llm.components import components, joining
 from trailweave.llm.shingles import bitmap, lists, parts, shingle_ids, text_ids
 
 WIDTH = 5
@@ -148,6 +148,8 @@ def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> D
     links, n_links = counted(overlapping(docs, tried.withColumn("tok", F.col("a")), least), n_tried, HEAVY)
     labels = components(links, n_links)
     (rows, n), width = postings(docs, least, int((1 - least) * shingles) + 2 * n_texts), 1
+    toks = F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("toks")
+    ordered = gathered(rows.groupBy("t").agg(toks), n_texts, HEAVY)  # each text's buckets in the order of all shingles
     while True:
         rows = rows.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
         sizes = rows.groupBy("tok", "label").agg(F.count("*").alias("n"))
@@ -156,12 +158,13 @@ def similar_groups(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> D
         if not n:
             return labels
         firsts = gathered(first_members(rows, width), n)
-        pairs = dense_pairs(rows, firsts, texts, least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
+        pairs = dense_pairs(rows, firsts, texts.join(ordered, "t"), least) if width >= DENSE else sparse_pairs(rows, firsts, texts, least)
         pairs, n_pairs = counted(pairs.join(tried, ["a", "b"], "left_anti"), n)
         found, n_found = counted(overlapping(docs, pairs, least), n_pairs, HEAVY)
         tried, n_tried = counted(tried.unionByName(pairs.select("a", "b")), n_tried + n_pairs)
         if n_found:
-            links, n_links = counted(links.unionByName(found), n_links + n_found)
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            links, n_links = counted(known.unionByName(joining(found)), size_of(labels) + n_found)
             labels = components(links, n_links)
         rows = rows.drop("label", "major").join(firsts.select("tok", "t"), ["tok", "t"], "left_anti")
         width = min(width * GROWTH, MOST_FIRSTS)
@@ -180,13 +183,14 @@ def sparse_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: fl
 
 def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """What ``sparse_pairs`` gives, for buckets with many members: they stream past the bucket's first members
-    (MOST_FIRSTS at most are held), and only pairs that pass leave the task."""
+    (MOST_FIRSTS at most are held), and only pairs that pass leave the task. A pair is named in the first bucket that it
+    shares alone (``toks``: a text's buckets in the order of all shingles); a later round gets there if this one does not."""
     size = rows.groupBy("tok").agg(F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts"))
     columns = ["tok", "t", "n", "pos", "label"]
     every = rows.select(*columns).join(size, "tok").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
     held = firsts.select(*columns).join(size, "tok").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = held.withColumn("later", F.lit(0)).unionByName(every.withColumn("later", F.lit(1))).drop("parts").join(texts.select("t", "bm"), "t")
-    both = both.select(*columns, "part", "later", "bm").repartition("tok", "part").sortWithinPartitions("tok", "part", "later")
+    both = held.withColumn("later", F.lit(0)).unionByName(every.withColumn("later", F.lit(1))).drop("parts").join(texts.select("t", "bm", "toks"), "t")
+    both = both.select(*columns, "part", "later", "bm", "toks").repartition("tok", "part").sortWithinPartitions("tok", "part", "later")
 
     def run(batches):
         free_memory()
@@ -195,18 +199,18 @@ def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: flo
             tok, t, n, pos, label, part, later = (batch.column(i).to_numpy() for i in range(7))
             ends = batch.column(7).offsets.to_numpy()
             bits = batch.column(7).values.to_numpy()[: ends[-1]].view(np.uint64)
-            longs = np.diff(ends)
+            longs, toks = np.diff(ends), lists_of(batch.column(8))
             starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1]) | (later[1:] != later[:-1]) | (longs[1:] != longs[:-1])])
             found, waiting = [], 0
             for s, e in zip(starts, np.r_[starts[1:], len(tok)]):
                 if (tok[s], part[s]) != at:
                     at, held = (tok[s], part[s]), {}
-                block = (t[s:e], n[s:e], pos[s:e], label[s:e], bits[ends[s] : ends[e]].reshape(e - s, -1))
+                block = (t[s:e], n[s:e], pos[s:e], label[s:e], bits[ends[s] : ends[e]].reshape(e - s, -1), toks[s:e])
                 if not later[s]:
-                    held.setdefault(int(longs[s]), []).append(tuple(x.copy() for x in block))
+                    held.setdefault(int(longs[s]), []).append((*(x.copy() for x in block[:5]), [x.copy() for x in block[5]]))
                     continue
                 for mine in [x for width, many in held.items() if width <= 2 * longs[s] and longs[s] <= 2 * width for x in many]:
-                    for near in near_in_turn(mine, block, least):
+                    for near in near_in_turn(mine, block, least, tok[s]):
                         found.append(np.c_[near, np.full(len(near), tok[s])])
                         waiting += len(near)
                         if waiting >= PAIRS_HELD:
@@ -223,11 +227,17 @@ def dense_pairs(rows: DataFrame, firsts: DataFrame, texts: DataFrame, least: flo
     return both.mapInArrow(run, "a long, b long, tok long").groupBy("a", "b").agg(F.min("tok").alias("tok"))
 
 
-def near_in_turn(ones: tuple, others: tuple, least: float):
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    ends, data = column.offsets.to_numpy(), column.values.to_numpy()
+    return [data[s:e] for s, e in zip(ends[:-1], ends[1:])]
+
+
+def near_in_turn(ones: tuple, others: tuple, least: float, tok: int | None = None):
     """Pairs of two blocks of a bucket (t, n, pos, label, bitmaps of one size) that may overlap by ``least``, as arrays
-    of little more than PAIRS_HELD."""
-    t1, n1, pos1, label1, bits1 = ones
-    t2, n2, pos2, label2, bits2 = others
+    of little more than PAIRS_HELD. With ``tok``, the bucket, and each text's buckets in order as a sixth part of the
+    blocks: those that share none before it."""
+    t1, n1, pos1, label1, bits1 = ones[:5]
+    t2, n2, pos2, label2, bits2 = others[:5]
     width = min(bits1.shape[1], bits2.shape[1])
     bits1, bits2 = (b if b.shape[1] == width else b[:, :width] | b[:, width:] for b in (bits1, bits2))
     out, size = [np.zeros((0, 2), np.int64)], 0
@@ -238,6 +248,10 @@ def near_in_turn(ones: tuple, others: tuple, least: float):
         if len(at):
             differ = np.bitwise_count(bits2[at] ^ bits1[i]).sum(1, dtype=np.int64)
             at = at[(every[at] - differ) * (1 + least) >= 2 * least * every[at] - 1e-6]
+            if tok is not None and len(at):
+                mine, sizes = ones[5][i], [len(others[5][k]) for k in at]
+                before = np.isin(np.concatenate([others[5][k] for k in at]), mine[: np.flatnonzero(mine == tok)[0]])
+                at = at[np.add.reduceat(before, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64) == 0]
             out.append(np.stack([np.minimum(t1[i], t2[at]), np.maximum(t1[i], t2[at])], 1))
             size += len(at)
         if size >= PAIRS_HELD:
